@@ -122,28 +122,35 @@ def ood_penalty(df: DataFrame, ref: OodReference | None) -> DataFrame:
     )
 
 
-def contributions(ref: OodReference, top: int | None = 5) -> Column:
-    """What drives the distance: one struct per feature, largest effect first.
+def explain(df: DataFrame, ref: OodReference, out: str = "ood_top_contributors", top: int | None = 5) -> DataFrame:
+    """Add what drives the distance: one struct per feature, largest effect first.
 
     ``raw_contribution`` sums to the squared distance and may be negative.
     """
-    diff = _diff(ref)
-    raw = [d * total(diff[j] * ref.cov_inv[i][j] for j in range(len(diff))) for i, d in enumerate(diff)]
-    amount = total(F.abs(r) for r in raw)
+    d = len(ref.features)
+    names = [f"_raw{i}" for i in range(d)]
+    diff = [f"_diff{i}" for i in range(d)]
+    staged = df.withColumns(dict(zip(diff, _diff(ref)))).withColumns({
+        names[i]: F.col(diff[i]) * total(F.col(diff[j]) * ref.cov_inv[i][j] for j in range(d)) for i in range(d)
+    })
+    staged = staged.withColumn("_amount", total(F.abs(F.col(n)) for n in names))
     rows = [
         F.struct(
-            (-F.abs(raw[i])).alias("_order"), F.lit(i).alias("_i"), F.lit(f).alias("element"),
-            F.coalesce(F.col(f), F.lit(0.0)).cast("double").alias("candidate_value"),
-            F.lit(ref.mean[i]).alias("reference_mean"), diff[i].alias("difference"),
-            raw[i].alias("raw_contribution"),
-            F.when(amount > 1e-12, F.abs(raw[i]) / amount).otherwise(F.lit(0.0)).alias("abs_share"),
+            (-F.abs(F.col(names[i]))).alias("_order"), F.lit(i).alias("_i"), F.lit(f).alias("element"),
+            F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias("candidate_value"),
+            F.lit(ref.mean[i]).alias("reference_mean"), F.col(diff[i]).alias("difference"),
+            F.col(names[i]).alias("raw_contribution"),
+            F.when(F.col("_amount") > 1e-12, F.abs(F.col(names[i])) / F.col("_amount"))
+            .otherwise(F.lit(0.0)).alias("abs_share"),
         )
         for i, f in enumerate(ref.features)
     ]
     ordered = F.sort_array(F.array(*rows))
-    return F.transform(ordered if top is None else F.slice(ordered, 1, top), lambda r: r.dropFields("_order", "_i"))
+    kept = ordered if top is None else F.slice(ordered, 1, top)
+    shown = F.transform(kept, lambda r: r.dropFields("_order", "_i"))
+    return staged.withColumn(out, shown).drop(*names, *diff, "_amount")
 
 
 def contributions_long(df: DataFrame, ref: OodReference, key: list[str], top: int | None = None) -> DataFrame:
-    exploded = df.select(*key, F.posexplode(contributions(ref, top)).alias("pos", "c"))
+    exploded = explain(df, ref, "_c", top).select(*key, F.posexplode("_c").alias("pos", "c"))
     return exploded.select(*key, (F.col("pos") + 1).alias("rank"), "c.*")
