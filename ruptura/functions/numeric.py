@@ -19,14 +19,14 @@ def col_of(value) -> Column:
 
 
 def is_finite(value) -> Column:
-    c = col_of(value)
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    """True for real numbers. NaN ranks above infinity in Spark, so one comparison covers both."""
+    return F.coalesce(F.abs(col_of(value)) < F.lit(float("inf")), F.lit(False))
 
 
 def finite(value) -> Column:
     """Column with NaN and infinities turned into NULL."""
     c = col_of(value)
-    return F.when(is_finite(c), c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def to_double(value) -> Column:
@@ -59,8 +59,21 @@ def clip(value, low=None, high=None) -> Column:
 
 
 def half_even(value, digits: int) -> Column:
-    """Round half to even."""
-    return F.bround(col_of(value), digits)
+    """Round to decimals as Python does: to nearest by the exact binary value, true ties to even.
+
+    The product with the power of ten may itself round onto a half. Its rounding
+    error is then recovered exactly (splitting the value into two short halves)
+    and tells which side the value lies on.
+    """
+    x, p = col_of(value).cast("double"), float(10 ** digits)
+    product = x * p
+    nearest = F.rint(product)
+    spread = x * 134217729.0  # 2**27 + 1
+    high = spread - (spread - x)
+    error = (high * p - product) + (x - high) * p
+    tie = F.abs(product - nearest) == 0.5
+    whole = F.when(tie & (error > 0), product + 0.5).when(tie & (error < 0), product - 0.5).otherwise(nearest)
+    return whole / p
 
 
 def linspace(low, high, n: int, index) -> Column:

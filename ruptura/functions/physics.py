@@ -61,9 +61,8 @@ def excess_penalty(
         norm = 1.0
     v, t = col_of(value), col_of(threshold)
     gap = v - t if direction == "upper" else t - v
+    # One mention of the value: the optimizer may copy this expression into a filter.
     excess = F.greatest(F.lit(0.0), gap) / F.lit(float(norm))
-    if power == 2.0:
-        return F.lit(float(scale)) * excess * excess
     return F.lit(float(scale)) * F.pow(excess, F.lit(float(power)))
 
 

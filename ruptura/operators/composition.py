@@ -7,6 +7,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ruptura.constants import (
     ATOMIC_WEIGHTS, DESIGN_BOUNDS, DESIGN_ELEMENTS, ELEMENT_COST, FIXED_ELEMENTS, FULL_ELEMENTS,
@@ -17,7 +18,12 @@ from ruptura.functions.numeric import clip, half_even, number_or, to_double_or,
 
 
 def element(df: DataFrame, name: str) -> Column:
-    return to_double_or(F.col(name)) if name in df.columns else F.lit(0.0)
+    """Element amount of a row; absent, missing or unreadable is 0."""
+    if name not in df.columns:
+        return F.lit(0.0)
+    if df.schema[name].dataType == DoubleType():
+        return F.coalesce(F.col(name), F.lit(0.0))
+    return to_double_or(F.col(name))
 
 
 def full_composition(df: DataFrame) -> DataFrame:
@@ -75,12 +81,14 @@ def mole_fractions(df: DataFrame) -> DataFrame:
 
 def composition_shares(df: DataFrame, key: list[str], elements: list[str] = tuple(FULL_ELEMENTS)) -> DataFrame:
     """Long list of the elements present (4 decimals) plus the iron balance (3 decimals)."""
-    rounded = {e: half_even(F.when(number_or(e) > 0, number_or(e)), 4) for e in elements}
-    rest = F.lit(100.0) - reduce(add, [F.coalesce(r, F.lit(0.0)) for r in rounded.values()])
-    iron = half_even(F.greatest(F.lit(0.0), rest), 3)
+    names = {e: f"_r_{e}" for e in elements}
+    df = df.withColumns({n: half_even(F.when(number_or(e) > 0, number_or(e)), 4) for e, n in names.items()})
+    rest = reduce(add, [F.coalesce(F.col(n), F.lit(0.0)) for n in names.values()])
+    df = df.withColumn("_rest", F.greatest(F.lit(0.0), F.lit(100.0) - rest))
+    df = df.withColumn("_iron", half_even("_rest", 3))
     entries = F.array(
-        F.struct(F.lit("Fe (bal.)").alias("element"), F.when(iron > 0, iron).alias("wt")),
-        *[F.struct(F.lit(e).alias("element"), r.alias("wt")) for e, r in rounded.items()],
+        F.struct(F.lit("Fe (bal.)").alias("element"), F.when(F.col("_iron") > 0, F.col("_iron")).alias("wt")),
+        *[F.struct(F.lit(e).alias("element"), F.col(n).alias("wt")) for e, n in names.items()],
     )
     return (
         df.select(*key, F.explode(entries).alias("s")).filter(F.col("s.wt").isNotNull())

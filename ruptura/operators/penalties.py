@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruptura.constants import (
-    DESIGN_BOUNDS, ELEMENTAL_RISK, MAX_TOTAL_ALLOY, METALLURGY_LIMITS,
+    DESIGN_BOUNDS, ELEMENTAL_RISK, FULL_ELEMENTS, MAX_TOTAL_ALLOY, METALLURGY_LIMITS,
     PHASE_COLUMNS, PHASE_LIMITS, SEED_MAX_PENALTY, THERMO_FAILURE_PENALTY,
 )
 from ruptura.functions.numeric import total
 from ruptura.functions.physics import excess_penalty
-from ruptura.operators.composition import fe_balance, full_composition, material_cost, total_alloy
+from ruptura.operators.composition import fe_balance, full_composition, total_alloy
+from ruptura.operators.stats import dedup_rounded
 
 PENALTY_NAMES = {
     "kn": "kn_penalty", "ms_temp": "ms_penalty", "laves_risk": "laves_penalty",
@@ -146,33 +147,32 @@ def total_reason(limit: float = MAX_TOTAL_ALLOY) -> Column:
     )
 
 
+def seed_penalty() -> Column:
+    return F.col("metallurgy_penalty") + elemental_ood()
+
+
+def seed_passes(max_penalty: float = SEED_MAX_PENALTY) -> Column:
+    """The seed checks as a plain test, cheap enough to be pushed into a scan."""
+    tests = [F.col(e).between(low, high) for e, (low, high) in DESIGN_BOUNDS.items()]
+    return reduce(and_, tests, (total_alloy() <= MAX_TOTAL_ALLOY) & (seed_penalty() <= max_penalty))
+
+
 def seed_gate(df: DataFrame, max_penalty: float = SEED_MAX_PENALTY) -> DataFrame:
     """Add ``reason``: the first check a full composition fails, NULL when it passes all.
 
     The order is bounds, total alloy, physics penalty (without OOD and phases).
     """
     scored = metallurgy(full_composition(df))
-    penalty = F.col("metallurgy_penalty") + elemental_ood()
     physics = F.when(
-        penalty > max_penalty,
-        F.concat(F.lit("physics penalty too high: "), F.format_string("%.4f", penalty), F.lit(f" > {max_penalty}")),
+        seed_penalty() > max_penalty,
+        F.concat(F.lit("physics penalty too high: "), F.format_string("%.4f", seed_penalty()), F.lit(f" > {max_penalty}")),
     )
     return scored.withColumn("reason", F.coalesce(bounds_reason(), total_reason(), physics))
 
 
 def validate_seeds(df: DataFrame, order: list[str], digits: int = 4) -> tuple[DataFrame, DataFrame]:
     """Accepted seeds (without near copies, first wins) and rejected ones with their reason."""
-    from ruptura.constants import FULL_ELEMENTS
-    from ruptura.operators.stats import dedup_rounded
-
-    checked = seed_gate(df)
     kept = [c for c in df.columns if c not in FULL_ELEMENTS]
-    accepted = checked.filter(F.col("reason").isNull()).select(*kept, *FULL_ELEMENTS)
-    rejected = checked.filter(F.col("reason").isNotNull()).select(*kept, "reason")
+    accepted = metallurgy(full_composition(df)).filter(seed_passes()).select(*kept, *FULL_ELEMENTS)
+    rejected = seed_gate(df).filter(~seed_passes()).select(*kept, "reason")
     return dedup_rounded(accepted, FULL_ELEMENTS, order, digits), rejected
-
-
-def economics(df: DataFrame) -> DataFrame:
-    return df.withColumn("material_cost", material_cost())
-
-

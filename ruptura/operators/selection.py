@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +54,17 @@ def violation_score(df: DataFrame, require_thermo: bool = False) -> DataFrame:
     })
 
 
-def is_valid() -> Column:
-    return (F.col("selection_physical_score") <= SCORE_EPS) & (F.size("selection_physical_violations") == 0)
+def is_valid(df: DataFrame, require_thermo: bool = False) -> Column:
+    """No violation at all, said in terms of the plain columns so that it stays cheap to push down."""
+    tests = [_value(df, name) <= SCORE_EPS for name in PENALTY_COLS]
+    tests += [_value(df, name) <= limit for name, limit, _, _ in SELECTION_PHASE_RULES]
+    # The parts may only pass together if their sum does.
+    tests.append(reduce(add, [_value(df, name) for name in PENALTY_COLS]) <= SCORE_EPS)
+    if "ood_is_out_of_distribution" in df.columns:
+        tests.append(~F.coalesce(F.col("ood_is_out_of_distribution"), F.lit(False)))
+    if require_thermo:
+        tests.append(F.coalesce(F.col("thermo_success"), F.lit(False)) if "thermo_success" in df.columns else F.lit(False))
+    return reduce(and_, tests)
 
 
 def cost_check(df: DataFrame, limit: float | None) -> DataFrame:
@@ -114,9 +123,9 @@ def select_best(
     Without any valid row the phase requirement is dropped; if that does not
     help, the first in ranking order is taken. ``selection_policy`` tells which.
     """
-    strict = assess(df, limit, require_thermo)
-    for rows in [strict, assess(df, limit, False)] if require_thermo else [strict]:
-        valid = rows.filter(is_valid())
+    for thermo in (True, False) if require_thermo else (False,):
+        rows = assess(df, limit, thermo)
+        valid = rows.filter(is_valid(df, thermo))
         longest = valid.agg(F.max(_life(rows)).alias("life")).first()["life"]
         if longest is not None:
             close = valid.filter(F.lit(longest) - _life(rows) <= band)

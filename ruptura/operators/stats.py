@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ruptura.constants import STRESS_ALIASES, TEMP_ALIASES
@@ -196,14 +197,12 @@ def member_stats(members: str, mean: str = "member_mean", std: str = "member_std
 
 def first_per_key(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
     """First row per key in ``order``; copies collapse before the shuffle."""
-    from pyspark.sql import Window as W
-
-    names = [f"_k{i}" for i in range(len(keys))]
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
     return (
-        df.withColumns(dict(zip(names, keys)))
-        .withColumn("_rn", F.row_number().over(W.partitionBy(*names).orderBy(*order)))
+        df.withColumn("_key", key)
+        .withColumn("_rn", F.row_number().over(W.partitionBy("_key").orderBy(*order)))
         .filter(F.col("_rn") == 1)
-        .drop("_rn", *names)
+        .drop("_rn", "_key")
     )
 
 

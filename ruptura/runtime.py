@@ -24,6 +24,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def tune(spark: SparkSession) -> None:
+    """Settings the wide expressions need.
+
+    A generated method beyond 8,000 bytes is never compiled by the JVM. With
+    this limit Spark splits such a stage into small methods instead. A filter
+    over k derived columns makes constraint propagation try 2**k rewrites, which
+    is seconds of planning for the eleven design elements, so it is off.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for checkpoints: the one the cluster names, else a local one.
 
