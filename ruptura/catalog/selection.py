@@ -40,17 +40,17 @@ def scored_sql(thermo: bool, limit: float) -> str:
     return f"""sc AS (SELECT *, physics_risk + metallurgy_penalty + CASE WHEN ood_out THEN 100e0 ELSE 0 END + {flag}
   + CASE WHEN laves_fraction > 0.02 THEN 10 * (laves_fraction - 0.02) ELSE 0 END
   + CASE WHEN sigma_fraction > 1e-6 THEN 20 * sigma_fraction ELSE 0 END AS score,
-  list_filter([CASE WHEN physics_risk > 1e-9 THEN printf('physics_risk=%.4f', physics_risk) END,
+  concat_ws('; ', CASE WHEN physics_risk > 1e-9 THEN printf('physics_risk=%.4f', physics_risk) END,
    CASE WHEN metallurgy_penalty > 1e-9 THEN printf('metallurgy_penalty=%.4f', metallurgy_penalty) END,
    CASE WHEN ood_out THEN 'ood_is_out_of_distribution=True' END, {note}
    CASE WHEN laves_fraction > 0.02 THEN printf('laves_fraction=%.6f', laves_fraction) END,
-   CASE WHEN sigma_fraction > 1e-6 THEN printf('sigma_fraction=%.6f', sigma_fraction) END], x -> x IS NOT NULL) AS notes,
+   CASE WHEN sigma_fraction > 1e-6 THEN printf('sigma_fraction=%.6f', sigma_fraction) END) AS notes,
   material_cost <= {limit}e0 AS cost_ok, greatest(0e0, material_cost - {limit}e0) AS excess FROM cand)"""
 
 
 @query("violation_score", f"""
 WITH {CAND_SQL}, {scored_sql(True, 1.9)}
-SELECT {KEYS}, round(score, 5) AS score, array_to_string(notes, '; ') AS notes, cost_ok, round(excess, 6) AS excess FROM sc""")
+SELECT {KEYS}, round(score, 5) AS score, notes, cost_ok, round(excess, 6) AS excess FROM sc""")
 def violation_score(spark, d):
     rows = selection.assess(candidates(spark, d), 1.9, True)
     out = rows.select(*KEY, F.col("selection_physical_score").alias("score"),
@@ -59,7 +59,7 @@ def violation_score(spark, d):
     return rounded(rounded(out, 5, "score"), 6, "excess")
 
 
-@query("valid_candidates", f"WITH {CAND_SQL}, {scored_sql(True, 1.9)} SELECT {KEYS} FROM sc WHERE score <= 1e-9 AND len(notes) = 0")
+@query("valid_candidates", f"WITH {CAND_SQL}, {scored_sql(True, 1.9)} SELECT {KEYS} FROM sc WHERE score <= 1e-9 AND notes = ''")
 def valid_candidates(spark, d):
     rows = candidates(spark, d)
     return rows.filter(selection.is_valid(rows, True)).select(*KEY)
@@ -71,7 +71,7 @@ RANK_SQL = "score, predicted_log_life DESC, cost_ok DESC, excess, material_cost,
 @query("rank_candidates", f"""
 WITH {CAND_SQL}, {scored_sql(False, 1.9)}
 SELECT candidate_id, round(score, 5) AS score, round(predicted_log_life, 6) AS predicted_log_life, round(material_cost, 6) AS material_cost
-FROM sc ORDER BY {RANK_SQL} LIMIT 100""")
+FROM (SELECT * FROM sc ORDER BY {RANK_SQL} LIMIT 100)""")
 def rank_candidates(spark, d):
     ranked = selection.rank_candidates(candidates(spark, d), 1.9, False, top=100)
     out = ranked.select("candidate_id", F.col("selection_physical_score").alias("score"), "predicted_log_life", "material_cost")
@@ -80,18 +80,18 @@ def rank_candidates(spark, d):
 
 @query("top_candidates", f"""
 WITH {CAND_SQL}, {scored_sql(True, 1.9)}
-SELECT candidate_id, round(material_cost, 6) AS material_cost FROM sc ORDER BY {RANK_SQL} LIMIT 5""")
+SELECT candidate_id, round(material_cost, 6) AS material_cost FROM (SELECT * FROM sc ORDER BY {RANK_SQL} LIMIT 5)""")
 def top_candidates(spark, d):
     top = selection.top_candidates(selection.rank_candidates(candidates(spark, d), 1.9, True), 5)
     return rounded(top.select("candidate_id", "material_cost"), 6, "material_cost")
 
 
 @query("select_best_band", f"""
-WITH {CAND_SQL}, {scored_sql(True, 1.9)}, v AS (SELECT * FROM sc WHERE score <= 1e-9 AND len(notes) = 0)
+WITH {CAND_SQL}, {scored_sql(True, 1.9)}, v AS (SELECT * FROM sc WHERE score <= 1e-9 AND notes = '')
 SELECT candidate_id, round(predicted_log_life, 6) AS predicted_log_life, round(material_cost, 6) AS material_cost,
        'physical validity >= predicted life > target cost satisfaction' AS selection_policy
-FROM v WHERE (SELECT max(predicted_log_life) FROM v) - predicted_log_life <= 0.03
-ORDER BY cost_ok DESC, excess, material_cost, predicted_log_life DESC, candidate_id LIMIT 1""")
+FROM (SELECT * FROM v WHERE (SELECT max(predicted_log_life) FROM v) - predicted_log_life <= 0.03
+ORDER BY cost_ok DESC, excess, material_cost, predicted_log_life DESC, candidate_id LIMIT 1)""")
 def select_best_band(spark, d):
     best = selection.select_best(candidates(spark, d), 1.9)
     out = best.select("candidate_id", "predicted_log_life", "material_cost", "selection_policy")
@@ -101,7 +101,7 @@ def select_best_band(spark, d):
 @query("select_best_fallback", f"""
 WITH {CAND_SQL.replace('metallurgy_penalty AS physics_risk', 'metallurgy_penalty + 1e0 AS physics_risk')}, {scored_sql(False, 1.9)}
 SELECT candidate_id, round(score, 5) AS score, 'fallback: minimum physical violation score > maximum life > cost' AS selection_policy
-FROM sc ORDER BY {RANK_SQL} LIMIT 1""")
+FROM (SELECT * FROM sc ORDER BY {RANK_SQL} LIMIT 1)""")
 def select_best_fallback(spark, d):
     worse = candidates(spark, d).withColumn("physics_risk", F.col("physics_risk") + 1.0)
     best = selection.select_best(worse, 1.9)
@@ -151,7 +151,8 @@ def pareto_front_three(spark, d):
 
 
 @query("pareto_distinct_genes", f"""
-SELECT DISTINCT l_discount, l_tax, l_quantity {front_sql('lineitem', {'l_discount': 'min', 'l_tax': 'min', 'l_quantity': 'max'})}""")
+WITH u AS (SELECT DISTINCT l_discount, l_tax, l_quantity FROM lineitem)
+SELECT l_discount, l_tax, l_quantity {front_sql('u', {'l_discount': 'min', 'l_tax': 'min', 'l_quantity': 'max'})}""")
 def pareto_distinct_genes(spark, d):
     rows = table(spark, d, "lineitem").select("l_discount", "l_tax", "l_quantity")
     return pareto.pareto_front(rows, {"l_discount": "min", "l_tax": "min", "l_quantity": "max"}, ["l_quantity"])

@@ -12,7 +12,7 @@ from ruptura.constants import (
     DESIGN_BOUNDS, ELEMENTAL_RISK, FULL_ELEMENTS, MAX_TOTAL_ALLOY, METALLURGY_LIMITS,
     PHASE_COLUMNS, PHASE_LIMITS, SEED_MAX_PENALTY, THERMO_FAILURE_PENALTY,
 )
-from ruptura.functions.numeric import total
+from ruptura.functions.numeric import half_even, total
 from ruptura.functions.physics import excess_penalty
 from ruptura.operators.composition import fe_balance, full_composition, total_alloy
 from ruptura.operators.stats import dedup_rounded
@@ -134,7 +134,7 @@ def bounds_reason(bounds: dict[str, tuple[float, float]] = DESIGN_BOUNDS) -> Col
     return F.coalesce(*[
         F.when(
             (F.col(e) < low) | (F.col(e) > high),
-            F.concat(F.lit(f"{e} out of range: "), F.format_string("%.6f", F.col(e)), F.lit(f" not in [{low}, {high}]")),
+            F.concat(F.lit(f"{e} out of range: "), F.format_string("%.6f", half_even(e, 6)), F.lit(f" not in [{low}, {high}]")),
         )
         for e, (low, high) in bounds.items()
     ])
@@ -142,8 +142,8 @@ def bounds_reason(bounds: dict[str, tuple[float, float]] = DESIGN_BOUNDS) -> Col
 
 def total_reason(limit: float = MAX_TOTAL_ALLOY) -> Column:
     return F.when(
-        total_alloy() > limit,
-        F.concat(F.lit("total alloy too high: "), F.format_string("%.4f", total_alloy()), F.lit(f" > {limit}")),
+        F.col("total_alloy") > limit,
+        F.concat(F.lit("total alloy too high: "), F.format_string("%.4f", half_even("total_alloy", 4)), F.lit(f" > {limit}")),
     )
 
 
@@ -165,7 +165,7 @@ def seed_gate(df: DataFrame, max_penalty: float = SEED_MAX_PENALTY) -> DataFrame
     scored = metallurgy(full_composition(df))
     physics = F.when(
         seed_penalty() > max_penalty,
-        F.concat(F.lit("physics penalty too high: "), F.format_string("%.4f", seed_penalty()), F.lit(f" > {max_penalty}")),
+        F.concat(F.lit("physics penalty too high: "), F.format_string("%.4f", half_even(seed_penalty(), 4)), F.lit(f" > {max_penalty}")),
     )
     return scored.withColumn("reason", F.coalesce(bounds_reason(), total_reason(), physics))
 

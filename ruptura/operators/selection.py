@@ -12,7 +12,7 @@ from ruptura.constants import (
     COST_STATUS, FLAG_VIOLATION, LIFE_BAND_LOG, LIFE_STATUS, PENALTY_COLS, POLICY_FALLBACK, POLICY_VALID,
     RISK_STATUS, SCORE_EPS, SELECTION_PHASE_RULES, STATUS_LIMITS,
 )
-from ruptura.functions.numeric import to_double_or
+from ruptura.functions.numeric import half_even, to_double_or
 
 INF = float("inf")
 
@@ -22,7 +22,7 @@ def _value(df: DataFrame, name: str, default: float = 0.0) -> Column:
 
 
 def _text(name: str, digits: int, value: Column) -> Column:
-    return F.concat(F.lit(f"{name}="), F.format_string(f"%.{digits}f", value))
+    return F.concat(F.lit(f"{name}="), F.format_string(f"%.{digits}f", half_even(value, digits)))
 
 
 def violation_score(df: DataFrame, require_thermo: bool = False) -> DataFrame:
