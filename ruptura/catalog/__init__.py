@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ruptura.catalog.standins import ORACLES, QUERIES
 
-MODULES = ["cleaning", "physics", "stats", "lmp", "selection", "ood"]
+MODULES = ["cleaning", "physics", "stats", "lmp", "selection", "ood", "modeling"]
 
 
 def _load() -> None:
