@@ -73,7 +73,8 @@ def half_even(value, digits: int) -> Column:
     error = (high * p - product) + (x - high) * p
     tie = F.abs(product - nearest) == 0.5
     whole = F.when(tie & (error > 0), product + 0.5).when(tie & (error < 0), product - 0.5).otherwise(nearest)
-    return whole / p
+    # From 2**52 on a double has no such decimals left to round.
+    return F.when(F.abs(product) < 4503599627370496.0, whole / p).otherwise(x)
 
 
 def linspace(low, high, n: int, index) -> Column:

@@ -35,9 +35,9 @@ def normalize_products(df: DataFrame, prefix: str = DEFAULT_PRODUCT_PREFIX) -> D
     if df.isEmpty():
         raise ValueError("the product table has no rows")
     if named is None:
-        df = dense_index(df, None, "_pos").withColumn(
-            "name", F.concat(F.lit(prefix), (F.col("_pos") + 1).cast("string"))
-        ).drop("_pos")
+        df = dense_index(df, None, "_number").withColumn(
+            "name", F.concat(F.lit(prefix), (F.col("_number") + 1).cast("string"))
+        ).drop("_number")
     else:
         df = df.withColumnRenamed(named, "name")
     others = [c for c in df.columns if c != "name"]
