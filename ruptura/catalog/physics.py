@@ -381,13 +381,13 @@ def life_labels(spark, d):
 
 
 @query("scalar_functions", """
-SELECT p_partkey, round_even(p_retailprice / 8e0, 2) AS half_even, round(100e0 + (p_size - 1) * (400e0 / 49e0), 6) AS spaced,
+SELECT p_partkey, round_even(p_retailprice / 7e0, 2) AS half_even, round(100e0 + (p_size - 1) * (400e0 / 49e0), 6) AS spaced,
        round(pow(10e0, 1e0 + (p_size - 1) * (2e0 / 49e0)), 6) AS log_spaced,
        round(0.5e0 * p_size * p_size - 3e0 * p_size + 2e0, 6) AS poly FROM part""")
 def scalar_functions(spark, d):
     i = F.col("p_size") - 1
     return table(spark, d, "part").select(
-        "p_partkey", half_even(F.col("p_retailprice") / 8.0, 2).alias("half_even"),
+        "p_partkey", half_even(F.col("p_retailprice") / 7.0, 2).alias("half_even"),
         rnd(linspace(100.0, 500.0, 50, i), 6).alias("spaced"),
         rnd(logspace(10.0, 1000.0, 50, i), 6).alias("log_spaced"),
         rnd(polynomial([0.5, -3.0, 2.0], "p_size"), 6).alias("poly"))
