@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ruptura.catalog.standins import (
-    BALANCE_SQL, DESIGN, HEAT, KEY, KEYS, LOG_LIFE, STRESS, TEMP, alloys, lines, lines_sql, query, rnd, round_sql,
+    BALANCE_SQL, DESIGN, HEAT, KEY, KEYS, LOG_LIFE, STRESS, TEMP, alloys, lines, lines_sql, query, round_sql,
     rounded, table,
 )
 from ruptura.constants import METRIC_PATTERNS

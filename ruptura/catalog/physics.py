@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ruptura.catalog.standins import (
-    BALANCE_SQL, CONDITIONS, COST_SQL, DESIGN, HEAT, INDEX_SQL, KEY, KEYS, LOG_LIFE, PENALTY_OF, TOTAL_SQL, alloys,
+    BALANCE_SQL, CONDITIONS, COST_SQL, DESIGN, HEAT, INDEX_SQL, KEY, KEYS, PENALTY_OF, TOTAL_SQL, alloys,
     alloys_sql, excess_sql, lines, lines_sql, metallurgy_ctes, query, rnd, round_sql, rounded, table,
 )
 from ruptura.constants import (

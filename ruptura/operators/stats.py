@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -228,7 +227,3 @@ def dedup_batches(
 def replicate(df: DataFrame, n: int, index: str = "copy") -> DataFrame:
     """Every row ``n`` times, numbered from 0."""
     return df.withColumn(index, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-
-def conjunction(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, tests)
