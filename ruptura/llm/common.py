@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ruptura.runtime import checkpointed
 
-__all__ = ["table", "checkpointed", "fit_sample", "words_of"]
+__all__ = ["table", "checkpointed", "fit_sample", "fresh_name", "words_of"]
 
 #: Buckets of the hash that draws a fitting sample.
 _DRAWS = 1 << 20
@@ -29,6 +29,14 @@ def fit_sample(rows: DataFrame, key: Column, bound: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key), F.lit(_DRAWS)) < int(_DRAWS * bound / total))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null has none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ruptura.llm import simhash
+from ruptura.llm import bpe, langid, simhash
 from ruptura.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +23,21 @@ def query(fn):
 @query
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _fold(doc_id: str = "doc_id") -> Column:
+    """Fold 0 to 3 of a document; fold 2 is held out."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4
+
+
+@query
+def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    guessed = langid.identify(docs, docs.where(_fold() != 2))
+    return guessed.select("doc_id", (_fold() == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), path)
