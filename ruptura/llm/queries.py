@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruptura.llm import bpe, langid, simhash
+from ruptura.llm import bpe, html_text, langid, secrets, simhash
 from ruptura.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ def op3_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path)
+
+
+@query
+def op5_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_html_max_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
