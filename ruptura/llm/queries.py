@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruptura.llm import bpe, html_text, langid, secrets, simhash
+from ruptura.llm import bpe, html_text, langid, secrets, simhash, trie_counts
 from ruptura.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op5_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_html_max_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
