@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruptura.llm import bpe, html_text, langid, secrets, simhash, trie_counts
+from ruptura.llm import bpe, decontaminate, html_text, langid, quality, secrets, simhash, trie_counts
 from ruptura.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,17 @@ def op7_html_max_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op2_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs))
+
+
+@query
+def op6_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op6_minhash_containment"] = decontaminate.CONTAINED_SQL
