@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruptura.llm import bpe, decontaminate, html_text, langid, quality, secrets, simhash, trie_counts
+from ruptura.llm import bpe, decontaminate, html_text, langid, quality, secrets, simhash, substrings, trie_counts
 from ruptura.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op6_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_minhash_containment"] = decontaminate.CONTAINED_SQL
+
+
+@query
+def op8_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents")))
