@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruptura.llm import bpe, decontaminate, html_text, langid, quality, secrets, simhash, substrings, trie_counts
+from ruptura.llm import bpe, decontaminate, html_text, langid, quality, secrets, simhash, substrings, trie_counts, urls
 from ruptura.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,17 @@ ORACLES["op6_minhash_containment"] = decontaminate.CONTAINED_SQL
 @query
 def op8_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
