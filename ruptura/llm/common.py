@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruptura.runtime import checkpointed
+from ruptura.runtime import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["table", "checkpointed", "fit_sample", "fresh_name", "words_of"]
+__all__ = ["table", "checkpointed", "stored", "fit_sample", "fresh_name", "words_of"]
 
 #: Buckets of the hash that draws a fitting sample.
 _DRAWS = 1 << 20
@@ -17,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage of a large table: written as Parquet, a fraction of a checkpoint's size, in the shared folder."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def fit_sample(rows: DataFrame, key: Column, bound: int) -> DataFrame:
     """About ``bound`` rows (all, if there are fewer) for fitting a classifier.
 

@@ -7,10 +7,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruptura.llm.common import checkpointed
+from ruptura.llm.common import checkpointed, stored
 
 #: Bytes of a string that counts as repeated, and of its first digit.
 DEPTH = 100
@@ -92,107 +93,182 @@ def anchors(data: np.ndarray, depth: int = DEPTH, digit: int = DIGIT) -> Iterato
         yield where + at, first + at, last + at, digits[where], cell
 
 
-def _pack(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _pack(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """First window and its run in one long, ordered like the first window."""
     return (first << _SIDE) | (last - first)
 
 
-def _scan(id_name: str, rows_of, schema: pa.Schema):
-    """A mapInArrow function that makes rows from each text; ``rows_of`` gets the bytes and the batch's row."""
+def _rows(schema: pa.Schema, columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+
+CELLS = pa.schema([(n, pa.int64()) for n in ("id", "span", "digit", "cell")])
+RANGES = pa.schema([(n, pa.int64()) for n in ("id", "start", "stop")])
+CONTEXTS = pa.schema([("digit", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+WINDOWS = pa.schema([(n, pa.int64()) for n in ("id", "start", "code", "check")])
+#: Rows of an output batch, and bytes of contexts compared at a time.
+ROWS, GATHER = 1 << 16, 1 << 22
+#: Digits with more contexts than this are compared window by window across the cluster.
+GROUP = 1000
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
+
+
+def _cells(depth: int, digit: int):
+    """Rows ``id, span, digit, cell`` of the sampled suffixes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(id_name)
             parts, size = [], 0
-            for k in range(batch.num_rows):
-                text = batch.column("text")[k].as_buffer()
-                data = np.frombuffer(text, dtype=np.uint8) if text is not None else np.zeros(0, dtype=np.uint8)
-                for columns in rows_of(data, batch, k):
-                    parts.append((ids[k].as_py(), columns))
-                    size += len(columns[0])
-                if size > 1 << 16 or k == batch.num_rows - 1 and parts:
-                    own = np.repeat(np.array([p[0] for p in parts], dtype=np.int64), [len(p[1][0]) for p in parts])
-                    made = [np.concatenate([p[1][c] for p in parts]) for c in range(len(parts[0][1]))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, *made)], schema=schema)
+            for k, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+                for _, first, last, digits, cell in anchors(np.frombuffer(text.as_buffer(), dtype=np.uint8), depth, digit):
+                    parts.append((np.full(len(first), k), _pack(first, last), digits.view(np.int64), cell.view(np.int64)))
+                    size += len(first)
+                if size > ROWS:
+                    yield _rows(CELLS, [np.concatenate(c) for c in zip(*parts)])
                     parts, size = [], 0
+            if parts:
+                yield _rows(CELLS, [np.concatenate(c) for c in zip(*parts)])
 
     return apply
 
 
-def _fields(*names: str) -> pa.Schema:
-    return pa.schema([(n, pa.int64()) for n in names])
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they travel: compressed one by one."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [None if t is None else pack(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, type=pa.binary())], names=["id", "packed"])
 
 
-def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{n} long" for n in schema.names)
+def _unpacked(packed: bytes | None) -> bytes:
+    return b"" if packed is None else zstandard.ZstdDecompressor().decompress(packed)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+def _contexts(depth: int):
+    """Rows ``digit, id, start, bytes``: the windows that an open suffix serves, as one slice."""
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, size = [], 0
+            for id_, packed, open_ in zip(*(batch.column(c).to_pylist() for c in ("id", "packed", "open"))):
+                text = _unpacked(packed)
+                for row in open_:
+                    first = row["span"] >> _SIDE
+                    stop = first + (row["span"] & ((1 << _SIDE) - 1)) + depth
+                    parts.append((row["digit"], id_, first, text[first:stop]))
+                    size += stop - first
+                if size > GATHER:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*parts), CONTEXTS)], schema=CONTEXTS)
+                    parts, size = [], 0
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*parts), CONTEXTS)], schema=CONTEXTS)
+
+    return apply
+
+
+def _window_codes(ids: list, starts: list, slices: list[bytes], depth: int) -> list[np.ndarray]:
+    """Columns id, start, code and check of all windows of some slices."""
+    data = np.frombuffer(b"".join(slices), dtype=np.uint8)
+    lengths = np.array([len(x) for x in slices])
+    begins = np.cumsum(lengths) - lengths
+    counts = lengths - depth + 1
+    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(begins, counts) + within
+    codes = [np.empty(len(at), dtype=np.int64) for _ in (0, 1)]
+    for lo in range(0, len(data), BLOCK):
+        mine = slice(*np.searchsorted(at, (lo, lo + BLOCK)))
+        for which in (0, 1):
+            hashes = _Hashes(data[lo:lo + BLOCK + depth], which)
+            codes[which][mine] = hashes.between(at[mine] - lo, at[mine] - lo + depth).view(np.int64)
+    return [np.repeat(np.array(ids), counts), np.repeat(np.array(starts), counts) + within, *codes]
+
+
+def _compare(depth: int):
+    """Ranges of repeated windows from contexts whose digits come in one piece, in order."""
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        ids, starts, code, check = _window_codes(*(list(c) for c in list(zip(*rows))[1:]), depth)
+        order = np.lexsort((starts, ids, check, code))
+        code, check = code[order], check[order]
+        again = order[1:][(code[1:] == code[:-1]) & (check[1:] == check[:-1])]
+        again = again[np.lexsort((starts[again], ids[again]))]
+        ids, starts = ids[again], starts[again]
+        if not len(ids):
+            return _rows(RANGES, [ids, starts, starts])
+        # Neighbouring windows make one range.
+        new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + depth)))
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:] - 1, [len(ids) - 1]))
+        return _rows(RANGES, [ids[first], starts[first], starts[last] + depth])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(f.name).to_pylist() for f in CONTEXTS)):
+                if size > GATHER and row[0] != rows[-1][0]:
+                    yield settle(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[3])
+        if rows:
+            yield settle(rows)
+
+    return apply
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
-    """Byte ranges ``id, start, stop`` (several per text, overlapping) covered by windows that also start earlier.
 
-    The order of windows is (id, start). Passes, each on what the one before left in
-    groups of two or more:
+def _all_windows(depth: int):
+    """Rows ``id, start, code, check`` of the windows of contexts."""
 
-    1. digit: of the sampled suffixes, those whose first ``digit`` bytes occur twice;
-    2. depth: the suffixes are grouped by all windows they serve. In a group, all
-       windows repeat the first member's: the others' ranges are settled;
-    3. of digits that occur in several groups, the first members' windows one by one.
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 11):
+                part = batch.slice(at, 1 << 11)
+                yield _rows(WINDOWS, _window_codes(*(part.column(c).to_pylist() for c in ("id", "start", "bytes")), depth))
 
-    Counting is combined before each shuffle, and the joins back are against one row
-    per group, so that only the many-rowed side can be skewed.
+    return apply
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+
+
+def first_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
+    """The first of all sampled suffixes that serve equal windows: ``id, span, digit``.
+
+    What is not listed repeats what is.
     """
     texts = _texts(docs, id_col, text_col).where(f"id is not null and octet_length(text) >= {depth}")
-    digits, cells = _fields("id", "digit"), _fields("id", "span", "digit", "cell")
+    return stored(
+        texts.mapInArrow(_cells(depth, digit), _ddl(CELLS)).groupBy("digit", "cell")
+        .agg(F.min(F.struct("id", "span")).alias("head")).select("head.id", "head.span", "digit"),
+        "suffixes",
+    )
 
-    def only_digits(data, batch, k):
-        for _, _, _, d, _ in anchors(data, depth, digit):
-            yield (d.view(np.int64),)
 
-    def with_cells(data, batch, k):
-        for place, first, last, d, cell in anchors(data, depth, digit):
-            yield _pack(place, first, last), d.view(np.int64), cell.view(np.int64)
+def open_suffixes(heads: DataFrame) -> DataFrame:
+    """Those whose digit also heads other windows, so that some of theirs may still begin elsewhere: ``id, open``."""
+    mixed = heads.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("digit")
+    return heads.join(mixed, "digit").groupBy("id").agg(F.collect_list(F.struct("span", "digit")).alias("open"))
 
-    common = (
-        texts.mapInArrow(_scan("id", only_digits, digits), _ddl(digits)).groupBy("digit")
-        .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
-    )
-    found = checkpointed(texts.mapInArrow(_scan("id", with_cells, cells), _ddl(cells)).join(common, "digit"))
-    groups = checkpointed(
-        found.groupBy("digit", "cell")
-        .agg(F.min(F.struct("id", "span")).alias("head"), F.count(F.lit(1)).alias("n"))
-    )
-    heads = groups.where("n > 1").select("digit", "cell", "head")
-    start, run = F.shiftright("span", _SIDE), F.col("span").bitwiseAND(F.lit((1 << _SIDE) - 1))
-    settled = (
-        found.join(heads, ["digit", "cell"]).where(F.struct("id", "span") != F.col("head"))
-        .select("id", start.alias("start"), (start + run + depth).alias("stop"))
-    )
-    mixed = groups.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("digit")
-    open_spans = (
-        groups.join(mixed, "digit").groupBy(F.col("head.id").alias("id"))
-        .agg(F.sort_array(F.collect_set("head.span")).alias("spans"))
-    )
-    windows = _fields("id", "start", "code", "check")
-
-    def one_by_one(data, batch, k):
-        spans = np.asarray(batch.column("spans")[k].as_py(), dtype=np.int64)
-        first, last = spans >> _SIDE, (spans >> _SIDE) + (spans & ((1 << _SIDE) - 1))
-        for at, block in _blocks(data, depth):
-            n = len(block) - depth + 1
-            inside = np.zeros(n + 1, dtype=np.int64)
-            np.add.at(inside, np.clip(first - at, 0, n), 1)
-            np.add.at(inside, np.clip(last + 1 - at, 0, n), -1)
-            starts = np.flatnonzero(np.cumsum(inside[:n]) > 0)
-            if len(starts):
-                codes = [_Hashes(block, which).between(starts, starts + depth).view(np.int64) for which in (0, 1)]
-                yield (starts + at, *codes)
 
+def repeated_windows(contexts: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
+    """Ranges ``id, start, stop`` of windows in contexts that also start earlier.
+
+    Equal windows have equal digits. A digit's contexts meet in one task, unless there
+    are more than ``group``: then each window is a row, its first place is found by a
+    combined minimum, and the others by a join against it.
+    """
+    sizes = contexts.groupBy("digit").agg(F.count(F.lit(1)).alias("size"))
+    many = sizes.where(F.col("size") > group).select("digit")
+    few = (
+        contexts.join(many, "digit", "left_anti").repartition("digit").sortWithinPartitions("digit")
+        .mapInArrow(_compare(depth), _ddl(RANGES))
+    )
     single = checkpointed(
-        texts.join(open_spans, "id").mapInArrow(_scan("id", one_by_one, windows), _ddl(windows))
+        contexts.join(many, "digit", "left_semi").mapInArrow(_all_windows(depth), _ddl(WINDOWS))
     )
     firsts = (
         single.groupBy("code", "check").agg(F.min(F.struct("id", "start")).alias("head"), F.count(F.lit(1)).alias("n"))
@@ -202,11 +278,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         single.join(firsts, ["code", "check"]).where(F.struct("id", "start") != F.col("head"))
         .select("id", "start", (F.col("start") + depth).alias("stop"))
     )
-    return settled.union(rest)
+    return few.union(rest)
 
 
 def _merged(starts, stops, length: int) -> list[tuple[int, int]]:
-    """Maximal runs of the ranges that begin within a text of this length."""
+    """Maximal runs of the ranges, within a text of this length."""
     out: list[list[int]] = []
     for a, b in sorted(zip(starts, stops)):
         if a >= length:
@@ -218,25 +294,42 @@ def _merged(starts, stops, length: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _cut(text: Column, starts: Column, stops: Column) -> Column:
-    """Struct of the bytes left and the removed runs."""
-    kind = pa.struct([("kept", pa.binary()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64()))])
+CUT = pa.schema([
+    ("id", pa.int64()), ("text", pa.binary()), ("kept", pa.binary()),
+    ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64())),
+])
+
+
+def _cut(depth: int, digit: int):
+    """Texts without the windows of suffixes that aren't listed as first, and without the given ranges."""
 
-    @F.arrow_udf("kept binary, starts array<long>, stops array<long>")
-    def apply(texts: pa.Array, from_: pa.Array, to: pa.Array) -> pa.Array:
-        rows = []
-        for t, a, b in zip(texts, from_, to):
-            data = t.as_py() or b""
-            runs = _merged(a.as_py() or [], b.as_py() or [], len(data))
-            edges = [0, *(x for r in runs for x in r), len(data)]
-            kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2]))
-            rows.append({"kept": kept, "starts": [r[0] for r in runs], "stops": [r[1] for r in runs]})
-        return pa.array(rows, type=kind)
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for id_, packed, heads, ranges in zip(*(batch.column(c).to_pylist() for c in ("id", "packed", "heads", "ranges"))):
+                text = _unpacked(packed)
+                starts, stops = [r["start"] for r in ranges or ()], [r["stop"] for r in ranges or ()]
+                if id_ is not None and len(text) >= depth:
+                    own = np.array(heads or [], dtype=np.int64)
+                    for _, first, last, _, _ in anchors(np.frombuffer(text, dtype=np.uint8), depth, digit):
+                        again = ~np.isin(_pack(first, last), own)
+                        starts += first[again].tolist()
+                        stops += (last[again] + depth).tolist()
+                runs = _merged(starts, stops, len(text))
+                edges = [0, *(x for r in runs for x in r), len(text)]
+                kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
+                rows.append((id_, None if packed is None else text, kept, [r[0] for r in runs], [r[1] for r in runs]))
+                size += len(text)
+                if size > GATHER:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), CUT)], schema=CUT)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), CUT)], schema=CUT)
 
-    return apply(text, starts, stops)
+    return apply
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, digit: int = DIGIT, group: int = GROUP) -> DataFrame:
     """Each text as UTF-8 bytes without those covered by a ``depth``-byte string that also starts earlier.
 
     One row per input row: the id, ``text`` (the bytes), ``kept`` (the bytes left) and
@@ -244,14 +337,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and an earlier start. Null, empty and shorter texts lose nothing, nor do rows
     without id, which repeat nothing either. Rows under one id share their ranges.
     Other columns are ignored; an empty table gives no rows. Ids are integers.
+
+    Only sampled suffixes are sorted (``anchors``), most significant digit first:
+
+    1. their first ``digit`` bytes and all the windows they serve; of equal ones the
+       first is kept by a combined minimum, all others' windows are repeated;
+    2. digits that still head several kinds of windows are open: the bytes of those
+       windows meet by digit, and are compared to their full depth.
+
+    Texts are shuffled once, compressed, and meet both the open suffixes and the result.
     """
-    ranges = (
-        repeated_runs(docs, id_col, text_col, depth, digit).groupBy("id")
-        .agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    heads = first_suffixes(docs, id_col, text_col, depth, digit)
+    texts = _texts(docs, id_col, text_col)
+    travelling = texts.where("id is not null").mapInArrow(_compressed, "id long, packed binary")
+    contexts = stored(travelling.join(open_suffixes(heads), "id").mapInArrow(_contexts(depth), _ddl(CONTEXTS)), "contexts")
+    ranges = repeated_windows(contexts, depth, group)
+    of_doc = (
+        heads.select("id", "span", F.lit(None).cast("struct<start: bigint, stop: bigint>").alias("range"))
+        .union(ranges.select("id", F.lit(None).cast("long"), F.struct("start", "stop")))
+        .groupBy("id").agg(F.collect_list("span").alias("heads"), F.collect_list("range").alias("ranges"))
     )
-    rows = _texts(docs, id_col, text_col).join(ranges, "id", "left")
-    rows = rows.select("id", "text", _cut(F.col("text"), F.col("starts"), F.col("stops")).alias("cut"))
-    return rows.select(F.col("id").alias(id_col), "text", "cut.kept", "cut.starts", "cut.stops")
+    nothing = [F.lit(None).cast("array<bigint>").alias("heads"), F.lit(None).cast("array<struct<start: bigint, stop: bigint>>").alias("ranges")]
+    without = texts.where("id is null").mapInArrow(_compressed, "id long, packed binary").select("id", "packed", *nothing)
+    rows = travelling.join(of_doc, "id", "left").select("id", "packed", "heads", "ranges").union(without)
+    cut = rows.mapInArrow(_cut(depth, digit), "id long, text binary, kept binary, starts array<long>, stops array<long>")
+    return cut.withColumnRenamed("id", id_col)
 
 
 def digests(rows: DataFrame) -> DataFrame:
