@@ -106,8 +106,8 @@ CELLS = pa.schema([(n, pa.int64()) for n in ("id", "span", "digit", "cell")])
 RANGES = pa.schema([(n, pa.int64()) for n in ("id", "start", "stop")])
 CONTEXTS = pa.schema([("digit", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 WINDOWS = pa.schema([(n, pa.int64()) for n in ("id", "start", "code", "check")])
-#: Rows of an output batch, and bytes of contexts compared at a time.
-ROWS, GATHER = 1 << 16, 1 << 22
+#: Rows of an output batch, bytes of an output batch, and bytes of contexts compared at a time.
+ROWS, GATHER, COMPARE = 1 << 16, 1 << 22, 1 << 20
 #: Digits with more contexts than this are compared window by window across the cluster.
 GROUP = 1000
 
@@ -116,16 +116,29 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
 
 
+def _own_cells(text: pa.BinaryScalar, depth: int, digit: int) -> tuple[np.ndarray, ...]:
+    """Span, digit and cell of a text's sampled suffixes, the first of equal ones."""
+    found = [
+        (_pack(first, last), digits.view(np.int64), cell.view(np.int64))
+        for _, first, last, digits, cell in anchors(np.frombuffer(text.as_buffer(), dtype=np.uint8), depth, digit)
+    ]
+    span, digits, cell = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((span, cell, digits))
+    new = np.concatenate(([True], (digits[order[1:]] != digits[order[:-1]]) | (cell[order[1:]] != cell[order[:-1]])))
+    keep = order[new]
+    return span[keep], digits[keep], cell[keep]
+
+
 def _cells(depth: int, digit: int):
-    """Rows ``id, span, digit, cell`` of the sampled suffixes."""
+    """Rows ``id, span, digit, cell`` of the sampled suffixes, once for each cell of a text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, size = [], 0
             for k, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                for _, first, last, digits, cell in anchors(np.frombuffer(text.as_buffer(), dtype=np.uint8), depth, digit):
-                    parts.append((np.full(len(first), k), _pack(first, last), digits.view(np.int64), cell.view(np.int64)))
-                    size += len(first)
+                own = _own_cells(text, depth, digit)
+                parts.append((np.full(len(own[0]), k), *own))
+                size += len(own[0])
                 if size > ROWS:
                     yield _rows(CELLS, [np.concatenate(c) for c in zip(*parts)])
                     parts, size = [], 0
@@ -139,8 +152,10 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as they travel: compressed one by one."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        texts = [None if t is None else pack(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, type=pa.binary())], names=["id", "packed"])
+        for at in range(0, batch.num_rows, 1 << 10):
+            part = batch.slice(at, 1 << 10)
+            texts = [pack(t.as_buffer()) if t.is_valid else None for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(texts, type=pa.binary())], names=["id", "packed"])
 
 
 def _unpacked(packed: bytes | None) -> bytes:
@@ -153,7 +168,7 @@ def _contexts(depth: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, size = [], 0
-            for id_, packed, open_ in zip(*(batch.column(c).to_pylist() for c in ("id", "packed", "open"))):
+            for id_, packed, open_ in zip(*(map(pa.Scalar.as_py, batch.column(c)) for c in ("id", "packed", "open"))):
                 text = _unpacked(packed)
                 for row in open_:
                     first = row["span"] >> _SIDE
@@ -207,8 +222,8 @@ def _compare(depth: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(f.name).to_pylist() for f in CONTEXTS)):
-                if size > GATHER and row[0] != rows[-1][0]:
+            for row in zip(*(map(pa.Scalar.as_py, batch.column(f.name)) for f in CONTEXTS)):
+                if size > COMPARE and row[0] != rows[-1][0]:
                     yield settle(rows)
                     rows, size = [], 0
                 rows.append(row)
@@ -243,7 +258,7 @@ def first_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _texts(docs, id_col, text_col).where(f"id is not null and octet_length(text) >= {depth}")
     return stored(
         texts.mapInArrow(_cells(depth, digit), _ddl(CELLS)).groupBy("digit", "cell")
-        .agg(F.min(F.struct("id", "span")).alias("head")).select("head.id", "head.span", "digit"),
+        .agg(F.min("id").alias("id"), F.min_by("span", "id").alias("span")).select("id", "span", "digit"),
         "suffixes",
     )
 
@@ -306,11 +321,11 @@ def _cut(depth: int, digit: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for id_, packed, heads, ranges in zip(*(batch.column(c).to_pylist() for c in ("id", "packed", "heads", "ranges"))):
-                text = _unpacked(packed)
-                starts, stops = [r["start"] for r in ranges or ()], [r["stop"] for r in ranges or ()]
+            for id_, packed, heads, ranges in zip(*(batch.column(c) for c in ("id", "packed", "heads", "ranges"))):
+                id_, text = id_.as_py(), _unpacked(packed.as_py())
+                starts, stops = ([r[c] for r in ranges.as_py() or ()] for c in ("start", "stop"))
                 if id_ is not None and len(text) >= depth:
-                    own = np.array(heads or [], dtype=np.int64)
+                    own = heads.values.to_numpy(zero_copy_only=False) if heads.is_valid else np.zeros(0, dtype=np.int64)
                     for _, first, last, _, _ in anchors(np.frombuffer(text, dtype=np.uint8), depth, digit):
                         again = ~np.isin(_pack(first, last), own)
                         starts += first[again].tolist()
@@ -318,7 +333,7 @@ def _cut(depth: int, digit: int):
                 runs = _merged(starts, stops, len(text))
                 edges = [0, *(x for r in runs for x in r), len(text)]
                 kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
-                rows.append((id_, None if packed is None else text, kept, [r[0] for r in runs], [r[1] for r in runs]))
+                rows.append((id_, text if packed.is_valid else None, kept, [r[0] for r in runs], [r[1] for r in runs]))
                 size += len(text)
                 if size > GATHER:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), CUT)], schema=CUT)
