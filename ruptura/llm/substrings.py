@@ -116,6 +116,11 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
 
 
+def _values(column: pa.Array) -> Iterator:
+    """Python values one at a time, so that a batch isn't held twice."""
+    return (x.as_py() for x in column)
+
+
 def _own_cells(text: pa.BinaryScalar, depth: int, digit: int) -> tuple[np.ndarray, ...]:
     """Span, digit and cell of a text's sampled suffixes, the first of equal ones."""
     found = [
@@ -168,7 +173,7 @@ def _contexts(depth: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, size = [], 0
-            for id_, packed, open_ in zip(*(map(pa.Scalar.as_py, batch.column(c)) for c in ("id", "packed", "open"))):
+            for id_, packed, open_ in zip(*(_values(batch.column(c)) for c in ("id", "packed", "open"))):
                 text = _unpacked(packed)
                 for row in open_:
                     first = row["span"] >> _SIDE
@@ -222,7 +227,7 @@ def _compare(depth: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(map(pa.Scalar.as_py, batch.column(f.name)) for f in CONTEXTS)):
+            for row in zip(*(_values(batch.column(f.name)) for f in CONTEXTS)):
                 if size > COMPARE and row[0] != rows[-1][0]:
                     yield settle(rows)
                     rows, size = [], 0
