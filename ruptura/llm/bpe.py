@@ -7,6 +7,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -19,7 +20,7 @@ GATHER = 1 << 19
 #: Steps of the blocked scan: a batch is cut into blocks of so many code points.
 STEPS = 256
 #: Distinct pre-tokens whose merges a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 # Symbols of the transducer. A letter, number or other mark; an apostrophe that could begin a contraction
 # of two or three characters; white space inside a run, or the last before something else (space or not);
@@ -217,8 +218,8 @@ def _pairs(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, np.array([joined[c] for c in codes.tolist()], dtype=np.int64), np.array([ranks[bytes([b])] for b in range(256)])
 
 
-def merge_many(pieces: list[bytes], path: str) -> list[tuple[int, ...]]:
-    """``merge`` for many short pre-tokens at a time: one row each, one merge per row and step."""
+def merge_many(pieces: list[bytes], path: str) -> list[bytes]:
+    """``merge`` for many short pre-tokens at a time, as the bytes of 32-bit ids: one row each, one merge per row and step."""
     codes, joined, single = _pairs(path)
     size = len(load_ranks(path))
     lengths = np.array([len(p) for p in pieces])
@@ -234,14 +235,19 @@ def merge_many(pieces: list[bytes], path: str) -> list[tuple[int, ...]]:
     ids = np.full((len(pieces), width + 1), -1, dtype=np.int64)
     ids[rows, columns] = single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
     costs = rank(ids[:, :-1], ids[:, 1:])
-    out: list[tuple[int, ...]] = [()] * len(pieces)
+    out = [b""] * len(pieces)
     own = np.arange(len(pieces))
     while len(own):
         low = costs.argmin(axis=1)
         best = costs[np.arange(len(own)), low]
         done = np.flatnonzero(best == size)
-        for k, row in zip(own[done].tolist(), ids[done].tolist()):
-            out[k] = tuple(row[:row.index(-1)])
+        found = ids[done]
+        width_of = (found[:, :-1] >= 0).sum(axis=1)
+        data = found.astype(np.int32)
+        data = data[:, :-1][found[:, :-1] >= 0].tobytes()
+        ends = 4 * np.cumsum(width_of)
+        for k, a, b in zip(own[done].tolist(), (ends - 4 * width_of).tolist(), ends.tolist()):
+            out[k] = data[a:b]
         open_ = np.flatnonzero(best < size)
         own, ids, costs, low, best = own[open_], ids[open_], costs[open_], low[open_], best[open_]
         if not len(own):
@@ -260,11 +266,11 @@ def merge_many(pieces: list[bytes], path: str) -> list[tuple[int, ...]]:
 
 
 class _Known(dict):
-    """Remembered merges; long pre-tokens are only held for the texts at hand."""
+    """Remembered merges, as the bytes of 32-bit ids; long pre-tokens are only held for the texts at hand."""
 
-    long: dict[bytes, tuple[int, ...]] = {}
+    long: dict[bytes, bytes] = {}
 
-    def __missing__(self, piece: bytes) -> tuple[int, ...]:
+    def __missing__(self, piece: bytes) -> bytes:
         return self.long[piece]
 
 
@@ -288,9 +294,11 @@ class Encoder:
         short = [p for p in new if len(p) <= self.SHORT_PIECE]
         if short:
             self.known.update(zip(short, merge_many(short, self.path)))
-        self.known.long = {p: merge(p, self.ranks) for p in new if len(p) > self.SHORT_PIECE}
+        self.known.long = {
+            p: np.array(merge(p, self.ranks), dtype=np.int32).tobytes() for p in new if len(p) > self.SHORT_PIECE
+        }
         for pieces in split:
-            yield np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), dtype=np.int32)
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), dtype=np.int32)
 
 
 @cache
@@ -346,18 +354,6 @@ def encode(text: Column, path: str) -> Column:
     return apply(text)
 
 
-def encode_ids(text: Column, path: str) -> Column:
-    """Token ids alone."""
-
-    @F.pandas_udf("array<int>")
-    def apply(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(path)
-        for texts in parts:
-            yield pd.Series([x for group in _gathered(texts) for x in encoder.encode(group)], dtype=object)
-
-    return apply(text)
-
-
 def decode(ids: Column, path: str) -> Column:
     """Bytes of a column of token ids; empty for null."""
 
@@ -369,18 +365,31 @@ def decode(ids: Column, path: str) -> Column:
     return apply(ids)
 
 
+def _digests(text: Column, path: str) -> Column:
+    """Struct of the number of tokens, and the digests of the ids and of the bytes they decode to."""
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def apply(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(path)
+        name = [str(k) for k in range(len(_tokens(path)[1]) - 1)].__getitem__
+        for texts in parts:
+            rows = [
+                (len(ids), sha256(" ".join(map(name, ids.tolist())).encode()).hexdigest(), sha256(decode_ids(ids, path)).hexdigest())
+                for group in _gathered(texts) for ids in encoder.encode(group)
+            ]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return apply(text)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of the ids of every whole text and of what they decode to.
 
     One row per input row: the id, ``n_tokens``, ``ids_sha256`` (decimal ids joined by
     one space) and ``decoded_sha256``. Null and empty texts have no tokens and the
-    digests of empty strings. Nothing is shuffled; repeated rows repeat, other columns
-    are ignored, and an empty table gives no rows.
+    digests of empty strings. Nothing is shuffled, and the ids don't leave the worker;
+    ``encode`` and ``decode`` return them. Repeated rows repeat, other columns are
+    ignored, and an empty table gives no rows.
     """
-    ids = docs.select(F.col(id_col).alias("id"), encode_ids(F.col(text_col), path).alias("ids"))
-    return ids.select(
-        F.col("id").alias(id_col),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"),
-    )
+    rows = docs.select(F.col(id_col).alias("id"), _digests(F.col(text_col), path).alias("made"))
+    return rows.select(F.col("id").alias(id_col), "made.n_tokens", "made.ids_sha256", "made.decoded_sha256")
