@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ruptura.catalog.physics import drawn, phase_table
 from ruptura.catalog.standins import COST_SQL, KEY, KEYS, alloys, alloys_sql, metallurgy_ctes, query, rounded, table
 from ruptura.constants import DESIGN_ELEMENTS
+from ruptura.operators.order import dense_index
 from ruptura.operators import composition, diversity, pareto, penalties, selection
 from ruptura.plans import design
 from ruptura.plans.ood import OodModel, build_reference
@@ -70,11 +71,11 @@ RANK_SQL = "score, predicted_log_life DESC, cost_ok DESC, excess, material_cost,
 
 @query("rank_candidates", f"""
 WITH {CAND_SQL}, {scored_sql(False, 1.9)}
-SELECT candidate_id, round(score, 5) AS score, round(predicted_log_life, 6) AS predicted_log_life, round(material_cost, 6) AS material_cost
-FROM (SELECT * FROM sc ORDER BY {RANK_SQL} LIMIT 100)""")
+SELECT candidate_id, round(score, 5) AS score, round(predicted_log_life, 6) AS predicted_log_life, round(material_cost, 6) AS material_cost,
+  row_number() OVER (ORDER BY {RANK_SQL}) - 1 AS place FROM sc""")
 def rank_candidates(spark, d):
-    ranked = selection.rank_candidates(candidates(spark, d), 1.9, False, top=100)
-    out = ranked.select("candidate_id", F.col("selection_physical_score").alias("score"), "predicted_log_life", "material_cost")
+    ranked = dense_index(selection.rank_candidates(candidates(spark, d), 1.9, False), None, "place")
+    out = ranked.select("candidate_id", "place", F.col("selection_physical_score").alias("score"), "predicted_log_life", "material_cost")
     return rounded(rounded(out, 5, "score"), 6, "predicted_log_life", "material_cost")
 
 
@@ -117,11 +118,13 @@ def prescreen_topn(spark, d):
 
 
 @query("sorted_table", """
-SELECT p_partkey, p_retailprice FROM part ORDER BY CASE WHEN p_size > 40 THEN NULL ELSE p_retailprice END DESC NULLS LAST, p_partkey LIMIT 50""")
+SELECT p_partkey, p_retailprice,
+  row_number() OVER (ORDER BY CASE WHEN p_size > 40 THEN NULL ELSE p_retailprice END DESC NULLS LAST, p_partkey) - 1 AS place FROM part""")
 def sorted_table(spark, d):
     rows = table(spark, d, "part").withColumn(
         "key", F.when(F.col("p_size") > 40, F.lit(float("nan"))).otherwise(F.col("p_retailprice")))
-    return selection.sort_candidates(rows, "key", False, ["p_partkey"]).limit(50).select("p_partkey", "p_retailprice")
+    ordered = dense_index(selection.sort_candidates(rows, "key", False, ["p_partkey"]), None, "place")
+    return ordered.select("p_partkey", "p_retailprice", "place")
 
 
 def front_sql(source: str, cols: dict[str, str]) -> str:

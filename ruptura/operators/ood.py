@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ruptura.constants import (
     DESIGN_ELEMENTS, OOD_DEFAULT_THRESHOLD, OOD_MISMATCH_VALUE, OOD_PENALTY_WEIGHT, OOD_QUANTILE, OOD_RIDGE,
 )
-from ruptura.functions.numeric import total
+from ruptura.functions.numeric import finite, total
 from ruptura.functions.physics import excess_penalty
 from ruptura.operators.cleaning import active_features, complete_cases
 from ruptura.operators.quantiles import exact_quantiles
@@ -59,7 +59,8 @@ def fit_reference(
     df: DataFrame, features: Sequence[str], quantile: float = OOD_QUANTILE,
     ridge: float = OOD_RIDGE, scaled_ridge: bool = False,
 ) -> OodReference:
-    """Moments, inverse and the distance threshold of a reference table."""
+    """Moments, inverse and the distance threshold of a reference table; a missing value counts as 0, as in distances."""
+    df = df.withColumns({f: F.coalesce(finite(F.col(f).cast("double")), F.lit(0.0)) for f in features})
     m: Moments = moments(df, features)
     std = tuple(1.0 if s < 1e-12 else s for s in m.std)
     ref = OodReference(m.features, m.mean, regularised_inverse(m.cov, ridge, scaled_ridge), std, None, quantile, m.n)
@@ -86,7 +87,7 @@ def fit_reference_raw(
 
 
 def _diff(ref: OodReference) -> list[Column]:
-    return [F.coalesce(F.col(f), F.lit(0.0)) - m for f, m in zip(ref.features, ref.mean)]
+    return [F.coalesce(finite(F.col(f).cast("double")), F.lit(0.0)) - m for f, m in zip(ref.features, ref.mean)]
 
 
 def mahalanobis(ref: OodReference) -> Column:

@@ -18,18 +18,25 @@ from pyspark.sql import functions as F
 from ruptura.functions.numeric import half_even
 
 DIGITS = 3
+#: Rows without a group form a group of their own.
+NO_GROUP = "\x00"
 GROUP_LIMIT = 200_000
 
 
 def group_key(columns: list[str], digits: int | None = None) -> Column:
-    """Composition columns as one text key, optionally rounded first."""
+    """Composition columns as one text key, optionally rounded first; a missing value reads ``nan``."""
     parts = [F.col(c) if digits is None else half_even(F.col(c), digits) for c in columns]
-    return F.concat_ws("-", *[p.cast("string") for p in parts])
+    return F.concat_ws("-", *[F.coalesce(p.cast("string"), F.lit("nan")) for p in parts])
 
 
-def order_hash(key: str | Column, seed: int) -> Column:
+def group_text(key: str | Column) -> Column:
+    """A group's name as text, never NULL."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return F.coalesce(key.cast("string"), F.lit(NO_GROUP))
+
+
+def order_hash(key: str | Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), group_text(key)))
 
 
 @dataclass(frozen=True)
@@ -43,7 +50,7 @@ class GroupCut:
 
     def is_test(self) -> Column:
         h = order_hash(self.key, self.seed)
-        k = F.col(self.key).cast("string")
+        k = group_text(self.key)
         return (h < self.cut_hash) | ((h == self.cut_hash) & (k <= self.cut_key))
 
     def test(self, df: DataFrame) -> DataFrame:
@@ -60,7 +67,7 @@ def _find_cut(df: DataFrame, key: str, seed: int, target: float, measure: str, l
     the last level sorts only the groups that share one hash prefix.
     """
     h = order_hash(key, seed)
-    base = df.select(h.alias("h"), F.col(key).cast("string").alias("k"))
+    base = df.select(h.alias("h"), group_text(key).alias("k"))
     prefix, before = "", 0
     while True:
         inside = base.filter(F.col("h").startswith(prefix)) if prefix else base

@@ -116,12 +116,13 @@ class Moments:
 
 
 def moments(df: DataFrame, features: Sequence[str]) -> Moments:
-    """Two scans of the feature columns: means, then centred products.
+    """Two scans of the rows that have all features: means, then centred products.
 
     Centred sums keep their digits at any row count, and need one buffer per
     pair where a built-in covariance needs four.
     """
     d = len(features)
+    df = df.dropna(subset=list(features))
     first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)]).first()
     n = first["n"]
     if n < 2:

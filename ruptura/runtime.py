@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,6 +16,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -37,22 +36,18 @@ def tune(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for checkpoints: the one the cluster names, else a local one.
+    """Directory for checkpoints: the one the cluster names, else one in the warehouse.
 
-    Only a local-mode session may fall back to a temporary folder, because on
-    a cluster such a folder would be lost with its machine.
+    The warehouse is shared by definition. Checkpoints that are no longer referenced
+    are deleted where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ruptura-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    sc.setCheckpointDir(named or f"{warehouse}/_checkpoints")
     return sc.getCheckpointDir()
 
 

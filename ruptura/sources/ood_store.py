@@ -17,6 +17,7 @@ ALIASES = {
     "cov_inv": ["ood_reference_cov_inv", "reference_cov_inv", "composition_cov_inv", "cov_inv", "inverse_covariance"],
     "features": ["ood_reference_features", "reference_features", "composition_features", "features"],
     "threshold": ["ood_distance_threshold", "reference_threshold", "mahalanobis_threshold", "threshold"],
+    "std": ["ood_reference_std", "reference_std", "composition_std", "std"],
 }
 
 
@@ -51,7 +52,8 @@ def reference_from_payload(df: DataFrame) -> OodReference | None:
     features = tuple(row["features"] or DESIGN_ELEMENTS)
     threshold = OOD_DEFAULT_THRESHOLD if row["threshold"] is None else float(row["threshold"])
     cov_inv = tuple(tuple(float(v) for v in r) for r in row["cov_inv"])
-    return OodReference(features, tuple(float(v) for v in row["mean"]), cov_inv, (1.0,) * len(features), threshold)
+    std = tuple(float(v) for v in row["std"]) if row["std"] else (1.0,) * len(features)
+    return OodReference(features, tuple(float(v) for v in row["mean"]), cov_inv, std, threshold)
 
 
 def load_reference(spark: SparkSession, paths: Sequence[str], required: bool = True) -> OodReference | None:

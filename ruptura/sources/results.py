@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
@@ -30,10 +32,11 @@ def clean_results(df: DataFrame, nested: dict[str, str] | None = None) -> DataFr
 
     ``nested`` gives the type of the columns that hold lists or maps. A text
     column becomes numeric when all its values are numbers. Columns without a
-    name and index columns are dropped.
+    name (which a reader without header calls ``_c0``, ``_c1`` and so on) and index
+    columns are dropped.
     """
     nested = nested or {}
-    names = [c for c in df.columns if c.strip() and not c.strip().startswith("Unnamed:") and not c.startswith("_c")]
+    names = [c for c in df.columns if c.strip() and not c.strip().startswith("Unnamed:") and not re.fullmatch(r"_c\d+", c)]
     texts = [f.name for f in df.schema.fields if f.name in names and isinstance(f.dataType, StringType)]
     plain = [c for c in texts if c.strip() not in nested]
     bad = {}

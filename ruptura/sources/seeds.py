@@ -10,6 +10,7 @@ from ruptura.constants import (
     SEED_VERSION,
 )
 from ruptura.operators.composition import from_map, rule_based_seeds
+from ruptura.operators.order import dense_index
 from ruptura.sources.tables import path_exists
 
 SEED_TYPE = "array<struct<composition: map<string,double>>>"
@@ -17,16 +18,21 @@ ENVELOPE = f"composition map<string,double>, seeds {SEED_TYPE}"
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """Seeds of a JSON file, a list or ``{"seeds": [...]}``; a missing file has none."""
+    """Seeds of a JSON file or a folder of them, lists or ``{"seeds": [...]}``; a missing file has none.
+
+    Seeds are numbered from 1 by file and by position in it.
+    """
     if not path_exists(spark, path):
-        return spark.createDataFrame([], "seed_id int, composition map<string,double>")
+        return spark.createDataFrame([], "seed_id long, composition map<string,double>")
     raw = spark.read.schema(ENVELOPE).option("multiLine", True).json(path)
     wrapped = F.when(F.col("seeds").isNotNull(), F.col("seeds")).otherwise(F.array(F.struct("composition")))
-    # A seed file is one JSON document, so its seeds are numbered inside one row or file.
-    listed = raw.select(F.posexplode(wrapped).alias("pos", "seed"), F.monotonically_increasing_id().alias("row"))
-    return listed.select(
-        (F.col("row") + F.col("pos") + 1).cast("int").alias("seed_id"), F.col("seed.composition").alias("composition")
-    ).filter(F.col("composition").isNotNull())
+    placed = raw.select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"),
+        F.posexplode(wrapped).alias("pos", "seed"),
+    ).filter("seed.composition is not null")
+    return dense_index(placed, ["file", "row", "pos"], "index").select(
+        (F.col("index") + 1).alias("seed_id"), F.col("seed.composition").alias("composition")
+    )
 
 
 def extract_seed_json(df: DataFrame, text: str, out: str = "composition", key: list[str] = ()) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
@@ -61,19 +64,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+#: Spark's error conditions for files that are not of the expected format.
+UNPARSABLE = ("FAILED_READ_FILE.CANNOT_READ_FILE_FOOTER", "MALFORMED", "UNABLE_TO_INFER_SCHEMA")
+
+
 def first_available(
     spark: SparkSession, paths: Sequence[str], read: Callable[[SparkSession, str], DataFrame] = read_table,
     tag: str | None = "source_file",
 ) -> DataFrame | None:
-    """The first source that exists, can be read and has rows, tagged with its file name."""
+    """The first source that exists, can be parsed and has rows, tagged with its file name.
+
+    A source that is empty or no table at all gives way to the next one, with a
+    warning. Other failures, such as a refused access, are raised.
+    """
     for path in paths:
         if not path_exists(spark, path):
             continue
         try:
             df = read(spark, path)
             if df.isEmpty():
+                warnings.warn(f"{path}: no rows", stacklevel=2)
                 continue
-        except Exception:  # an unreadable source gives way to the next one
+        except (PySparkException, Py4JJavaError) as error:
+            told = [c for c in UNPARSABLE if f"[{c}" in str(error)]
+            if not told:
+                raise
+            warnings.warn(f"{path}: {told[0]}", stacklevel=2)
             continue
         return df.withColumn(tag, F.lit(path.rstrip("/").split("/")[-1])) if tag else df
     return None
