@@ -9,38 +9,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruptura.functions.numeric import finite, total
+from ruptura.functions.numeric import finite
+from ruptura.operators.order import dense_index
 from ruptura.runtime import checkpointed
 
-BLOCK = 20_000
+BLOCK = 5_000
 CHUNK = 512
 
 
-def undominated(points: np.ndarray, front: np.ndarray | None = None) -> np.ndarray:
-    """Mask of the points that neither ``front`` nor another point dominates; smaller is better.
+def undominated(points: np.ndarray) -> np.ndarray:
+    """Mask of the points that no other point dominates; smaller is better.
 
     Points must be distinct and sorted so that none is dominated by a later one.
     """
     keep = np.ones(len(points), dtype=bool)
-    found = np.empty((0, points.shape[1])) if front is None else front
     for start in range(0, len(points), CHUNK):
         part = points[start:start + CHUNK]
-        beaten = np.zeros(len(part), dtype=bool)
-        for lead in range(0, len(found), CHUNK):
-            some = found[lead:lead + CHUNK]
-            at = np.flatnonzero(~beaten)
-            if not len(at):
-                break
-            better = (some[None, :, :] <= part[at][:, None, :]).all(axis=2)
-            strict = (some[None, :, :] < part[at][:, None, :]).any(axis=2)
-            beaten[at] = (better & strict).any(axis=1)
-        left = part[~beaten]
-        if len(left):
-            better = (left[None, :, :] <= left[:, None, :]).all(axis=2) & (left[None, :, :] < left[:, None, :]).any(axis=2)
-            ok = ~better.any(axis=1)
-            keep[start:start + CHUNK][~beaten] = ok
-            found = np.vstack([found, left[ok]])
-        keep[start:start + CHUNK][beaten] = False
+        before = points[:start][keep[:start]]
+        lost = _beaten_by(part, before)
+        left = np.flatnonzero(~lost)
+        lost[left] = _beaten_by(part[left], part[left])
+        keep[start:start + CHUNK] = ~lost
     return keep
 
 
@@ -73,11 +62,12 @@ def pareto_front(df: DataFrame, objectives: dict[str, str], genes: Sequence[str]
 
 
 def _front(distinct: DataFrame, costs: list[str], block: int) -> DataFrame | None:
-    """Sort-filter skyline in bounded blocks.
+    """Skyline per task, then comparisons between blocks of the survivors.
 
-    Each partition first drops what it can beat itself. Then the best ``block``
-    rows by summed cost are settled: nothing later in that order can dominate
-    them. They go to every task to thin out the rest, and the next block follows.
+    Survivors are numbered in lexicographic order and cut into blocks of ``block``
+    rows. A point is only beaten by one of its own or an earlier block, and only if
+    that block's least corner beats the greatest corner of its own; such pairs of
+    blocks are compared, each pair in a group of two blocks at most.
     """
     schema = distinct.schema
 
@@ -86,54 +76,60 @@ def _front(distinct: DataFrame, costs: list[str], block: int) -> DataFrame | Non
         for pdf in batches:
             points = pdf[costs].to_numpy(dtype=float)
             points = points if best is None else np.vstack([best, points])
-            points = np.unique(points, axis=0)
             points = points[_sorted(points)]
             best = points[undominated(points)]
-            if len(best) > block:  # keep memory bounded: hand on the tail as it is
-                yield pd.DataFrame(best[block // 2:], columns=costs)
-                best = best[:block // 2]
+            if len(best) > block:  # keep memory and time bounded: blocks are compared below
+                yield pd.DataFrame(best, columns=costs)
+                best = None
         if best is not None:
             yield pd.DataFrame(best, columns=costs)
 
-    rest = checkpointed(distinct.mapInPandas(local, schema).distinct())
-    order = [total(costs).alias("_sum"), *costs]
-    settled: list[DataFrame] = []
-    spark = distinct.sparkSession
-    while True:
-        head = np.array([tuple(r)[1:] for r in rest.select(*order).orderBy("_sum", *costs).limit(block).collect()])
-        if not len(head):
-            break
-        front = head[undominated(head)]
-        settled.append(spark.createDataFrame(pd.DataFrame(front, columns=costs), schema))
-        if len(head) < block:
-            break
-        last = tuple(float(v) for v in head[-1])
-        after = F.struct(*order) > F.struct(F.lit(float(_row_sum(last))).alias("_sum"), *[F.lit(v) for v in last])
-
-        def thin(batches: Iterator[pd.DataFrame], front: np.ndarray = front) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                points = pdf[costs].to_numpy(dtype=float)
-                beaten = np.zeros(len(points), dtype=bool)
-                for lead in range(0, len(front), CHUNK):
-                    at = np.flatnonzero(~beaten)
-                    for start in range(0, len(at), CHUNK):
-                        some = at[start:start + CHUNK]
-                        ours, theirs = points[some][:, None, :], front[lead:lead + CHUNK][None, :, :]
-                        beaten[some] = ((theirs <= ours).all(axis=2) & (theirs < ours).any(axis=2)).any(axis=1)
-                yield pdf[~beaten]
-
-        rest = checkpointed(rest.filter(after).mapInPandas(thin, schema))
-    if not settled:
+    # Few bytes, much work: keep adaptive execution from merging the tasks.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = dense_index(distinct.repartition(tasks).mapInPandas(local, schema), costs, "_place")
+    placed = placed.withColumn("_block", F.floor(F.col("_place") / block)).drop("_place")
+    if placed.isEmpty():
         return None
-    out = settled[0]
-    for part in settled[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _row_sum(values: tuple[float, ...]) -> float:
-    """Sum in the same order as the column expression adds."""
-    out = values[0]
-    for v in values[1:]:
-        out += v
+    corners = placed.groupBy("_block").agg(
+        *[F.min(c).alias(f"_lo{c}") for c in costs], *[F.max(c).alias(f"_hi{c}") for c in costs])
+    # One row per block on either side.
+    low = corners.select(F.col("_block").alias("_from"), *[f"_lo{c}" for c in costs])
+    high = corners.select(F.col("_block").alias("_to"), *[f"_hi{c}" for c in costs])
+    reaches = F.col("_from") <= F.col("_to")
+    for c in costs:
+        reaches = reaches & (F.col(f"_lo{c}") <= F.col(f"_hi{c}"))
+    pairs = checkpointed(low.join(high, reaches).select("_from", "_to"))
+    own = F.col("_from") == F.col("_to")
+    ahead = placed.join(pairs.where(~own), placed["_block"] == F.col("_from")).select("_from", "_to", *costs, F.lit(True).alias("_ahead"))
+    behind = placed.join(pairs, placed["_block"] == F.col("_to")).select("_from", "_to", *costs, F.lit(False).alias("_ahead"))
+
+    def beaten(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = pdf.loc[~pdf["_ahead"], costs].to_numpy(dtype=float)
+        points = points[_sorted(points)]
+        if pdf["_ahead"].any():
+            lost = _beaten_by(points, pdf.loc[pdf["_ahead"], costs].to_numpy(dtype=float))
+        else:
+            lost = ~undominated(points)
+        return pd.DataFrame(points[lost], columns=costs)
+
+    both = ahead.unionByName(behind).repartition(tasks, "_from", "_to")
+    lost = both.groupBy("_from", "_to").applyInPandas(beaten, schema).distinct()
+    return placed.drop("_block").join(lost, costs, "left_anti")
+
+
+def _beaten_by(points: np.ndarray, front: np.ndarray) -> np.ndarray:
+    """Mask of the points that a point of ``front`` dominates."""
+    out = np.zeros(len(points), dtype=bool)
+    for lead in range(0, len(front), CHUNK):
+        some = front[lead:lead + CHUNK]
+        left = np.flatnonzero(~out)
+        for start in range(0, len(left), CHUNK):
+            at = left[start:start + CHUNK]
+            better = np.ones((len(at), len(some)), dtype=bool)
+            strict = np.zeros((len(at), len(some)), dtype=bool)
+            for k in range(points.shape[1]):
+                ours, theirs = points[at, k][:, None], some[:, k][None, :]
+                better &= theirs <= ours
+                strict |= theirs < ours
+            out[at] = (better & strict).any(axis=1)
     return out
