@@ -6,7 +6,8 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from ruptura.catalog.standins import KEY, KEYS, alloys, query, rounded, table
+from ruptura.catalog.standins import DESIGN, KEY, KEYS, alloys, lines_sql, query, rounded, table
+from ruptura.catalog.stats import cut_sql
 from ruptura.operators import neighbors, ood, stats
 from ruptura.operators.order import dense_index
 from ruptura.plans.ood import OodModel, build_reference, build_reference_raw, ood_report
@@ -124,10 +125,19 @@ def report(spark, d):
 LOGGED = {"temp": "773.15e0 + 4e0 * l_quantity", "stress": "40e0 + l_extendedprice / 501.3e0", "log_lifetime": "3e0 + l_tax"}
 
 
-@query("ood_reference_build")
+DESIGN_TOTAL = "(" + " + ".join(f'"{e}"' for e in DESIGN) + ")"
+REFERENCE_COLUMNS = [*DESIGN, "stress", "temp", "log_life", "total_alloy", "fe_balance"]
+
+
+@query("ood_reference_build", f"""
+WITH {cut_sql('lineitem', 'l_partkey', 42, 'picked', '0.2e0')},
+a AS (SELECT *, log_lifetime AS log_life, {DESIGN_TOTAL} AS total_alloy, greatest(0e0, 100e0 - {DESIGN_TOTAL}) AS fe_balance
+  FROM ({lines_sql(DESIGN, LOGGED)}) WHERE l_partkey NOT IN (SELECT k FROM picked)),
+f AS (SELECT * FROM a WHERE "Cr" BETWEEN 8 AND 12 AND "Ni" BETWEEN 0 AND 2 AND fe_balance >= 80 AND total_alloy <= 20)
+SELECT {', '.join(f'round("{c}", 6) AS "{c}"' for c in REFERENCE_COLUMNS)}, row_number() OVER (ORDER BY {KEYS}) - 1 AS row_index FROM f""")
 def ood_reference_build(spark, d):
     model = build_reference(alloys(spark, d, LOGGED), "l_partkey", KEY)
-    return model.rows
+    return rounded(model.rows, 6, *REFERENCE_COLUMNS)
 
 
 @query("ood_reference_raw")
