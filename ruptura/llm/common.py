@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ruptura.runtime import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["table", "checkpointed", "stored", "fit_sample", "fresh_name", "words_of"]
+__all__ = ["table", "checkpointed", "stored", "small", "fit_sample", "fresh_name", "words_of"]
 
-#: Buckets of the hash that draws a fitting sample.
-_DRAWS = 1 << 20
+#: A table is broadcast only if a count has shown that it has no more rows than this.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,16 +26,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it has been counted to be small; otherwise the planner shuffles."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def fit_sample(rows: DataFrame, key: Column, bound: int) -> DataFrame:
     """About ``bound`` rows (all, if there are fewer) for fitting a classifier.
 
     Rows are drawn by a hash of their key, so a recomputed task draws the same.
-    Rows with equal keys are drawn together.
+    Rows with equal keys are drawn together. The whole range of the hash is used, so
+    that tables of any size give a sample.
     """
     total = rows.count()
     if total <= bound:
         return rows
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(_DRAWS)) < int(_DRAWS * bound / total))
+    return rows.where(F.xxhash64(key) < F.lit(draw_limit(bound, total)))
+
+
+def draw_limit(bound: int, total: int) -> int:
+    """Signed 64-bit hashes below this are the share ``bound / total`` of all."""
+    return (bound << 64) // total - (1 << 63)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruptura.llm.common import checkpointed, stored
+from ruptura.llm.common import checkpointed, small, stored
 
 #: Bytes of a string that counts as repeated, and of its first digit.
 DEPTH = 100
@@ -269,8 +269,14 @@ def first_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def open_suffixes(heads: DataFrame) -> DataFrame:
-    """Those whose digit also heads other windows, so that some of theirs may still begin elsewhere: ``id, open``."""
-    mixed = heads.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("digit")
+    """Those whose digit also heads other windows, so that some of theirs may still begin elsewhere: ``id, open``.
+
+    The digits are written first: adaptive execution splits a hot key only where both
+    sides of the join come straight from a shuffle.
+    """
+    mixed = stored(
+        heads.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("digit"), "digits"
+    )
     return heads.join(mixed, "digit").groupBy("id").agg(F.collect_list(F.struct("span", "digit")).alias("open"))
 
 
@@ -282,7 +288,7 @@ def repeated_windows(contexts: DataFrame, depth: int = DEPTH, group: int = GROUP
     combined minimum, and the others by a join against it.
     """
     sizes = contexts.groupBy("digit").agg(F.count(F.lit(1)).alias("size"))
-    many = sizes.where(F.col("size") > group).select("digit")
+    many = small(stored(sizes.where(F.col("size") > group).select("digit"), "digits"))
     few = (
         contexts.join(many, "digit", "left_anti").repartition("digit").sortWithinPartitions("digit")
         .mapInArrow(_compare(depth), _ddl(RANGES))
@@ -290,7 +296,7 @@ def repeated_windows(contexts: DataFrame, depth: int = DEPTH, group: int = GROUP
     single = checkpointed(
         contexts.join(many, "digit", "left_semi").mapInArrow(_all_windows(depth), _ddl(WINDOWS))
     )
-    firsts = (
+    firsts = checkpointed(
         single.groupBy("code", "check").agg(F.min(F.struct("id", "start")).alias("head"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("code", "check", "head")
     )
