@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruptura.llm.common import checkpointed
+from ruptura.llm.common import checkpointed, stored
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -26,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points nodes at smaller ones: first all larger neighbours of a node
     at its smallest neighbour, then all smaller neighbours likewise. Both steps are
     a minimum per node (combined before the shuffle) and a join against it, where
-    only the edge side can be skewed, which adaptive execution splits. The number
-    of rounds is logarithmic in the diameter.
+    only the edge side can be skewed. The minima are written first: adaptive execution
+    splits a hot key only where both sides of the join come straight from a shuffle.
+    The number of rounds is logarithmic in the diameter.
     """
     now = checkpointed(
         edges.where("a is not null and b is not null and a <> b")
@@ -37,11 +38,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = _signature(now)
     while before[0]:
         ends = now.select(F.col("b").alias("u"), F.lit(None).cast("long").alias("v")).union(now.select("a", "b"))
-        low = ends.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        low = stored(ends.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "minima")
         large = (
             now.join(low, now["b"] == low["u"]).select("a", F.col("m").alias("b")).where("a <> b").distinct()
         )
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        low = stored(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "minima")
         small = large.join(low, large["a"] == low["u"]).select("a", "b", "m")
         now = checkpointed(
             small.select("a", F.col("m").alias("b"))

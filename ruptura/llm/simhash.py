@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruptura.llm.common import checkpointed
+from ruptura.llm.common import checkpointed, stored
 from ruptura.llm.components import components
 
 BITS = 64
@@ -100,7 +100,8 @@ def links(prints: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
         for s in range(len(SEGMENTS))
     ])
     rows = prints.select("fp", "node", F.inline(heads))
-    sizes = rows.groupBy("s", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Written first, so that adaptive execution can split a hot bucket in the join.
+    sizes = stored(rows.groupBy("s", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     shared = checkpointed(rows.join(sizes, ["s", "key"]))
     few = shared.where(F.col("size") <= pair_bucket)
     left = few.select("s", "key", F.col("fp").alias("fp_a"), F.col("node").alias("a"))
