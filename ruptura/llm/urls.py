@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruptura.llm.common import checkpointed, fit_sample
+from ruptura.llm.common import checkpointed, small
 
 # The rules as (host, path, verdict).
 RULES = (
@@ -20,13 +20,12 @@ RULES = (
 #: Longest context of the models, in characters, and the padding before a URL.
 ORDER = 5
 _PAD, _END = "\x02", "\x03"
-#: Fitting bound: about so many distinct URLs that a rule decides; one in FOLDS of them calibrates.
-FIT_URLS = 20_000
+#: One in FOLDS of the distinct URLs that a rule decides calibrates, all others are counted.
 FOLDS = 5
 #: Probability of a character of which nothing is known.
 UNIFORM = 1 / 256
-#: A table is broadcast only if a count has shown that it has no more rows than this.
-BROADCAST_ROWS = 500_000
+#: An order's counts are broadcast only if a count has shown that they have no more rows than this.
+BROADCAST_ROWS = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -55,10 +54,6 @@ def _windows(url: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.char_length(text) - ORDER), lambda k: F.substring(text, k, F.lit(ORDER + 1)))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 @dataclass(frozen=True)
 class Model:
     """Counts of ``gram`` (context and character) and of ``context`` per class, and the calibrated threshold."""
@@ -92,11 +87,13 @@ def _ratios(windows: DataFrame, model: Model) -> DataFrame:
     Witten-Bell interpolation: a context seen n times with t different followers gives
     its own counts weight n and the next shorter context weight t; one never seen
     leaves it all to the shorter one. So each window is judged by the longest context
-    its class knows.
+    its class knows. Each order is joined by itself: the low ones, whose few keys would
+    be hot, are small enough to broadcast; high ones may grow with the corpus and shuffle.
     """
     rows = windows.withColumns({"p_a": F.lit(UNIFORM), "p_r": F.lit(UNIFORM)})
-    grams, contexts = _small(model.grams), _small(model.contexts)
     for k in range(ORDER + 1):
+        grams = small(model.grams.where(F.char_length("gram") == k + 1), BROADCAST_ROWS)
+        contexts = small(model.contexts.where(F.char_length("context") == k), BROADCAST_ROWS)
         rows = (
             rows.withColumns({"gram": F.expr(f"right(window, {k + 1})"), "context": F.expr(f"left(right(window, {k + 1}), {k})")})
             .join(grams, "gram", "left").join(contexts, "context", "left")
@@ -114,16 +111,17 @@ def scores(urls: DataFrame, model: Model) -> DataFrame:
     """``url, score`` of distinct URLs: the mean log ratio over their characters."""
     rows = checkpointed(urls.select("url", F.explode(_windows(F.col("url"))).alias("window")))
     ratios = checkpointed(_ratios(rows.select("window").distinct(), model))
-    return rows.join(_small(ratios), "window").groupBy("url").agg(F.avg("ratio").alias("score"))
+    return rows.join(small(ratios, BROADCAST_ROWS), "window").groupBy("url").agg(F.avg("ratio").alias("score"))
 
 
-def fit(labelled: DataFrame, sample: int = FIT_URLS) -> Model:
-    """Learn from distinct ``url, accepted`` rows, about ``sample`` of them.
+def fit(labelled: DataFrame) -> Model:
+    """Learn from all of the distinct ``url, accepted`` rows.
 
-    The threshold lies halfway between the mean scores of accepted and rejected URLs
+    The counts grow with the corpus: equal windows are added up before the shuffle. The
+    threshold lies halfway between the mean scores of accepted and rejected URLs
     in a fold that the counts leave out; it is 0 if either class is missing there.
     """
-    rows = checkpointed(fit_sample(labelled, F.col("url"), sample))
+    rows = checkpointed(labelled)
     apart = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)) == 0
     model = _count(rows.where(~apart).select("accepted", F.explode(_windows(F.col("url"))).alias("window")))
     held = rows.where(apart)

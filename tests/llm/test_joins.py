@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ruptura.llm import bpe, decontaminate, langid, secrets, substrings, urls
+from ruptura.llm.common import draw_limit, fit_sample
 from test_groups import plain_components, plain_fingerprint
 
 
@@ -216,3 +217,20 @@ def test_stages_on_awkward_rows(spark, awkward, sf):
     deduped = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
     assert Counter(r["doc_id"] for r in deduped.collect())[8] == 1
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_url_models_by_shuffle_joins(spark, sf, monkeypatch):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").limit(40)
+    by_broadcast = {r["page_id"]: (r["verdict"], r["score"] and round(r["score"], 9)) for r in urls.judge(pages).collect()}
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 0)
+    assert {r["page_id"]: (r["verdict"], r["score"] and round(r["score"], 9)) for r in urls.judge(pages).collect()} == by_broadcast
+
+
+def test_fitting_samples_at_any_size(spark):
+    rows = spark.range(20_000)
+    assert 800 <= fit_sample(rows, F.col("id"), 1000).count() <= 1200
+    assert fit_sample(rows, F.col("id"), 20_000).count() == 20_000
+    # Tables of 10^11 rows still give about the bound.
+    for total in (10**6, 10**9, 10**11):
+        share = (draw_limit(8000, total) + (1 << 63)) / (1 << 64)
+        assert abs(share * total - 8000) < 1
