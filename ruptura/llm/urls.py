@@ -25,7 +25,7 @@ FOLDS = 5
 #: Probability of a character of which nothing is known.
 UNIFORM = 1 / 256
 #: An order's counts are broadcast only if a count has shown that they have no more rows than this.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 
 
 def host_of(url: Column) -> Column:
