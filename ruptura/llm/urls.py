@@ -149,10 +149,12 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         rows.where("ruled is not null").select("url", (F.col("ruled.verdict") == "allow").alias("accepted")).distinct()
     )
     model = fit(labelled)
-    others = rows.where("ruled is null").select("url").distinct()
-    judged = rows.join(scores(others, model), "url", "left")
+    others = rows.where("ruled is null")
+    # Written first, so that adaptive execution can split a URL that many rows share.
+    judged = checkpointed(scores(others.select("url").distinct(), model))
+    decided = rows.where("ruled is not null").withColumn("score", F.lit(None).cast("double"))
     learned = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
-    return judged.select(
+    return decided.unionByName(others.join(judged, "url", "left")).select(
         F.col("id").alias(id_col), "host", "path", F.col("ruled.rule").alias("rule"),
         F.coalesce("ruled.verdict", learned).alias("verdict"), "score",
     )
