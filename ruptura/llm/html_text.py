@@ -116,6 +116,7 @@ class _Stack:
 
     def __init__(self):
         self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self.places: dict[str, list[int]] = {}  # of the open elements, by name
 
     def push(self, name: str, attributes: str) -> str:
         roles = _roles(attributes)
@@ -124,16 +125,19 @@ class _Stack:
         bad = name in NEVER or name in RAW or any(r in ROLES for r in roles) and name not in ("html", "body", *LABELLED)
         bad = bad or name == "header" and not labelled
         if name not in VOID and not attributes.endswith("/"):
+            self.places.setdefault(name, []).append(len(self.open))
             self.open.append((name, part if name in FLOW and not roles else key, never or bad, labelled or name in LABELLED))
         return key
 
     def pop(self, name: str) -> str:
-        for k in range(len(self.open) - 1, max(0, len(self.open) - 200), -1):
-            if self.open[k][0] == name:
-                key = self.open[k][1]
-                del self.open[k:]
-                return "/" + (key if key.split(".")[0] == name else name)
-        return "/" + name
+        if not self.places.get(name):
+            return "/" + name
+        k = self.places[name][-1]
+        key = self.open[k][1]
+        for inner, *_ in self.open[k:]:
+            self.places[inner].pop()
+        del self.open[k:]
+        return "/" + (key if key.split(".")[0] == name else name)
 
     @property
     def part(self) -> str:
