@@ -23,9 +23,10 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "crf")
 
-#: Fitting bounds: about so many documents, and so many segments with and without a secret.
+#: Fitting bounds: about so many documents, so many segments with and without a secret, tokens of a segment.
 FIT_DOCS = 4000
 FIT_SEGMENTS = 2500
+FIT_TOKENS = 1000
 EPOCHS = 8
 RATE, PENALTY = 0.5, 1e-4
 
@@ -69,7 +70,7 @@ def base_matches(text: str, runs: list[tuple[int, int, str]]) -> Iterator[tuple[
 
 
 def _shape(run: str) -> str:
-    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in run[:4096])
+    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in run)
     return re.sub(r"(.)\1+", r"\1", kinds)[:8]
 
 
@@ -84,12 +85,11 @@ def _file_features(text: str, runs: list[tuple[int, int, str]]) -> list[str]:
 def _features(text: str, start: int, end: int, run: str, shared: list[str]) -> list[str]:
     before = [t.lower() for t in _TOKEN.findall(text[max(0, start - _NEAR):start])[-4:]]
     after = _TOKEN.findall(text[end:end + _NEAR])[:1]
-    head = run[:4096]
-    letters = sum(c.isalpha() for c in head) / len(head)
-    variety = len(set(head)) / min(len(head), 32)
+    letters = sum(c.isalpha() for c in run) / len(run)
+    variety = len(set(run)) / min(len(run), 32)
     return [
         "always", f"shape:{_shape(run)}", f"length:{min(len(run), 64) // 8}", f"letters:{int(4 * letters)}",
-        f"variety:{int(4 * variety)}", f"hex:{HEX.fullmatch(head) is not None}",
+        f"variety:{int(4 * variety)}", f"hex:{HEX.fullmatch(run) is not None}",
         f"after:{after[0][:12].lower() if after else ''}",
         *(f"before{k}:{t[:12]}" for k, t in enumerate(reversed(before[-2:]))),
         *(f"near:{t[:12]}" for t in before),
@@ -205,7 +205,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     """Learn from the base matches in about ``sample`` documents and their neighbourhood.
 
     At most ``FIT_SEGMENTS`` segments with and as many without a match are used,
-    chosen by hash. Without any match the field tags nothing.
+    chosen by hash; segments of more than ``FIT_TOKENS`` tokens teach nothing (they
+    are decoded like all others). Without any match the field tags nothing.
     """
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +218,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     found = (
         fit_sample(rows, F.coalesce(F.col("id").cast("string"), F.lit("")), sample).select("text")
         .mapInPandas(label, "features array<array<string>>, labels array<int>, secret boolean")
-        .where(F.size("labels") <= 1000)
+        .where(F.size("labels") <= FIT_TOKENS)
         .withColumn("draw", F.xxhash64("features", "labels"))
     )
     examples = [
