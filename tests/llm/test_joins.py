@@ -215,7 +215,8 @@ def test_stages_on_awkward_rows(spark, awkward, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
         assert out.count() > 0
     deduped = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
-    assert Counter(r["doc_id"] for r in deduped.collect())[8] == 1
+    left = Counter(r["doc_id"] for r in deduped.collect())
+    assert left[8] == 1 and left[9] == 2
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
 
 

@@ -220,3 +220,17 @@ def test_best_run():
 def test_all_queries_are_registered():
     assert {re.match(r"op(\d+)_", k)[1] for k in QUERIES if k.startswith("op")} == {str(k) for k in range(1, 11)}
     assert "pipeline" in QUERIES
+
+
+def test_deep_pages_close_the_right_element():
+    deep = "<div>" * 1000
+    page = f"<nav>{deep}menu words</nav><div class=content><p>Main words of the page are these ones here.</p></div>"
+    weights = html_text.Weights([])
+    assert html_text.main_text(page, weights) == "Main words of the page are these ones here."
+
+
+def test_features_of_long_tokens_cover_their_end():
+    run = "a1" * 3000
+    text = f"{run} {run}Z"
+    short, long = (secrets._features(text, a, b, text[a:b], []) for a, b in ((0, len(run)), (len(run) + 1, len(text))))
+    assert "hex:True" in short and "hex:False" in long
