@@ -102,20 +102,17 @@ def _narrow(values: DataFrame, brackets: list[_Bracket], limit: int) -> None:
 
 def _read(values: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
     """Fill in the values of all brackets; returns those that turned out to miss."""
-    below = F.lit(-math.inf)
+    below = values.agg(*[F.count_if(F.col(b.column) < b.lo).alias(f"b{k}") for k, b in enumerate(brackets)]).first()
     entries = F.array(*[
-        F.struct(
-            F.lit(k).alias("k"),
-            F.when(F.col(b.column) < b.lo, below).when(F.col(b.column) <= b.hi, F.col(b.column)).alias("v"),
-        )
-        for k, b in enumerate(brackets)
+        F.when(b.inside, F.struct(F.lit(k).alias("k"), F.col(b.column).alias("v"))) for k, b in enumerate(brackets)
     ])
+    # Only values inside a bracket become rows.
     hist = (
-        values.select(F.explode(entries).alias("e")).filter(F.col("e.v").isNotNull())
+        values.select(F.explode(F.array_compact(entries)).alias("e"))
         .groupBy("e.k", "e.v").agg(F.count(F.lit(1)).alias("n"))
     )
     rank = reduce(
-        lambda e, kb: e.when(F.col("k") == kb[0], F.lit(math.floor(kb[1].position))),
+        lambda e, kb: e.when(F.col("k") == kb[0], F.lit(math.floor(kb[1].position) - below[f"b{kb[0]}"])),
         enumerate(brackets), F.when(F.lit(False), F.lit(0)),
     )
     upto = hist.withColumn("upto", F.sum("n").over(W.partitionBy("k").orderBy("v")))
@@ -132,9 +129,10 @@ def _read(values: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
         a, c = (found[k]["a"], found[k]["b"]) if k in found else (None, None)
         if low + 1 >= b.n:
             c = a
-        if a is None or c is None or a == -math.inf:
+        over = below[f"b{k}"] > low
+        if a is None or c is None or over:
             # Sketch bounds missed the position: open the side that failed.
-            if a == -math.inf:
+            if over:
                 b.lo = -math.inf
             else:
                 b.hi = math.inf

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -62,3 +64,12 @@ def test_distance_percentile(spark):
     assert got == {1: 0.0, 2: 75.0, 3: 75.0, 4: 100.0}
     none = order.distance_percentile(cand, train.filter("d < 0"), "d", "p")
     assert none.filter("p is not null").count() == 0
+
+
+def test_quantile_brackets_that_miss(spark):
+    from ruptura.operators.quantiles import _Bracket, _read
+
+    values = spark.range(100).select(F.col("id").cast("double").alias("v0"))
+    missed = _read(values, [_Bracket("v0", 100, 10.5, 50.0, 60.0, 10), _Bracket("v0", 100, 80.5, 50.0, 60.0, 10)])
+    assert [(b.lo, b.hi) for b in missed] == [(-math.inf, 60.0), (50.0, math.inf)]
+    assert not _read(values, missed) and [b.value for b in missed] == [10.5, 80.5]
