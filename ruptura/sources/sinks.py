@@ -32,11 +32,19 @@ def _conditions(conditions: dict[str, float | None]):
     return F.struct(*[F.lit(v).cast("double").alias(k) for k, v in conditions.items()]).alias("conditions")
 
 
-def write_candidates(df: DataFrame, path: str, conditions: dict[str, float | None]) -> None:
+#: Most candidates that one document may hold.
+DOCUMENT_ROWS = 10_000
+
+
+def write_candidates(
+    df: DataFrame, path: str, conditions: dict[str, float | None], most: int = DOCUMENT_ROWS
+) -> None:
     """Ranked top-n candidates: CSV, and one JSON document with time, conditions and count.
 
-    ``df`` must already be limited: its rows become one array.
+    The rows become one array, so more than ``most`` of them are an error and nothing is written.
     """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} candidates for one document: rank them and keep the top first")
     flat(df).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     ranked = df.withColumn("_pos", F.monotonically_increasing_id()).coalesce(1)
     rows = F.transform(
