@@ -111,6 +111,19 @@ def knn_standardised(spark, d):
     return rounded(found.select(F.col("p_partkey").alias("candidate"), "rank", "standardized_distance"), 6, "standardized_distance")
 
 
+# Whole numbers without scaling: distances are exact, so ties and the rows found are comparable.
+@query("knn_rows", """
+WITH z AS (SELECT p_partkey, p_size::DOUBLE AS x, floor(p_retailprice) AS y FROM part),
+pair AS (SELECT c.p_partkey AS candidate, r.p_partkey AS row_index, sqrt((r.x - c.x) ** 2 + (r.y - c.y) ** 2) AS dist, r.x AS ref_size, r.y AS ref_price FROM z c, z r)
+SELECT candidate, row_number() OVER (PARTITION BY candidate ORDER BY dist, row_index) AS rank, row_index, round(dist, 6) AS standardized_distance, ref_size, ref_price
+FROM pair QUALIFY rank <= 5""")
+def knn_rows(spark, d):
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.col("p_size").cast("double").alias("size"), F.floor("p_retailprice").cast("double").alias("price"))
+    found = neighbors.nearest_neighbors(rows.withColumnRenamed("p_partkey", "candidate"), rows, ["size", "price"], 5, "candidate", "p_partkey")
+    return rounded(found.select("candidate", "rank", "row_index", "standardized_distance", "ref_size", "ref_price"), 6, "standardized_distance")
+
+
 @query("ood_report")
 def report(spark, d):
     """Supplier profiles (mean of their order lines) against all order lines."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ruptura.catalog.physics import drawn, phase_table
+from ruptura.catalog.physics import BUDGET, DRAW_SQL, drawn, phase_table, repair_sql, round_sql
 from ruptura.catalog.standins import COST_SQL, KEY, KEYS, alloys, alloys_sql, metallurgy_ctes, query, rounded, table
-from ruptura.constants import DESIGN_ELEMENTS
+from ruptura.constants import DESIGN_BOUNDS, DESIGN_ELEMENTS, MIN_DISTANCE, POPULATION_SIZE
 from ruptura.operators.order import dense_index
 from ruptura.operators import composition, diversity, pareto, penalties, selection
 from ruptura.plans import design
@@ -161,10 +161,22 @@ def pareto_distinct_genes(spark, d):
     return pareto.pareto_front(rows, {"l_discount": "min", "l_tax": "min", "l_quantity": "max"}, ["l_quantity"])
 
 
-@query("diverse_greedy")
+GAP_SQL = "sqrt(" + " + ".join(f"(x[{i + 1}] - f[{i + 1}]) ** 2" for i in range(len(DESIGN_ELEMENTS))) + ")"
+
+
+# Each step keeps the first row left and drops those near it.
+@query("diverse_greedy", f"""
+WITH RECURSIVE {repair_sql(DRAW_SQL, DESIGN_BOUNDS, BUDGET)},
+points AS (SELECT candidate_id, [{', '.join(f'"{e}"' for e in DESIGN_ELEMENTS)}] AS x FROM second),
+left_over AS (SELECT 1 AS step, candidate_id, x FROM points
+  UNION ALL SELECT step + 1, candidate_id, x
+  FROM (SELECT *, first_value(x) OVER (ORDER BY candidate_id) AS f, min(candidate_id) OVER () AS kept FROM left_over)
+  WHERE step < {POPULATION_SIZE} AND candidate_id <> kept AND {GAP_SQL} >= {MIN_DISTANCE}),
+kept AS (SELECT min(candidate_id) AS candidate_id FROM left_over GROUP BY step)
+SELECT candidate_id, {round_sql(DESIGN_ELEMENTS, 8)} FROM second SEMI JOIN kept USING (candidate_id)""")
 def diverse_greedy(spark, d):
-    rows = drawn(spark, d)
-    return diversity.diverse(rows, ["candidate_id"]).select("candidate_id", *DESIGN_ELEMENTS)
+    found = diversity.diverse(drawn(spark, d), ["candidate_id"]).select("candidate_id", *DESIGN_ELEMENTS)
+    return rounded(found, 8, *DESIGN_ELEMENTS)
 
 
 @query("composition_comparison", f"""
