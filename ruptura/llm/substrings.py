@@ -102,10 +102,10 @@ def _rows(schema: pa.Schema, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
 
-CELLS = pa.schema([(n, pa.int64()) for n in ("id", "span", "digit", "cell")])
-RANGES = pa.schema([(n, pa.int64()) for n in ("id", "start", "stop")])
-CONTEXTS = pa.schema([("digit", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
-WINDOWS = pa.schema([(n, pa.int64()) for n in ("id", "start", "code", "check")])
+CELLS = pa.schema([(n, pa.int64()) for n in ("id", "part", "span", "digit", "cell")])
+RANGES = pa.schema([(n, pa.int64()) for n in ("id", "part", "start", "stop")])
+CONTEXTS = pa.schema([*((n, pa.int64()) for n in ("digit", "id", "part", "start")), ("bytes", pa.binary())])
+WINDOWS = pa.schema([(n, pa.int64()) for n in ("id", "part", "start", "code", "check")])
 #: Rows of an output batch, bytes of an output batch, and bytes of contexts compared at a time.
 ROWS, GATHER, COMPARE = 1 << 16, 1 << 22, 1 << 20
 #: Digits with more contexts than this are compared window by window across the cluster.
@@ -135,14 +135,14 @@ def _own_cells(text: pa.BinaryScalar, depth: int, digit: int) -> tuple[np.ndarra
 
 
 def _cells(depth: int, digit: int):
-    """Rows ``id, span, digit, cell`` of the sampled suffixes, once for each cell of a text."""
+    """Rows ``id, part, span, digit, cell`` of the sampled suffixes, once for each cell of a text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, size = [], 0
-            for k, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+            for k, part, text in zip(batch.column("id").to_pylist(), batch.column("part").to_pylist(), batch.column("text")):
                 own = _own_cells(text, depth, digit)
-                parts.append((np.full(len(own[0]), k), *own))
+                parts.append((np.full(len(own[0]), k), np.full(len(own[0]), part), *own))
                 size += len(own[0])
                 if size > ROWS:
                     yield _rows(CELLS, [np.concatenate(c) for c in zip(*parts)])
@@ -160,7 +160,9 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1 << 10):
             part = batch.slice(at, 1 << 10)
             texts = [pack(t.as_buffer()) if t.is_valid else None for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(texts, type=pa.binary())], names=["id", "packed"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), part.column("part"), pa.array(texts, type=pa.binary())], names=["id", "part", "packed"]
+            )
 
 
 def _unpacked(packed: bytes | None) -> bytes:
@@ -168,17 +170,17 @@ def _unpacked(packed: bytes | None) -> bytes:
 
 
 def _contexts(depth: int):
-    """Rows ``digit, id, start, bytes``: the windows that an open suffix serves, as one slice."""
+    """Rows ``digit, id, part, start, bytes``: the windows that an open suffix serves, as one slice of its own text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, size = [], 0
-            for id_, packed, open_ in zip(*(_values(batch.column(c)) for c in ("id", "packed", "open"))):
+            for id_, own, packed, open_ in zip(*(_values(batch.column(c)) for c in ("id", "part", "packed", "open"))):
                 text = _unpacked(packed)
                 for row in open_:
                     first = row["span"] >> _SIDE
                     stop = first + (row["span"] & ((1 << _SIDE) - 1)) + depth
-                    parts.append((row["digit"], id_, first, text[first:stop]))
+                    parts.append((row["digit"], id_, own, first, text[first:stop]))
                     size += stop - first
                 if size > GATHER:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*parts), CONTEXTS)], schema=CONTEXTS)
@@ -189,8 +191,8 @@ def _contexts(depth: int):
     return apply
 
 
-def _window_codes(ids: list, starts: list, slices: list[bytes], depth: int) -> list[np.ndarray]:
-    """Columns id, start, code and check of all windows of some slices."""
+def _window_codes(ids: list, parts: list, starts: list, slices: list[bytes], depth: int) -> list[np.ndarray]:
+    """Columns id, part, start, code and check of all windows of some slices."""
     data = np.frombuffer(b"".join(slices), dtype=np.uint8)
     lengths = np.array([len(x) for x in slices])
     begins = np.cumsum(lengths) - lengths
@@ -203,26 +205,30 @@ def _window_codes(ids: list, starts: list, slices: list[bytes], depth: int) -> l
         for which in (0, 1):
             hashes = _Hashes(data[lo:lo + BLOCK + depth], which)
             codes[which][mine] = hashes.between(at[mine] - lo, at[mine] - lo + depth).view(np.int64)
-    return [np.repeat(np.array(ids), counts), np.repeat(np.array(starts), counts) + within, *codes]
+    return [*(np.repeat(np.array(c), counts) for c in (ids, parts)), np.repeat(np.array(starts), counts) + within, *codes]
 
 
 def _compare(depth: int):
-    """Ranges of repeated windows from contexts whose digits come in one piece, in order."""
+    """Ranges of repeated windows from contexts whose digits come in one piece, in order.
+
+    A context that comes twice, from a row that is repeated, counts once.
+    """
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        ids, starts, code, check = _window_codes(*(list(c) for c in list(zip(*rows))[1:]), depth)
-        order = np.lexsort((starts, ids, check, code))
+        ids, parts, starts, code, check = _window_codes(*(list(c) for c in list(zip(*rows))[1:]), depth)
+        order = np.lexsort((starts, parts, ids, check, code))
         code, check = code[order], check[order]
         again = order[1:][(code[1:] == code[:-1]) & (check[1:] == check[:-1])]
-        again = again[np.lexsort((starts[again], ids[again]))]
-        ids, starts = ids[again], starts[again]
+        again = again[np.lexsort((starts[again], parts[again], ids[again]))]
+        ids, parts, starts = ids[again], parts[again], starts[again]
         if not len(ids):
-            return _rows(RANGES, [ids, starts, starts])
+            return _rows(RANGES, [ids, parts, starts, starts])
         # Neighbouring windows make one range.
-        new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + depth)))
+        other = (ids[1:] != ids[:-1]) | (parts[1:] != parts[:-1])
+        new = np.concatenate(([True], other | (starts[1:] > starts[:-1] + depth)))
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:] - 1, [len(ids) - 1]))
-        return _rows(RANGES, [ids[first], starts[first], starts[last] + depth])
+        return _rows(RANGES, [ids[first], parts[first], starts[first], starts[last] + depth])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -231,8 +237,10 @@ def _compare(depth: int):
                 if size > COMPARE and row[0] != rows[-1][0]:
                     yield settle(rows)
                     rows, size = [], 0
+                if rows and row[:4] == rows[-1][:4]:
+                    continue
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if rows:
             yield settle(rows)
 
@@ -240,36 +248,51 @@ def _compare(depth: int):
 
 
 def _all_windows(depth: int):
-    """Rows ``id, start, code, check`` of the windows of contexts."""
+    """Rows ``id, part, start, code, check`` of the windows of contexts."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 11):
                 part = batch.slice(at, 1 << 11)
-                yield _rows(WINDOWS, _window_codes(*(part.column(c).to_pylist() for c in ("id", "start", "bytes")), depth))
+                yield _rows(WINDOWS, _window_codes(*(part.column(c).to_pylist() for c in ("id", "part", "start", "bytes")), depth))
 
     return apply
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """Rows ``id, part, text``, and whether some id has different texts.
+
+    ``part`` tells the texts of an id apart: their XXH64, or 0 where no id has several.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    by_hash = texts.withColumn("part", F.xxhash64("text"))
+    several = (
+        by_hash.where("id is not null").groupBy("id").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+        .where("lo <> hi")
+    )
+    mixed = not several.isEmpty()
+    return (by_hash if mixed else texts.withColumn("part", F.lit(0).cast("long"))).select("id", "part", "text"), mixed
 
 
-def first_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
-    """The first of all sampled suffixes that serve equal windows: ``id, span, digit``.
+def first_suffixes(texts: DataFrame, mixed: bool, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
+    """The first of all sampled suffixes that serve equal windows: ``id, part, span, digit``.
 
-    What is not listed repeats what is.
+    What is not listed repeats what is. Rows that share an id share their text unless the
+    ids are ``mixed``, so the id alone orders them; a minimum of plain longs is combined by hash.
     """
-    texts = _texts(docs, id_col, text_col).where(f"id is not null and octet_length(text) >= {depth}")
-    return stored(
-        texts.mapInArrow(_cells(depth, digit), _ddl(CELLS)).groupBy("digit", "cell")
-        .agg(F.min("id").alias("id"), F.min_by("span", "id").alias("span")).select("id", "span", "digit"),
-        "suffixes",
+    cells = (
+        texts.where(f"id is not null and octet_length(text) >= {depth}").mapInArrow(_cells(depth, digit), _ddl(CELLS))
+        .groupBy("digit", "cell")
     )
+    if mixed:
+        heads = cells.agg(F.min(F.struct("id", "part", "span")).alias("head")).select("head.*", "digit")
+    else:
+        heads = cells.agg(F.min("id").alias("id"), F.min("part").alias("part"), F.min_by("span", "id").alias("span"))
+    return stored(heads.select("id", "part", "span", "digit"), "suffixes")
 
 
 def open_suffixes(heads: DataFrame) -> DataFrame:
-    """Those whose digit also heads other windows, so that some of theirs may still begin elsewhere: ``id, open``.
+    """Those whose digit also heads other windows, so that some of theirs may still begin elsewhere: ``id, part, open``.
 
     The digits are written first: adaptive execution splits a hot key only where both
     sides of the join come straight from a shuffle.
@@ -277,11 +300,11 @@ def open_suffixes(heads: DataFrame) -> DataFrame:
     mixed = stored(
         heads.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("digit"), "digits"
     )
-    return heads.join(mixed, "digit").groupBy("id").agg(F.collect_list(F.struct("span", "digit")).alias("open"))
+    return heads.join(mixed, "digit").groupBy("id", "part").agg(F.collect_list(F.struct("span", "digit")).alias("open"))
 
 
 def repeated_windows(contexts: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
-    """Ranges ``id, start, stop`` of windows in contexts that also start earlier.
+    """Ranges ``id, part, start, stop`` of windows in contexts that also start earlier.
 
     Equal windows have equal digits. A digit's contexts meet in one task, unless there
     are more than ``group``: then each window is a row, its first place is found by a
@@ -290,19 +313,20 @@ def repeated_windows(contexts: DataFrame, depth: int = DEPTH, group: int = GROUP
     sizes = contexts.groupBy("digit").agg(F.count(F.lit(1)).alias("size"))
     many = small(stored(sizes.where(F.col("size") > group).select("digit"), "digits"))
     few = (
-        contexts.join(many, "digit", "left_anti").repartition("digit").sortWithinPartitions("digit")
+        contexts.join(many, "digit", "left_anti").repartition("digit")
+        .sortWithinPartitions("digit", "id", "part", "start")
         .mapInArrow(_compare(depth), _ddl(RANGES))
     )
     single = checkpointed(
         contexts.join(many, "digit", "left_semi").mapInArrow(_all_windows(depth), _ddl(WINDOWS))
     )
     firsts = checkpointed(
-        single.groupBy("code", "check").agg(F.min(F.struct("id", "start")).alias("head"), F.count(F.lit(1)).alias("n"))
+        single.groupBy("code", "check").agg(F.min(F.struct("id", "part", "start")).alias("head"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("code", "check", "head")
     )
     rest = (
-        single.join(firsts, ["code", "check"]).where(F.struct("id", "start") != F.col("head"))
-        .select("id", "start", (F.col("start") + depth).alias("stop"))
+        single.join(firsts, ["code", "check"]).where(F.struct("id", "part", "start") != F.col("head"))
+        .select("id", "part", "start", (F.col("start") + depth).alias("stop"))
     )
     return few.union(rest)
 
@@ -361,8 +385,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     One row per input row: the id, ``text`` (the bytes), ``kept`` (the bytes left) and
     the removed runs ``starts`` and ``stops``. Earlier is a smaller id, or the same id
     and an earlier start. Null, empty and shorter texts lose nothing, nor do rows
-    without id, which repeat nothing either. Rows under one id share their ranges.
-    Other columns are ignored; an empty table gives no rows. Ids are integers.
+    without id, which repeat nothing either. Rows that repeat an id and its text are
+    one document and are cut alike; different texts under one id are documents of their
+    own, that with the smaller XXH64 (signed) earlier. Other columns are ignored; an
+    empty table gives no rows. Ids are integers.
 
     Only sampled suffixes are sorted (``anchors``), most significant digit first:
 
@@ -373,19 +399,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are shuffled once, compressed, and meet both the open suffixes and the result.
     """
-    heads = first_suffixes(docs, id_col, text_col, depth, digit)
-    texts = _texts(docs, id_col, text_col)
-    travelling = texts.where("id is not null").mapInArrow(_compressed, "id long, packed binary")
-    contexts = stored(travelling.join(open_suffixes(heads), "id").mapInArrow(_contexts(depth), _ddl(CONTEXTS)), "contexts")
+    texts, mixed = _texts(docs, id_col, text_col)
+    heads = first_suffixes(texts, mixed, depth, digit)
+    key = ["id", "part"]
+    travelling = texts.where("id is not null").mapInArrow(_compressed, "id long, part long, packed binary")
+    contexts = stored(travelling.join(open_suffixes(heads), key).mapInArrow(_contexts(depth), _ddl(CONTEXTS)), "contexts")
     ranges = repeated_windows(contexts, depth, group)
     of_doc = (
-        heads.select("id", "span", F.lit(None).cast("struct<start: bigint, stop: bigint>").alias("range"))
-        .union(ranges.select("id", F.lit(None).cast("long"), F.struct("start", "stop")))
-        .groupBy("id").agg(F.collect_list("span").alias("heads"), F.collect_list("range").alias("ranges"))
+        heads.select(*key, "span", F.lit(None).cast("struct<start: bigint, stop: bigint>").alias("range"))
+        .union(ranges.select(*key, F.lit(None).cast("long"), F.struct("start", "stop")))
+        .groupBy(*key).agg(F.collect_list("span").alias("heads"), F.collect_set("range").alias("ranges"))
     )
     nothing = [F.lit(None).cast("array<bigint>").alias("heads"), F.lit(None).cast("array<struct<start: bigint, stop: bigint>>").alias("ranges")]
-    without = texts.where("id is null").mapInArrow(_compressed, "id long, packed binary").select("id", "packed", *nothing)
-    rows = travelling.join(of_doc, "id", "left").select("id", "packed", "heads", "ranges").union(without)
+    without = texts.where("id is null").mapInArrow(_compressed, "id long, part long, packed binary").select("id", "packed", *nothing)
+    rows = travelling.join(of_doc, key, "left").select("id", "packed", "heads", "ranges").union(without)
     cut = rows.mapInArrow(_cut(depth, digit), "id long, text binary, kept binary, starts array<long>, stops array<long>")
     return cut.withColumnRenamed("id", id_col)
 

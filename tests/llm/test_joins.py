@@ -7,6 +7,7 @@ from collections import Counter
 
 import public_tokenizers
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -101,6 +102,24 @@ def test_repeats_in_awkward_rows(awkward):
     assert substrings.remove_repeats(awkward.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_texts_that_share_an_id(spark):
+    passage = "a passage that several documents share, é and so on, " * 4
+    own = [" ".join(str(k * n) for k in range(400)) for n in (7919, 104729, 1299709)]
+    texts = [(1, f"{own[0]} {passage} {own[1]}")] * 3 + [(2, f"start {passage} end")] * 2
+    texts += [(3, own[1] + passage), (3, passage + own[2] * 2), (3, "short"), (4, own[2]), (4, own[2]), (5, passage)]
+    for rows in (texts, texts[:5]):
+        distinct = sorted({(i, t.encode()) for i, t in rows}, key=lambda r: (r[0], _signed(xxhash.xxh64_intdigest(r[1], 42))))
+        plain = plain_repeats([(k, t) for k, (_, t) in enumerate(distinct)])
+        want = Counter((i, *plain[distinct.index((i, t.encode()))]) for i, t in rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        for group in (3, 1000):
+            assert Counter(tuple(r) for r in substrings.digests(substrings.remove_repeats(docs, group=group)).collect()) == want
+
+
+def _signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
 # --- URLs --------------------------------------------------------------------
 def plain_rule(url):
     url = url or ""
