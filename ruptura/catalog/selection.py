@@ -211,10 +211,8 @@ def design_model(spark, d) -> OodModel:
 
 @query("candidate_summary")
 def candidate_summary(spark, d):
-    chosen = selection.prescreen(
-        drawn(spark, d).withColumns({"r": F.col("Cr"), "l": F.col("W"), "c": F.col("Mo")}), 10, "r", "l", "c")
-    phases = phase_table(spark, d)
-    out = design.summarize_candidates(chosen, life_scorer, design_model(spark, d), phases, 873.15, 150.0)
+    model, phases = design_model(spark, d), phase_table(spark, d)
+    out = design.summarize_candidates(drawn(spark, d), life_scorer, model, phases, 873.15, 150.0)
     return out.drop("phase_info")
 
 

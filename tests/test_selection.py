@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from ruptura.constants import DESIGN_ELEMENTS, MIN_DISTANCE
 from ruptura.operators import composition, diversity, neighbors, pareto, selection
 
@@ -131,3 +132,11 @@ def test_sort_puts_missing_last_when_descending(spark):
     df = spark.createDataFrame([(1, 2.0), (2, float("nan")), (3, 5.0), (4, None)], "id int, v double")
     assert [r["id"] for r in selection.sort_candidates(df, "v", False, ["id"]).collect()] == [3, 1, 2, 4]
     assert [r["id"] for r in selection.sort_candidates(df, "v", True, ["id"]).collect()] == [2, 4, 1, 3]
+
+
+def test_candidate_summary_covers_every_drawn_candidate(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = __spark_entry__.queries()["candidate_summary"](spark, sf).select("candidate_id", "ood_percentile", F.size("nearest_neighbors").alias("near")).collect()
+    drawn = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()
+    assert sorted(r["candidate_id"] for r in rows) == sorted(r[0] for r in drawn)
+    assert all(r["ood_percentile"] is not None and r["near"] == 5 for r in rows)
