@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruptura.llm import bpe, decontaminate, html_text, langid, quality, secrets, simhash, substrings, trie_counts, urls
+from ruptura.llm import (
+    bpe, decontaminate, hard_negatives, html_text, langid, quality, secrets, simhash, spelling, substrings, top_products, trie_counts, urls,
+)
 from ruptura.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +85,36 @@ def op4_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def _hundredth() -> Column:
+    """Rows that ask in the vector searches: anchors and queries."""
+    return F.col("vec_id") % 100 == 0
+
+
+@query
+def op11_shared_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), _hundredth(), label)
+
+
+ORACLES["op11_shared_hard_negatives"] = hard_negatives.HARD_NEGATIVES_SQL
+
+
+@query
+def op12_pivotal_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_pivotal_spelling"] = spelling.SPELLING_SQL
+
+
+@query
+def op13_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products.top_products(table(spark, sf_dir, "embeddings"), _hundredth())
+
+
+ORACLES["op13_norm_bucketed_topk"] = top_products.TOP_PRODUCTS_SQL
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
