@@ -38,6 +38,11 @@ ROLES = frozenset(
     "footer header masthead menu nav navbar navigation newsletter notice popup promo related share sharing sidebar "
     "social sponsor sponsored subscribe toolbar".split()
 )
+#: Words that say of a page what it holds or lacks: the rest of such a name (has-sidebar, no-comments) is no role.
+ABOUT = frozenset("has have with without no not hide hidden show is".split())
+#: Form elements that may wrap a whole page; they do if they hold most of its words, and at least so many.
+WRAPPERS = frozenset(("form", "fieldset"))
+LEAST_WRAPPED = 50
 _CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>]|$)", re.IGNORECASE) for name in RAW}
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -105,28 +110,48 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _roles(attributes: str) -> list[str]:
-    """Words of the class, id and role values, in order."""
-    return [
-        w.lower() for m in _ATTRIBUTE.finditer(attributes) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")
-    ]
+    """Words of the class, id and role values, in order; a name's words end where it begins to speak about something else."""
+    out = []
+    for m in _ATTRIBUTE.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            for word in map(str.lower, _WORDS.findall(name)):
+                if word in ABOUT:
+                    break
+                out.append(word)
+    return out
 
 
 class _Stack:
-    """Open elements: the part of the page that words are in, and whether that part is never main text."""
+    """Open elements: the part of the page that words are in, and whether that part is never main text.
 
-    def __init__(self):
-        self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    A part is left out below an element that is never main text, or below one whose role
+    says so. ``main`` begins anew inside any of them, ``article`` inside a form. A form
+    that holds most of the page's words is the page, not a part of it.
+    """
+
+    def __init__(self, wrapped: frozenset[int] = frozenset()):
+        # name, part, left out, left out because of a form only, inside a marked article
+        self.open: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
         self.places: dict[str, list[int]] = {}  # of the open elements, by name
+        self.wrapped, self.forms = wrapped, 0
 
     def push(self, name: str, attributes: str) -> str:
         roles = _roles(attributes)
         key = ".".join([name, *roles[:1]])
-        _, part, never, labelled = self.open[-1]
-        bad = name in NEVER or name in RAW or any(r in ROLES for r in roles) and name not in ("html", "body", *LABELLED)
-        bad = bad or name == "header" and not labelled
+        _, part, never, by_form, labelled = self.open[-1]
+        wrapper = name in WRAPPERS
+        if wrapper:
+            self.forms += 1
+        if name == "main" or name == "article" and by_form:
+            never = by_form = False
+        role = any(r in ROLES for r in roles) and name not in ("html", "body", *LABELLED)
+        role = role or (name in NEVER and not wrapper) or name in RAW or name == "header" and not labelled
+        form = wrapper and self.forms - 1 not in self.wrapped
         if name not in VOID and not attributes.endswith("/"):
             self.places.setdefault(name, []).append(len(self.open))
-            self.open.append((name, part if name in FLOW and not roles else key, never or bad, labelled or name in LABELLED))
+            left_out = never or role or form
+            only_form = left_out and not role and (by_form or form and not never)
+            self.open.append((name, part if name in FLOW and not roles else key, left_out, only_form, labelled or name in LABELLED))
         return key
 
     def pop(self, name: str) -> str:
@@ -149,13 +174,35 @@ class _Stack:
 
     @property
     def labelled(self) -> bool:
-        return self.open[-1][3]
+        return self.open[-1][4]
+
+
+def _wrapping_forms(pieces: list[tuple[str, str, str]]) -> frozenset[int]:
+    """Numbers of the forms that hold most of the page's words and at least LEAST_WRAPPED of them."""
+    held: list[int] = []
+    open_: list[tuple[str, int]] = []
+    total = 0
+    for kind, name, data in pieces:
+        if kind == "text":
+            words = len(data.split())
+            total += words
+            for _, k in open_:
+                held[k] += words
+        elif name in WRAPPERS and kind == "open":
+            open_.append((name, len(held)))
+            held.append(0)
+        elif name in WRAPPERS:
+            at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
+            if at is not None:
+                del open_[at:]
+    return frozenset(k for k, words in enumerate(held) if words >= LEAST_WRAPPED and 2 * words > total)
 
 
 def _pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     """Kind, feature, data, never and labelled of each piece; data is text or the tag's name."""
-    stack = _Stack()
-    for kind, name, data in tokens(page):
+    found = list(tokens(page))
+    stack = _Stack(_wrapping_forms(found))
+    for kind, name, data in found:
         if kind == "text":
             yield kind, "word " + stack.part, data, stack.never, stack.labelled
             continue
@@ -187,11 +234,10 @@ class Weights:
             self.of[feature] = math.log((inside + 0.5) / a) - math.log((outside + 0.5) / b)
 
     def score(self, kind: str, feature: str, never: bool) -> float:
-        """Words are positive unless their part is never main text; tags are negative."""
-        if kind == "text":
-            learned = self.of.get(feature, WORD)
-            return min(learned, -WORD) if never else learned
-        return min(self.of.get(feature, TAG), TAG_MOST)
+        """Words score what was learned of their part, tags less than 0; a part that is left out anyway doesn't count."""
+        if never:
+            return 0.0
+        return self.of.get(feature, WORD) if kind == "text" else min(self.of.get(feature, TAG), TAG_MOST)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:

@@ -208,6 +208,38 @@ def test_awkward_pages(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_wrapped_pages_keep_their_article(spark, sf):
+    """A page's text doesn't change with a form or a div with a speaking name around its body."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = html_text.fit(pages)
+    wrappers = [("<form id=aspnetForm method=post>", "</form>"), ('<div class="layout has-sidebar">', "</div>"), ('<div class="page with-comments no-ads">', "</div>"),
+                ('<form><fieldset><div class="has-nav">', "</div></fieldset></form>"), ('<body class="sidebar-open">', "")]
+    for r in pages.collect():
+        want = html_text.main_text(r["html"], weights)
+        assert want
+        for before, after in wrappers:
+            head, body, rest = re.split(r"(<body[^>]*>)", r["html"], maxsplit=1)
+            end = rest.rfind("</body>") if "</body>" in rest else len(rest)
+            assert html_text.main_text(head + body + before + rest[:end] + after + rest[end:], weights) == want
+
+
+def test_boxes_in_the_middle_and_small_forms():
+    def words(n, word):
+        return " ".join(f"{word}{k}" for k in range(n))
+
+    halves = words(40, "first"), words(40, "second")
+    for box in (f"<aside>{words(60, 'aside')}</aside>", f"<div class='related'><ul><li>{words(80, 'more')}</li></ul></div>", f"<form><p>{words(30, 'ask')}</p></form>",
+                f"<section class='comments'><article><p>{words(30, 'reader')}</p></article></section>"):
+        page = f"<html><body><nav>{words(9, 'menu')}</nav><div><p>{halves[0]}</p>{box}<p>{halves[1]}</p></div><footer>{words(9, 'foot')}</footer></body></html>"
+        assert html_text.main_text(page, html_text.Weights([])) == "\n\n".join(halves)
+    form = f"<body><form><label>{words(5, 'name')}</label><select><option>{words(5, 'option')}</select><p>{words(60, 'body')}</p><button>Send it</button></form></body>"
+    assert html_text.main_text(form, html_text.Weights([])) == words(60, "body")
+    nested = f"<body><div class='sidebar'><main><p>{words(20, 'main')}</p></main></div></body>"
+    assert html_text.main_text(nested, html_text.Weights([])) == words(20, "main")
+    forum = f"<body><form><section class='comments'><article>{words(30, 'reader')}</article></section><article>{words(60, 'own')}</article></form></body>"
+    assert html_text.main_text(forum, html_text.Weights([])) == words(60, "own")
+
+
 def test_best_run():
     from itertools import combinations
 
