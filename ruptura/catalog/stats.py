@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ruptura.catalog.standins import (
     CONDITIONS, KEY, KEYS, TESTS_SQL, lines, lines_sql, query, rnd, rounded, table, tests,
 )
-from ruptura.operators import metrics, order, split, stats
+from ruptura.operators import metrics, order, ranks, split, stats
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -249,7 +249,7 @@ FROM c JOIN t USING (dist) GROUP BY s_suppkey""")
 def distance_percentile(spark, d):
     candidates = table(spark, d, "supplier").select("s_suppkey", (F.abs("s_acctbal") * 10).alias("dist"))
     training = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("dist"))
-    out = order.distance_percentile(candidates, training, "dist")
+    out = ranks.distance_percentile(candidates, training, "dist")
     return rounded(out.select("s_suppkey", "ood_percentile"), 6, "ood_percentile")
 
 

@@ -110,29 +110,6 @@ def dense_index(df: DataFrame, order: list[str] | None, out: str) -> DataFrame:
     )
 
 
-def distance_percentile(
-    candidates: DataFrame, training: DataFrame, distance: str = "ood_distance", out: str = "ood_percentile"
-) -> DataFrame:
-    """Share (in %) of training distances not above each candidate's distance.
-
-    NULL when there are no training distances.
-    """
-    total = training.filter(F.col(distance).isNotNull()).count()
-    if total == 0:
-        return candidates.withColumn(out, F.lit(None).cast("double"))
-    both = (
-        training.select(distance, F.lit(1).alias("_train"), F.lit(0).alias("_cand"))
-        .unionByName(candidates.select(distance, F.lit(0).alias("_train"), F.lit(1).alias("_cand")))
-    )
-    runs = running_totals(both, distance, {"t": "_train", "c": "_cand"})
-    wanted = runs.filter(F.col("c") > 0).select(
-        distance, F.col("c").alias("_n"), (F.col("cum_t") * 100.0 / total).alias(out)
-    )
-    keyed = candidates.withColumn(distance, F.col(distance).cast("double"))
-    n_candidates = runs.agg(F.sum("c")).first()[0] or 0
-    return attach(keyed, wanted, distance, "_n", n_candidates).drop("_n")
-
-
 def spearman(df: DataFrame, a: str, b: str, out: str = "spearman") -> DataFrame:
     """Rank correlation with average ranks; NULL when one side does not vary.
 

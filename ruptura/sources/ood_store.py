@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ruptura.constants import DESIGN_ELEMENTS, OOD_DEFAULT_THRESHOLD
 from ruptura.operators.ood import OodReference
+from ruptura.operators.ranks import load_rank_index, rank_index, save_rank_index
+from ruptura.plans.ood import OodModel
 from ruptura.sources.tables import path_exists
 
 # --- fixed values: names under which a stored reference may hold its parts --
@@ -36,6 +38,7 @@ def save_reference(
     spark.createDataFrame(meta, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     if distances is not None:
         distances.write.mode("overwrite").parquet(f"{path}/train_distances")
+        save_rank_index(distances, distances.columns[0], f"{path}/ranks", "overwrite")
     if rows is not None:
         rows.write.mode("overwrite").parquet(f"{path}/reference_rows")
 
@@ -81,6 +84,36 @@ def load_reference(spark: SparkSession, paths: Sequence[str], required: bool = T
     return None
 
 
+def rows_of_payload(df: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Training distances and reference rows that a payload holds, as tables; none where it doesn't.
+
+    Rows without ``row_index`` are numbered by their place in the payload.
+    """
+    distances = rows = None
+    if "train_distances" in df.columns:
+        distances = df.select(F.explode("train_distances").alias("ood_distance")).select(F.col("ood_distance").cast("double"))
+    if "reference_rows" in df.columns:
+        placed = df.select(F.posexplode("reference_rows").alias("place", "r"))
+        fields = placed.select("r.*").columns
+        given = F.col("r.row_index").cast("long") if "row_index" in fields else F.lit(None).cast("long")
+        rows = placed.select(F.coalesce(given, F.col("place").cast("long")).alias("row_index"), *[F.col(f"r.`{c}`").alias(c) for c in fields if c != "row_index"])
+    return distances, rows
+
+
+def load_model(spark: SparkSession, path: str) -> OodModel:
+    """A saved reference or a JSON payload whole: its numbers, its training distances as a rank index, and its rows."""
+    reference = load_reference(spark, [path])
+    if not path.lower().endswith(".json"):
+        return OodModel(reference, load_rank_index(spark, f"{path}/ranks"), load_reference_rows(spark, path))
+    distances, rows = rows_of_payload(spark.read.option("multiLine", True).json(path))
+    if distances is None:
+        distances = spark.createDataFrame([], "ood_distance double")
+    if rows is None:
+        fields = ", ".join(f"`{f}` double" for f in reference.features)
+        rows = spark.createDataFrame([], f"row_index long, {fields}")
+    return OodModel(reference, rank_index(distances, "ood_distance"), rows)
+
+
 def load_train_distances(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/train_distances")
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ruptura.operators import order
+from ruptura.operators import order, ranks
 from ruptura.operators.quantiles import exact_quantiles, quantile
 
 
@@ -60,9 +60,9 @@ def test_dense_index_is_dense_and_ordered_with_copies(spark):
 def test_distance_percentile(spark):
     train = spark.createDataFrame([(x,) for x in (1.0, 2.0, 2.0, 4.0)], "d double")
     cand = spark.createDataFrame([(1, 0.5), (2, 2.0), (3, 2.0), (4, 9.0)], "id int, d double")
-    got = {r["id"]: r["p"] for r in order.distance_percentile(cand, train, "d", "p").collect()}
+    got = {r["id"]: r["p"] for r in ranks.distance_percentile(cand, train, "d", "p").collect()}
     assert got == {1: 0.0, 2: 75.0, 3: 75.0, 4: 100.0}
-    none = order.distance_percentile(cand, train.filter("d < 0"), "d", "p")
+    none = ranks.distance_percentile(cand, train.filter("d < 0"), "d", "p")
     assert none.filter("p is not null").count() == 0
 
 

@@ -8,6 +8,7 @@ from ruptura.constants import DESIGN_ELEMENTS, FULL_ELEMENTS
 from ruptura.operators import cleaning, ood, stats
 from ruptura.operators.composition import rule_based_seeds
 from ruptura.operators.penalties import validate_seeds
+from ruptura.plans.ood import ood_report
 from ruptura.sources import ood_store, results, seeds, sinks, tables
 
 
@@ -128,6 +129,25 @@ def test_reference_store_and_aliases(spark, tmp_path):
     assert ood_store.load_reference(spark, ["/nowhere"], required=False) is None
 
 
+def test_stored_models_bring_rows_and_distances(spark, tmp_path):
+    rows = spark.createDataFrame([(k, float(k), 2.0 * k, 5.0 + k) for k in range(8)], "row_index long, a double, b double, temp double")
+    ref = ood.fit_reference(rows, ["a", "b"])
+    distances = rows.select(ood.mahalanobis(ref).alias("ood_distance"))
+    path = str(tmp_path / "kept")
+    ood_store.save_reference(ref, path, spark, distances, rows)
+    asked = spark.createDataFrame([(1, 0.4, 1.0), (2, 90.0, -3.0)], "candidate_id int, a double, b double")
+    payload = {"mean": list(ref.mean), "cov_inv": [list(r) for r in ref.cov_inv], "features": ["a", "b"], "threshold": ref.threshold, "std": list(ref.std),
+               "train_distances": [r[0] for r in distances.collect()], "reference_rows": [r.asDict() for r in rows.drop("row_index").collect()]}
+    stored = write(tmp_path / "p.json", json.dumps(payload))
+    for place in (path, stored):
+        got = {r["candidate_id"]: r for r in ood_report(asked, ood_store.load_model(spark, place), k=2).collect()}
+        assert [n["row_index"] for n in got[1]["nearest_neighbors"]] == [0, 1] and got[2]["ood_percentile"] == 100.0
+        assert got[1]["nearest_neighbors"][0]["temp"] == 5.0
+    bare = write(tmp_path / "bare.json", json.dumps({k: payload[k] for k in ("mean", "cov_inv", "features")}))
+    distances, rows = ood_store.rows_of_payload(spark.read.option("multiLine", True).json(bare))
+    assert distances is None and rows is None
+
+
 def test_products(spark):
     df = spark.createDataFrame([("9", "x", 5.0)], [" Cr ", "Rh", "Hours"])
     row = cleaning.normalize_products(df).first().asDict()
