@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruptura.functions.numeric import finite
-from ruptura.operators.order import dense_index
-from ruptura.runtime import checkpointed
+from ruptura.runtime import written
 
 BLOCK = 5_000
 CHUNK = 512
+#: A cell aims at this share of a block, and so many blocks of rows ahead meet it at once.
+CELL_SHARE = 8
+#: Most cells of the grid, and most tasks of the comparison.
+MOST_CELLS, MOST_TASKS = 1 << 16, 4096
 
 
 def undominated(points: np.ndarray) -> np.ndarray:
@@ -62,12 +66,12 @@ def pareto_front(df: DataFrame, objectives: dict[str, str], genes: Sequence[str]
 
 
 def _front(distinct: DataFrame, costs: list[str], block: int) -> DataFrame | None:
-    """Skyline per task, then comparisons between blocks of the survivors.
+    """Skyline per task, then a coarse grid whose occupied cells decide which points are compared.
 
-    Survivors are numbered in lexicographic order and cut into blocks of ``block``
-    rows. A point is only beaten by one of its own or an earlier block, and only if
-    that block's least corner beats the greatest corner of its own; such pairs of
-    blocks are compared, each pair in a group of two blocks at most.
+    The cut points of the grid are quantiles of the survivors. A point beats every point of
+    a cell that is higher in all axes, so such cells vanish by their occupancy alone. What
+    is left of a cell meets only the cells that are nowhere higher than it; a large cell,
+    or many points ahead of one, make several groups of about ``block`` rows each.
     """
     schema = distinct.schema
 
@@ -78,43 +82,139 @@ def _front(distinct: DataFrame, costs: list[str], block: int) -> DataFrame | Non
             points = points if best is None else np.vstack([best, points])
             points = points[_sorted(points)]
             best = points[undominated(points)]
-            if len(best) > block:  # keep memory and time bounded: blocks are compared below
+            if len(best) > block:  # keep memory and time bounded: the cells are compared below
                 yield pd.DataFrame(best, columns=costs)
                 best = None
         if best is not None:
             yield pd.DataFrame(best, columns=costs)
 
-    # Few bytes, much work: keep adaptive execution from merging the tasks.
-    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = dense_index(distinct.repartition(tasks).mapInPandas(local, schema), costs, "_place")
-    placed = placed.withColumn("_block", F.floor(F.col("_place") / block)).drop("_place")
-    if placed.isEmpty():
+    left = written(distinct.mapInPandas(local, schema), "skyline")
+    n = left.count()
+    if not n:
         return None
-    corners = placed.groupBy("_block").agg(
-        *[F.min(c).alias(f"_lo{c}") for c in costs], *[F.max(c).alias(f"_hi{c}") for c in costs])
-    # One row per block on either side.
-    low = corners.select(F.col("_block").alias("_from"), *[f"_lo{c}" for c in costs])
-    high = corners.select(F.col("_block").alias("_to"), *[f"_hi{c}" for c in costs])
-    reaches = F.col("_from") <= F.col("_to")
-    for c in costs:
-        reaches = reaches & (F.col(f"_lo{c}") <= F.col(f"_hi{c}"))
-    pairs = checkpointed(low.join(high, reaches).select("_from", "_to"))
-    own = F.col("_from") == F.col("_to")
-    ahead = placed.join(pairs.where(~own), placed["_block"] == F.col("_from")).select("_from", "_to", *costs, F.lit(True).alias("_ahead"))
-    behind = placed.join(pairs, placed["_block"] == F.col("_to")).select("_from", "_to", *costs, F.lit(False).alias("_ahead"))
+    grid = _Grid.over(left, costs, n, max(1, block // CELL_SHARE))
+    celled = written(left.mapInPandas(grid.placed(costs), f"{schema.simpleString()[7:-1].replace(':', ' ')}, _cell int"), "cells")
+    # At most MOST_CELLS short rows.
+    sizes = {r["_cell"]: r["count"] for r in celled.groupBy("_cell").count().collect()}
+    order = grid.surviving(np.array(list(sizes), dtype=np.int64))
+    meet = _Meeting(grid.coordinates(order), np.array([sizes[c] for c in order]), {c: i for i, c in enumerate(order.tolist())}, block)
+
+    fields = ", ".join(f"{c} double" for c in costs)
+    both = celled.filter(F.col("_cell").isin(order.tolist()) if len(order) <= 1000 else F.lit(True)).mapInPandas(
+        meet.dealt(costs), f"_target int, _part int, _chunk int, _ahead boolean, {fields}")
 
     def beaten(pdf: pd.DataFrame) -> pd.DataFrame:
         points = pdf.loc[~pdf["_ahead"], costs].to_numpy(dtype=float)
-        points = points[_sorted(points)]
-        if pdf["_ahead"].any():
-            lost = _beaten_by(points, pdf.loc[pdf["_ahead"], costs].to_numpy(dtype=float))
-        else:
-            lost = ~undominated(points)
+        ahead = pdf.loc[pdf["_ahead"], costs].to_numpy(dtype=float)
+        lost = _beaten_by(points, ahead[_sorted(ahead)])
         return pd.DataFrame(points[lost], columns=costs)
 
-    both = ahead.unionByName(behind).repartition(tasks, "_from", "_to")
-    lost = both.groupBy("_from", "_to").applyInPandas(beaten, schema).distinct()
-    return placed.drop("_block").join(lost, costs, "left_anti")
+    # Few bytes, much work: a stated number of partitions keeps adaptive execution from merging the tasks.
+    tasks = max(1, min(MOST_TASKS, len(order)))
+    lost = both.repartition(tasks, "_target", "_part", "_chunk").groupBy("_target", "_part", "_chunk").applyInPandas(beaten, schema).distinct()
+    alive = celled.mapInPandas(meet.alive(costs), schema)
+    return alive.join(lost, costs, "left_anti")
+
+
+@dataclass(frozen=True)
+class _Grid:
+    """Cut points per axis; a cell is one number."""
+
+    cuts: tuple[np.ndarray, ...]
+
+    @staticmethod
+    def over(points: DataFrame, costs: list[str], n: int, cell_rows: int) -> _Grid:
+        """As many cells per axis as give about ``cell_rows`` rows to a cell of a front, at most MOST_CELLS in all."""
+        d = len(costs)
+        steps = int(min((n / cell_rows) ** (1 / max(1, d - 1)), MOST_CELLS ** (1 / d)))
+        if steps < 2:
+            return _Grid(tuple(np.zeros(0) for _ in costs))
+        shares = [i / steps for i in range(1, steps)]
+        cuts = points.stat.approxQuantile(costs, shares, 1 / (4 * steps))
+        return _Grid(tuple(np.unique(c) for c in cuts))
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return tuple(len(c) + 1 for c in self.cuts)
+
+    def cells(self, points: np.ndarray) -> np.ndarray:
+        places = [np.searchsorted(c, points[:, k], side="right") for k, c in enumerate(self.cuts)]
+        return np.ravel_multi_index(places, self.shape)
+
+    def coordinates(self, cells: np.ndarray) -> np.ndarray:
+        return np.stack(np.unravel_index(cells, self.shape), axis=1)
+
+    def surviving(self, cells: np.ndarray) -> np.ndarray:
+        """Cells without an occupied cell that is lower in every axis."""
+        seen = np.zeros(self.shape, dtype=bool)
+        seen[np.unravel_index(cells, self.shape)] = True
+        for axis in range(len(self.shape)):
+            seen = np.logical_or.accumulate(seen, axis=axis)
+        lower = np.zeros(self.shape, dtype=bool)
+        lower[(slice(1, None),) * len(self.shape)] = seen[(slice(None, -1),) * len(self.shape)]
+        return cells[~lower[np.unravel_index(cells, self.shape)]]
+
+    def placed(self, costs: list[str]):
+        def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(_cell=self.cells(pdf[costs].to_numpy(dtype=float)).astype("int32"))
+
+        return apply
+
+
+@dataclass(frozen=True)
+class _Meeting:
+    """Which rows of the surviving cells meet: coordinates and sizes by position, position by cell."""
+
+    at: np.ndarray
+    sizes: np.ndarray
+    place: dict[int, int]
+    block: int
+
+    def parts(self, target: int) -> int:
+        return -(-int(self.sizes[target]) // self.block)
+
+    def chunks(self, target: int) -> int:
+        """Groups that the rows ahead of a cell are dealt to."""
+        ahead = int(self.sizes[(self.at <= self.at[target]).all(axis=1)].sum())
+        return -(-ahead // (CELL_SHARE * self.block))
+
+    def alive(self, costs: list[str]):
+        def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.loc[pdf["_cell"].isin(self.place), costs]
+
+        return apply
+
+    def dealt(self, costs: list[str]):
+        """Each row as one to be judged in its own cell, and as one ahead in every cell it may beat a point of."""
+        def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of: dict[int, tuple[int, int]] = {}
+
+            def split(target: int) -> tuple[int, int]:
+                if target not in of:
+                    of[target] = self.parts(target), self.chunks(target)
+                return of[target]
+
+            def rows(pdf: pd.DataFrame, target: int, part, chunk, ahead: bool) -> pd.DataFrame:
+                return pdf[costs].assign(_target=target, _part=part, _chunk=chunk, _ahead=ahead)[["_target", "_part", "_chunk", "_ahead", *costs]]
+
+            for pdf in batches:
+                for cell, own in pdf.groupby("_cell"):
+                    if cell not in self.place:
+                        continue
+                    k = self.place[cell]
+                    # A row's group follows from its values, so a lost task deals it likewise.
+                    mixed = pd.util.hash_pandas_object(own[costs], index=False).to_numpy()
+                    parts, chunks = split(k)
+                    for chunk in range(chunks):
+                        yield rows(own, k, (mixed % parts).astype("int32"), chunk, False)
+                    for target in np.flatnonzero((self.at >= self.at[k]).all(axis=1)):
+                        parts, chunks = split(int(target))
+                        for part in range(parts):
+                            yield rows(own, int(target), part, (mixed // 7919 % chunks).astype("int32"), True)
+
+        return apply
 
 
 def _beaten_by(points: np.ndarray, front: np.ndarray) -> np.ndarray:
