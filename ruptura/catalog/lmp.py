@@ -70,13 +70,15 @@ def unit_sql(name: str) -> str:
 WITH {fits_sql(lines_sql(BY_GROUP), 'l_partkey')}, best AS (
   SELECT * FROM err WHERE a < 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY rmse, c) = 1),
 span AS (SELECT g, count(*) AS n_rows, min(temp) AS tl, max(temp) AS th, min(stress) AS sl, max(stress) AS sh FROM rows_ GROUP BY g HAVING count(*) >= 5),
-made AS (SELECT g, unnest(range(1, least(n_rows, 20) + 1)) AS i, tl, th, sl, sh FROM span JOIN best USING (g) WHERE rmse <= 0.35)
-SELECT g AS l_partkey, i AS synthetic_no, round(tl + {unit_sql('temp')} * (th - tl), 5) AS temp,
-       round(sl + {unit_sql('stress')} * (sh - sl), 5) AS stress FROM made""")
+made AS (SELECT g, unnest(range(1, least(n_rows, 20) + 1)) AS i, tl, th, sl, sh, a, b, c FROM span JOIN best USING (g) WHERE rmse <= 0.35),
+placed AS (SELECT *, tl + {unit_sql('temp')} * (th - tl) AS temp, sl + {unit_sql('stress')} * (sh - sl) AS stress FROM made)
+SELECT g AS l_partkey, i AS synthetic_no, round(temp, 5) AS temp, round(stress, 5) AS stress,
+       round(1000 * (a * log10(stress) + b) / temp - c, 4) AS log_lifetime FROM placed""")
 def augment_lmp(spark, d):
     fits = lmp.fit_lmp_by_group(lines(spark, d, BY_GROUP), ["l_partkey"])
     made = lmp.synthesize(fits, ["l_partkey"], 42)
-    return rounded(made.select("l_partkey", "synthetic_no", "temp", "stress"), 5, "temp", "stress")
+    out = made.select("l_partkey", "synthetic_no", "temp", "stress", "log_lifetime")
+    return rounded(rounded(out, 5, "temp", "stress"), 4, "log_lifetime")
 
 
 @query("synthetic_outside_bounds", "SELECT 0 AS n_outside")

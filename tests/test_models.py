@@ -175,3 +175,8 @@ def test_residual_ensemble_improves_and_reloads(spark, tmp_path):
     a = [r[0] for r in scored.orderBy("id").select("predicted_log_life").collect()]
     b = [r[0] for r in again.orderBy("id").select("predicted_log_life").collect()]
     assert np.allclose(a, b)
+    # The members of a row are what the trees predict one by one.
+    inputs = modeling._residual_inputs(modeling._base_inputs(split[1], model.scaler, model.features), model.base)
+    leaves = model.forest.setPredictionCol("").setLeafCol("_leaves").transform(inputs)
+    rows = leaves.select("_inputs2", model._members(modeling.vector_to_array("_leaves")).alias("m")).limit(40).collect()
+    assert all(np.allclose(r["m"], [tree.predict(r["_inputs2"]) for tree in model.forest.trees]) for r in rows)
