@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruptura.llm.common import checkpointed, small, stored
+from ruptura.llm.common import stored
 
 #: Bytes of a string that counts as repeated, and of its first digit.
 DEPTH = 100
@@ -19,20 +20,20 @@ DIGIT = 32
 #: Window starts handled at a time; memory doesn't follow the length of a text. At most 2 ** _PLACE.
 BLOCK = 1 << 18
 _PLACE = 20
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Bits of the offsets (before and after) packed below an anchor's place.
-_SIDE = 16
+_ODD = 0x9E3779B97F4A7C15
+#: Bits of each of the two offsets packed below an anchor's first window.
+_SIDE = 8
 
 
 @cache
-def _byte_codes(which: int) -> np.ndarray:
+def _byte_codes() -> np.ndarray:
     """A random 64-bit code for each byte value."""
-    return np.random.default_rng(which + 1).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @cache
-def _powers(which: int, inverse: bool) -> np.ndarray:
-    base = pow(_ODD[which], -1, 1 << 64) if inverse else _ODD[which]
+def _powers(inverse: bool) -> np.ndarray:
+    base = pow(_ODD, -1, 1 << 64) if inverse else _ODD
     factors = np.full(BLOCK + 2 * DEPTH, base, dtype=np.uint64)
     factors[0] = 1
     return np.cumprod(factors, dtype=np.uint64)
@@ -44,19 +45,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Hashes:
-    """Hashes of all strings of one block, from sums that any two places bound."""
+    """Hashes of all strings of one length in a block. They choose suffixes and deal them; equal bytes are found otherwise."""
 
-    def __init__(self, data: np.ndarray, which: int = 0):
-        self.which = which
-        coded = _byte_codes(which)[data] * _powers(which, False)[:len(data)]
+    def __init__(self, data: np.ndarray):
+        coded = _byte_codes()[data] * _powers(False)[:len(data)]
         self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(coded, dtype=np.uint64)))
 
-    def between(self, start, stop) -> np.ndarray:
-        return _mix((self.sums[stop] - self.sums[start]) * _powers(self.which, True)[start])
-
     def all(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
-        return _mix((self.sums[length:] - self.sums[:n]) * _powers(self.which, True)[:n])
+        return _mix((self.sums[length:] - self.sums[:n]) * _powers(True)[:n])
 
 
 def _least_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -74,46 +71,42 @@ def _blocks(data: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def anchors(data: np.ndarray, depth: int = DEPTH, digit: int = DIGIT) -> Iterator[tuple[np.ndarray, ...]]:
-    """Sampled suffixes of a text: place, first window, last window, digit, hash of all their windows.
+    """Sampled suffixes of a text: place, first window, last window, hash of their first digit.
 
     Each window of ``depth`` bytes belongs to the suffix in it whose first ``digit``
     bytes hash lowest (the leftmost of equal ones), so equal windows belong to
     suffixes with equal digits at the same offset. A suffix serves a run of windows.
     """
     for at, block in _blocks(data, depth):
-        hashes = _Hashes(block)
-        digits = hashes.all(digit)
+        digits = _Hashes(block).all(digit)
         order = (digits >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(digits), dtype=np.uint64)
         place = (_least_of(order, depth - digit + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         last = np.concatenate((first[1:] - 1, [len(place) - 1]))
         where = place[first]
-        # The place of the digit in the cell is part of the cell.
-        cell = _mix(hashes.between(first, last + depth) + (where - first).astype(np.uint64) * np.uint64(_ODD[1]))
-        yield where + at, first + at, last + at, digits[where], cell
+        yield where + at, first + at, last + at, digits[where]
 
 
-def _pack(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """First window and its run in one long, ordered like the first window."""
-    return (first << _SIDE) | (last - first)
+def _pack(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """First window, its run and the suffix's place behind it in one long, ordered like the first window."""
+    return (first << 2 * _SIDE) | ((last - first) << _SIDE) | (place - first)
 
 
-def _rows(schema: pa.Schema, columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+def _rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-CELLS = pa.schema([(n, pa.int64()) for n in ("id", "part", "span", "digit", "cell")])
-RANGES = pa.schema([(n, pa.int64()) for n in ("id", "part", "start", "stop")])
-CONTEXTS = pa.schema([*((n, pa.int64()) for n in ("digit", "id", "part", "start")), ("bytes", pa.binary())])
-WINDOWS = pa.schema([(n, pa.int64()) for n in ("id", "part", "start", "code", "check")])
-#: Rows of an output batch, bytes of an output batch, and bytes of contexts compared at a time.
-ROWS, GATHER, COMPARE = 1 << 16, 1 << 22, 1 << 20
-#: Digits with more contexts than this are compared window by window across the cluster.
-GROUP = 1000
+CELLS = pa.schema([(n, pa.int64()) for n in ("id", "part", "span", "digit", "cell", "cell2")])
+CONTEXTS = pa.schema([
+    ("lo", pa.int32()), ("hi", pa.int32()), ("lead", pa.int32()), ("bytes", pa.binary()),
+    *((n, pa.int64()) for n in ("id", "part", "start")),
+])
+#: Rows and bytes of an output batch.
+ROWS, GATHER = 1 << 15, 1 << 21
 
 
 def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
+    return ", ".join(f"{f.name} {({pa.binary(): 'binary', pa.int32(): 'int'}).get(f.type, 'long')}" for f in schema)
 
 
 def _values(column: pa.Array) -> Iterator:
@@ -121,26 +114,45 @@ def _values(column: pa.Array) -> Iterator:
     return (x.as_py() for x in column)
 
 
+def _gathered(rows: Iterator[tuple], schema: pa.Schema, weight: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about GATHER bytes, counted in the column ``weight``."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[weight]) + 64
+        if size > GATHER:
+            yield _rows(schema, list(zip(*held)))
+            held, size = [], 0
+    if held:
+        yield _rows(schema, list(zip(*held)))
+
+
 def _own_cells(text: pa.BinaryScalar, depth: int, digit: int) -> tuple[np.ndarray, ...]:
-    """Span, digit and cell of a text's sampled suffixes, the first of equal ones."""
-    found = [
-        (_pack(first, last), digits.view(np.int64), cell.view(np.int64))
-        for _, first, last, digits, cell in anchors(np.frombuffer(text.as_buffer(), dtype=np.uint8), depth, digit)
-    ]
-    span, digits, cell = (np.concatenate(c) for c in zip(*found))
-    order = np.lexsort((span, cell, digits))
-    new = np.concatenate(([True], (digits[order[1:]] != digits[order[:-1]]) | (cell[order[1:]] != cell[order[:-1]])))
+    """Span, digit and cell of a text's sampled suffixes, the first of equal ones.
+
+    The cell is the XXH3 (128 bits) of all bytes that the suffix serves, seeded by its place in them.
+    """
+    data = memoryview(text.as_buffer())
+    found = []
+    for place, first, last, digits in anchors(np.frombuffer(data, dtype=np.uint8), depth, digit):
+        cells = b"".join(
+            xxhash.xxh3_128_digest(data[a:b], seed=c) for a, b, c in zip(first.tolist(), (last + depth).tolist(), (place - first).tolist())
+        )
+        found.append((_pack(place, first, last), digits.view(np.int64), *np.frombuffer(cells, dtype=np.int64).reshape(-1, 2).T))
+    span, digits, cell, cell2 = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((span, cell2, cell))
+    new = np.concatenate(([True], (cell[order[1:]] != cell[order[:-1]]) | (cell2[order[1:]] != cell2[order[:-1]])))
     keep = order[new]
-    return span[keep], digits[keep], cell[keep]
+    return span[keep], digits[keep], cell[keep], cell2[keep]
 
 
 def _cells(depth: int, digit: int):
-    """Rows ``id, part, span, digit, cell`` of the sampled suffixes, once for each cell of a text."""
+    """Rows of the sampled suffixes, once for each cell of a text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, size = [], 0
-            for k, part, text in zip(batch.column("id").to_pylist(), batch.column("part").to_pylist(), batch.column("text")):
+            for k, part, text in zip(_values(batch.column("id")), _values(batch.column("part")), batch.column("text")):
                 own = _own_cells(text, depth, digit)
                 parts.append((np.full(len(own[0]), k), np.full(len(own[0]), part), *own))
                 size += len(own[0])
@@ -169,94 +181,36 @@ def _unpacked(packed: bytes | None) -> bytes:
     return b"" if packed is None else zstandard.ZstdDecompressor().decompress(packed)
 
 
-def _contexts(depth: int):
-    """Rows ``digit, id, part, start, bytes``: the windows that an open suffix serves, as one slice of its own text."""
+def _contexts(depth: int, digit: int):
+    """The windows that an open suffix serves, as one slice of its own text."""
+    low = (1 << _SIDE) - 1
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            parts, size = [], 0
             for id_, own, packed, open_ in zip(*(_values(batch.column(c)) for c in ("id", "part", "packed", "open"))):
                 text = _unpacked(packed)
-                for row in open_:
-                    first = row["span"] >> _SIDE
-                    stop = first + (row["span"] & ((1 << _SIDE) - 1)) + depth
-                    parts.append((row["digit"], id_, own, first, text[first:stop]))
-                    size += stop - first
-                if size > GATHER:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*parts), CONTEXTS)], schema=CONTEXTS)
-                    parts, size = [], 0
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*parts), CONTEXTS)], schema=CONTEXTS)
-
-    return apply
-
+                for span in open_:
+                    first, more, lead = span >> 2 * _SIDE, span >> _SIDE & low, span & low
+                    yield 0, depth - digit, lead, text[first:first + more + depth], id_, own, first
 
-def _window_codes(ids: list, parts: list, starts: list, slices: list[bytes], depth: int) -> list[np.ndarray]:
-    """Columns id, part, start, code and check of all windows of some slices."""
-    data = np.frombuffer(b"".join(slices), dtype=np.uint8)
-    lengths = np.array([len(x) for x in slices])
-    begins = np.cumsum(lengths) - lengths
-    counts = lengths - depth + 1
-    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(begins, counts) + within
-    codes = [np.empty(len(at), dtype=np.int64) for _ in (0, 1)]
-    for lo in range(0, len(data), BLOCK):
-        mine = slice(*np.searchsorted(at, (lo, lo + BLOCK)))
-        for which in (0, 1):
-            hashes = _Hashes(data[lo:lo + BLOCK + depth], which)
-            codes[which][mine] = hashes.between(at[mine] - lo, at[mine] - lo + depth).view(np.int64)
-    return [*(np.repeat(np.array(c), counts) for c in (ids, parts)), np.repeat(np.array(starts), counts) + within, *codes]
+    return lambda batches: _gathered(rows(batches), CONTEXTS, 3)
 
 
-def _compare(depth: int):
-    """Ranges of repeated windows from contexts whose digits come in one piece, in order.
-
-    A context that comes twice, from a row that is repeated, counts once.
-    """
+def _halved(depth: int):
+    """The next pass of each row: its windows by the halves of their places, as rows of fewer windows."""
 
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        ids, parts, starts, code, check = _window_codes(*(list(c) for c in list(zip(*rows))[1:]), depth)
-        order = np.lexsort((starts, parts, ids, check, code))
-        code, check = code[order], check[order]
-        again = order[1:][(code[1:] == code[:-1]) & (check[1:] == check[:-1])]
-        again = again[np.lexsort((starts[again], parts[again], ids[again]))]
-        ids, parts, starts = ids[again], parts[again], starts[again]
-        if not len(ids):
-            return _rows(RANGES, [ids, parts, starts, starts])
-        # Neighbouring windows make one range.
-        other = (ids[1:] != ids[:-1]) | (parts[1:] != parts[:-1])
-        new = np.concatenate(([True], other | (starts[1:] > starts[:-1] + depth)))
-        first = np.flatnonzero(new)
-        last = np.concatenate((first[1:] - 1, [len(ids) - 1]))
-        return _rows(RANGES, [ids[first], parts[first], starts[first], starts[last] + depth])
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for row in zip(*(_values(batch.column(f.name)) for f in CONTEXTS)):
-                if size > COMPARE and row[0] != rows[-1][0]:
-                    yield settle(rows)
-                    rows, size = [], 0
-                if rows and row[:4] == rows[-1][:4]:
-                    continue
-                rows.append(row)
-                size += len(row[4])
-        if rows:
-            yield settle(rows)
-
-    return apply
-
+            for lo, hi, lead, data, id_, part, start in zip(*(_values(batch.column(f.name)) for f in CONTEXTS)):
+                middle = (lo + hi) // 2
+                least = lead - (len(data) - depth)  # of the window that begins last
+                for a, b in ((lo, middle), (middle + 1, hi)):
+                    most, fewest = min(lead, b), max(least, a)
+                    if fewest <= most:
+                        at = lead - most
+                        yield a, b, most, data[at:at + most - fewest + depth], id_, part, start + at
 
-def _all_windows(depth: int):
-    """Rows ``id, part, start, code, check`` of the windows of contexts."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 11):
-                part = batch.slice(at, 1 << 11)
-                yield _rows(WINDOWS, _window_codes(*(part.column(c).to_pylist() for c in ("id", "part", "start", "bytes")), depth))
-
-    return apply
+    return lambda batches: _gathered(rows(batches), CONTEXTS, 3)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
@@ -282,7 +236,7 @@ def first_suffixes(texts: DataFrame, mixed: bool, depth: int = DEPTH, digit: int
     """
     cells = (
         texts.where(f"id is not null and octet_length(text) >= {depth}").mapInArrow(_cells(depth, digit), _ddl(CELLS))
-        .groupBy("digit", "cell")
+        .groupBy("digit", "cell", "cell2")
     )
     if mixed:
         heads = cells.agg(F.min(F.struct("id", "part", "span")).alias("head")).select("head.*", "digit")
@@ -300,35 +254,35 @@ def open_suffixes(heads: DataFrame) -> DataFrame:
     mixed = stored(
         heads.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("digit"), "digits"
     )
-    return heads.join(mixed, "digit").groupBy("id", "part").agg(F.collect_list(F.struct("span", "digit")).alias("open"))
+    return heads.join(mixed, "digit").groupBy("id", "part").agg(F.collect_list("span").alias("open"))
 
 
-def repeated_windows(contexts: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
-    """Ranges ``id, part, start, stop`` of windows in contexts that also start earlier.
+def repeated_windows(contexts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Ranges ``id, part, start, stop`` of windows in contexts that also start earlier, by further radix passes.
 
-    Equal windows have equal digits. A digit's contexts meet in one task, unless there
-    are more than ``group``: then each window is a row, its first place is found by a
-    combined minimum, and the others by a join against it.
+    A row serves windows that hold the suffix's place between ``lo`` and ``hi`` bytes after
+    their start, so all of them share ``depth - (hi - lo)`` bytes around it: the digits seen
+    so far. Each pass groups rows by their bytes; of equal ones the first stays and the
+    others are repeated. Rows that share the seen digits with rows of other bytes are open:
+    they go to the next pass in two halves of the places, with more digits to see. After
+    the last, every row is one window and equal groups are equal bytes. A group is never
+    gathered: it is a combined minimum and a join.
     """
-    sizes = contexts.groupBy("digit").agg(F.count(F.lit(1)).alias("size"))
-    many = small(stored(sizes.where(F.col("size") > group).select("digit"), "digits"))
-    few = (
-        contexts.join(many, "digit", "left_anti").repartition("digit")
-        .sortWithinPartitions("digit", "id", "part", "start")
-        .mapInArrow(_compare(depth), _ddl(RANGES))
-    )
-    single = checkpointed(
-        contexts.join(many, "digit", "left_semi").mapInArrow(_all_windows(depth), _ddl(WINDOWS))
-    )
-    firsts = checkpointed(
-        single.groupBy("code", "check").agg(F.min(F.struct("id", "part", "start")).alias("head"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("code", "check", "head")
-    )
-    rest = (
-        single.join(firsts, ["code", "check"]).where(F.struct("id", "part", "start") != F.col("head"))
-        .select("id", "part", "start", (F.col("start") + depth).alias("stop"))
-    )
-    return few.union(rest)
+    whole, found = ["lo", "hi", "lead", "bytes"], []
+    seen = F.expr(f"substring(bytes, lead - lo + 1, {depth} - (hi - lo))")
+    own = F.struct("id", "part", "start")
+    while True:
+        heads = stored(
+            contexts.groupBy(*whole).agg(F.min(own).alias("head"), F.count(F.lit(1)).alias("n")).withColumn("seen", seen), "heads")
+        several = heads.where("n > 1").select(*whole, "head")
+        later = contexts.join(several, whole).where(own != F.col("head"))
+        found.append(later.select("id", "part", "start", (F.col("start") + F.octet_length("bytes")).alias("stop")))
+        kinds = heads.where("hi > lo").groupBy("lo", "hi", "seen").agg(F.count(F.lit(1)).alias("kinds"))
+        mixed = stored(kinds.where("kinds > 1").select("lo", "hi", "seen"), "digits")
+        if mixed.isEmpty():
+            return reduce(DataFrame.union, found)
+        left = heads.join(mixed, ["lo", "hi", "seen"]).select(*whole, "head.*")
+        contexts = stored(left.mapInArrow(_halved(depth), _ddl(CONTEXTS)), "contexts")
 
 
 def _merged(starts, stops, length: int) -> list[tuple[int, int]]:
@@ -361,8 +315,8 @@ def _cut(depth: int, digit: int):
                 starts, stops = ([r[c] for r in ranges.as_py() or ()] for c in ("start", "stop"))
                 if id_ is not None and len(text) >= depth:
                     own = heads.values.to_numpy(zero_copy_only=False) if heads.is_valid else np.zeros(0, dtype=np.int64)
-                    for _, first, last, _, _ in anchors(np.frombuffer(text, dtype=np.uint8), depth, digit):
-                        again = ~np.isin(_pack(first, last), own)
+                    for place, first, last, _ in anchors(np.frombuffer(text, dtype=np.uint8), depth, digit):
+                        again = ~np.isin(_pack(place, first, last), own)
                         starts += first[again].tolist()
                         stops += (last[again] + depth).tolist()
                 runs = _merged(starts, stops, len(text))
@@ -379,7 +333,7 @@ def _cut(depth: int, digit: int):
     return apply
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, digit: int = DIGIT, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
     """Each text as UTF-8 bytes without those covered by a ``depth``-byte string that also starts earlier.
 
     One row per input row: the id, ``text`` (the bytes), ``kept`` (the bytes left) and
@@ -392,10 +346,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Only sampled suffixes are sorted (``anchors``), most significant digit first:
 
-    1. their first ``digit`` bytes and all the windows they serve; of equal ones the
-       first is kept by a combined minimum, all others' windows are repeated;
-    2. digits that still head several kinds of windows are open: the bytes of those
-       windows meet by digit, and are compared to their full depth.
+    1. their first ``digit`` bytes, and a 128-bit hash of all the windows they serve; of
+       equal ones the first is kept by a combined minimum, all others' windows are repeated;
+    2. digits that still head several kinds of windows are open: the bytes of those windows
+       go on through passes over more and more digits (``repeated_windows``), to their full
+       depth, and are compared as bytes.
 
     Texts are shuffled once, compressed, and meet both the open suffixes and the result.
     """
@@ -403,8 +358,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = first_suffixes(texts, mixed, depth, digit)
     key = ["id", "part"]
     travelling = texts.where("id is not null").mapInArrow(_compressed, "id long, part long, packed binary")
-    contexts = stored(travelling.join(open_suffixes(heads), key).mapInArrow(_contexts(depth), _ddl(CONTEXTS)), "contexts")
-    ranges = repeated_windows(contexts, depth, group)
+    contexts = stored(travelling.join(open_suffixes(heads), key).mapInArrow(_contexts(depth, digit), _ddl(CONTEXTS)), "contexts")
+    ranges = repeated_windows(contexts, depth)
     of_doc = (
         heads.select(*key, "span", F.lit(None).cast("struct<start: bigint, stop: bigint>").alias("range"))
         .union(ranges.select(*key, F.lit(None).cast("long"), F.struct("start", "stop")))

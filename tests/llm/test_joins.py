@@ -73,14 +73,33 @@ def test_removed_bytes(spark, documents):
     assert got == plain_repeats(rows)
 
 
-def test_hot_passages_by_either_way(spark):
+def test_hot_passages(spark):
     passage = "a passage that very many documents share, é and so on, " * 3
     texts = [(k, f"own start {k * 7919} {passage}{'x' * (k % 5)} own end {k * 104729}") for k in range(60)]
     texts += [(100, "ab" * 400), (101, "z" * 99), (102, "z" * 100), (103, "z" * 300), (104, None), (105, passage)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"id": F.lit(1), "digit": F.lit(2)})
     want = plain_repeats([(i, (t or "").encode()) for i, t in texts])
-    for group in (3, 1000):
-        assert {r[0]: tuple(r)[1:] for r in substrings.digests(substrings.remove_repeats(docs, group=group)).collect()} == want
+    assert {r[0]: tuple(r)[1:] for r in substrings.digests(substrings.remove_repeats(docs)).collect()} == want
+
+
+def test_one_digit_in_very_many_contexts(spark):
+    """Rows that share 32 bytes, and from none to all of the bytes around them."""
+    draw = __import__("random").Random(4)
+    core = "0123456789abcdefghijklmnopqrstuv"
+    pieces = ["".join(draw.choice("xy") for _ in range(80)) for _ in range(12)]
+    texts = [(k, draw.choice(pieces)[draw.randrange(60):] + draw.choice(pieces) + core + draw.choice(pieces) + str(k)) for k in range(700)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in substrings.digests(substrings.remove_repeats(docs)).collect()}
+    assert got == plain_repeats([(i, t.encode()) for i, t in texts]) and sum(r[1] for r in got.values())
+
+
+def test_other_depths(spark):
+    draw = __import__("random").Random(9)
+    texts = [(k, "".join(draw.choice("ab") for _ in range(draw.randrange(90)))) for k in range(150)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for depth, digit in ((10, 9), (12, 4), (7, 7)):
+        got = {r[0]: tuple(r)[1:] for r in substrings.digests(substrings.remove_repeats(docs, depth=depth, digit=digit)).collect()}
+        assert got == plain_repeats([(i, t.encode()) for i, t in texts], depth)
 
 
 def test_long_texts_in_blocks(spark, monkeypatch):
@@ -90,7 +109,7 @@ def test_long_texts_in_blocks(spark, monkeypatch):
 
     text = " ".join(str(k * k) for k in range(3000))
     data = np.frombuffer(text.encode(), dtype=np.uint8)
-    spans = [(a, b) for _, first, last, _, _ in substrings.anchors(data) for a, b in zip(first, last)]
+    spans = [(a, b) for _, first, last, _ in substrings.anchors(data) for a, b in zip(first, last)]
     assert [x for a, b in spans for x in range(a, b + 1)] == list(range(len(data) - 99))
     substrings._powers.cache_clear()
 
@@ -112,8 +131,7 @@ def test_repeated_rows_and_texts_that_share_an_id(spark):
         plain = plain_repeats([(k, t) for k, (_, t) in enumerate(distinct)])
         want = Counter((i, *plain[distinct.index((i, t.encode()))]) for i, t in rows)
         docs = spark.createDataFrame(rows, "doc_id long, text string")
-        for group in (3, 1000):
-            assert Counter(tuple(r) for r in substrings.digests(substrings.remove_repeats(docs, group=group)).collect()) == want
+        assert Counter(tuple(r) for r in substrings.digests(substrings.remove_repeats(docs)).collect()) == want
 
 
 def _signed(value):
