@@ -22,19 +22,26 @@ PAIR_BUCKET = 64
 SEED = 42
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a text over word shingles; 0 without words."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; fewer words than ``size`` are one shingle, no words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1:].tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a text over word shingles; 0 without words."""
+    hashes = shingle_hashes(text, size)
+    if len(hashes) <= 1:
+        return int(hashes[0]) if len(hashes) else 0
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -122,7 +129,8 @@ def links(prints: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, pair_bucket: int = PAIR_BUCKET
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, pair_bucket: int = PAIR_BUCKET,
+    similarity: int | None = None,
 ) -> DataFrame:
     """Fingerprint and group of every document.
 
@@ -133,6 +141,9 @@ def near_duplicates(
     its fingerprint, has no component and links nothing. An empty table gives no
     rows; other columns are ignored. Equal fingerprints collapse before any pair
     is looked for, so groups of exact copies cost one row.
+
+    With ``similarity`` (percent), texts are also linked whose shingle sets are at least
+    that similar (``near_copies``): two bits of 64 find little more than exact copies.
     """
     rows = checkpointed(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), size).alias("fp")))
     prints = rows.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null")
@@ -143,7 +154,11 @@ def near_duplicates(
         rows.join(several, "id").select("id", "fp").join(prints, "fp")
         .select(F.col("id").alias("a"), F.col("node").alias("b"))
     )
-    grouped = components(links(prints, pair_bucket).union(ties))
+    edges = links(prints, pair_bucket).union(ties)
+    if similarity is not None:
+        texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(prints.select("node"), "node", "left_semi")
+        edges = edges.union(near_copies(texts, size, similarity))
+    grouped = components(edges)
     named = (
         prints.join(grouped, "node", "left")
         .select("fp", F.coalesce("component", "node").alias("component"))
@@ -153,3 +168,74 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"),
     )
+
+
+#: Bands of a MinHash sketch, and hashes that agree in a band: two texts with 80 % of their
+#: shingles in common share a band with a chance of 1 - (1 - 0.8 ** 5) ** 24 = 0.99993.
+BANDS, BAND_ROWS = 24, 5
+#: Hashes sketched at a time, so that memory doesn't follow the length of a text.
+SKETCHED = 1 << 12
+
+
+def _band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: the mix of its least hashes under as many multiply-shift functions."""
+    draw = np.random.default_rng(SEED)
+    times, plus = draw.integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), SKETCHED):
+        part = hashes[at:at + SKETCHED, None].astype(np.uint64)
+        np.minimum(least, (part * (times * np.uint64(2) + np.uint64(1)) + plus).min(axis=0), out=least)
+    keys = np.full(BANDS, np.uint64(SEED))
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ (row >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+def near_copies(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges ``a, b`` between nodes whose shingle sets have a Jaccard similarity of ``percent`` or more.
+
+    ``texts`` has ``node`` and ``text``; a node with several texts stands for each. Candidates
+    share a band of a MinHash sketch. A band's texts are not paired with each other but with
+    three of them: the least node, and the least and the greatest by a hash that differs from
+    band to band. Every candidate is verified by its whole shingle sets. Texts without words
+    have no copies. Links in a large group may be missing one by one; a path of others joins it.
+    """
+
+    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, size)) for t in batch["text"]]
+            some = [k for k, hashes in enumerate(sets) if len(hashes)]
+            yield pd.DataFrame({
+                "node": np.repeat(batch["node"].to_numpy()[some], BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(some)),
+                "key": np.concatenate([_band_keys(sets[k]) for k in some]) if some else np.zeros(0, dtype=np.int64)})
+
+    rows = stored(texts.where("text is not null").mapInPandas(bands, "node long, band int, key long"), "bands")
+    mixed = F.xxhash64("node", "band")
+    chosen = F.array_distinct(F.array(F.min("node"), F.min_by("node", mixed), F.max_by("node", mixed)))
+    buckets = stored(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), chosen.alias("chosen")).where("n > 1"), "buckets")
+    pairs = rows.join(buckets, ["band", "key"]).select("node", F.explode("chosen").alias("other")).where("node <> other")
+    pairs = stored(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "candidates")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "hashes": [np.unique(shingle_hashes(t, size)).tobytes() for t in batch["text"]]})
+
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = stored(texts.where("text is not null").join(wanted, "node", "left_semi").mapInPandas(sets, "node long, hashes binary"), "shingle-sets")
+    one, two = (held.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_hashes")) for n in ("a", "b"))
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+            # Too unequal numbers of shingles can't be alike.
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                out.append(False)
+                continue
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(100 * shared >= percent * (len(x) + len(y) - shared))
+        return pd.Series(out, dtype=bool)
+
+    return pairs.join(one, "a").join(two, "b").where(alike("a_hashes", "b_hashes")).select("a", "b")

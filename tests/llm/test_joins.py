@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ruptura.llm import bpe, decontaminate, langid, secrets, substrings, urls
+from ruptura.llm import bpe, decontaminate, langid, secrets, simhash, substrings, urls
 from ruptura.llm.common import draw_limit, fit_sample
 from test_groups import plain_components, plain_fingerprint
 
@@ -217,11 +217,61 @@ def test_awkward_urls(spark):
 
 
 # --- pipeline ----------------------------------------------------------------
+def five_word_sets(texts):
+    out = {}
+    for i, t in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        out[i] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    return out
+
+
+def plain_copies(texts):
+    """Smallest id reachable over fingerprints within two bits or sets with a Jaccard similarity of 0.8, all pairs tried."""
+    label = plain_components({i: plain_fingerprint(t, 5) for i, t in texts.items()})
+    sets = five_word_sets(texts)
+    edges = [(a, b) for a in sets for b in sets if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in [*edges, *label.items()]:
+            least = min(label[a], label[b])
+            if label[a] != least or label[b] != least:
+                label[a] = label[b] = least
+                changed = True
+    return label
+
+
+def test_near_copies_of_many_kinds(spark):
+    """Texts with one to many words changed, a chain of copies of copies, a large group, short texts."""
+    draw = __import__("random").Random(6)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    texts, n = {}, 0
+    for length in (6, 30, 200, 1200):
+        for share in (0, 0.005, 0.01, 0.02, 0.04, 0.1, 0.5):
+            words = [word() for _ in range(length)]
+            texts[n] = " ".join(words)
+            texts[n + 1] = " ".join(word() if draw.random() < share else w for w in words)
+            n += 2
+    chain = [word() for _ in range(300)]
+    for k in range(12):
+        chain[20 * k:20 * k + 4] = [word() for _ in range(4)]
+        texts[n] = " ".join(chain)
+        n += 1
+    group = [word() for _ in range(100)]
+    for _ in range(60):
+        texts[n] = " ".join(word() if draw.random() < 0.01 else w for w in group)
+        n += 1
+    texts |= {n: "", n + 1: None, n + 2: "one two", n + 3: "ONE two"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, size=5, similarity=80).collect()}
+    assert got == plain_copies(texts)
+
+
 def test_pipeline_against_plain_stages(spark, sf, documents):
     rows = {r["doc_id"]: r["text"] for r in documents.collect()}
     model = langid.fit(documents)
     kept = {i: t for i, t in rows.items() if (g := model.predict(t))[0] != "und" and g[1] >= corpus_pipeline.LEAST_SCORE}
-    groups = plain_components({i: plain_fingerprint(t) for i, t in kept.items()})
+    groups = plain_copies(kept)
     kept = {i: t for i, t in kept.items() if groups[i] == i}
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     found = {d for d, *_ in plain_contained(kept.items(), items)}
