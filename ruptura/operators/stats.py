@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,19 +48,60 @@ def min_max(df: DataFrame, column: str) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns in long form, one scan.
+    """Pearson correlation of every pair of columns in long form, from one Gram aggregate.
 
-    Each pair uses the rows where both values exist, as a correlation table does.
+    Each pair uses the rows where both values exist, as a correlation table does. NULL
+    without such rows, NaN where one side doesn't vary.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    corr = [F.corr(finite(a), finite(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)]
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        entries += [(a, b, i)] if a == b else [(a, b, i), (b, a, i)]
-    rows = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("corr")) for a, b, i in entries
-    ])
-    return df.agg(*corr).select(F.explode(rows).alias("r")).select("r.a", "r.b", "r.corr")
+    g = gram(df, columns)
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    covariance, a, b = F.col("xy") - x * y / n, F.col("xx") - x * x / n, F.col("yy") - y * y / n
+    # What is left of a constant's squares is rounding: less than its digits can hold.
+    flat = (a <= 1e-14 * F.col("xx")) | (b <= 1e-14 * F.col("yy"))
+    corr = F.when(flat, F.lit(float("nan"))).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), covariance / F.sqrt(a * b))))
+    names = F.array(*map(F.lit, columns))
+    return g.select(
+        F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"),
+        F.when(n.isNotNull(), F.when((F.col("i") == F.col("j")) & ~flat, F.lit(1.0)).otherwise(corr)).alias("corr"))
+
+
+#: Rows whose products are summed at a time.
+GRAM_ROWS = 8192
+
+
+def gram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sums of every ordered pair (i, j) of columns over the rows where both are finite.
+
+    Rows ``i, j, n, x, y, xx, yy, xy``: the count, and the sums of both values, their squares
+    and their product, each value less a common centre of its column, so that the sums
+    keep their digits. Every task multiplies its rows' value and mask matrices; d * d short
+    rows per task are summed by pair.
+    """
+    d = len(columns)
+    values = [finite(F.col(c).cast("double")) for c in columns]
+    first = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()
+    centre = [first[f"m{i}"] or 0.0 for i in range(d)]
+    rows = df.select(*[(v - F.lit(m)).alias(f"v{i}") for i, (v, m) in enumerate(zip(values, centre))])
+    i, j = (k.ravel().astype("int32") for k in np.meshgrid(range(d), range(d), indexing="ij"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((d, d)) for _ in range(6)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, GRAM_ROWS):
+                part = batch.slice(at, GRAM_ROWS)
+                x = np.column_stack([part.column(k).to_numpy(zero_copy_only=False) for k in range(d)])
+                known = np.isfinite(x)
+                x, mask = np.where(known, x, 0.0), known.astype(float)
+                one, square = x.T @ mask, (x * x).T @ mask
+                for sums, more in zip(total, (mask.T @ mask, one, one.T, square, square.T, x.T @ x)):
+                    sums += more
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i), pa.array(j), *(pa.array(t.ravel()) for t in total)], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    sums = rows.mapInArrow(products, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    out = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    # A pair without rows has no count, so that quotients are NULL.
+    return out.withColumn("n", F.when(F.col("n") > 0, F.col("n")))
 
 
 @dataclass(frozen=True)
@@ -116,26 +159,19 @@ class Moments:
 
 
 def moments(df: DataFrame, features: Sequence[str]) -> Moments:
-    """Two scans of the rows that have all features: means, then centred products.
-
-    Centred sums keep their digits at any row count, and need one buffer per
-    pair where a built-in covariance needs four.
-    """
+    """Moments of the rows that have all features, from one Gram aggregate."""
     d = len(features)
-    df = df.dropna(subset=list(features))
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    known = df.select(*[finite(F.col(f).cast("double")).alias(f"_f{i}") for i, f in enumerate(features)]).dropna()
+    first = known.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"_f{i}").alias(f"m{i}") for i in range(d)]).first()
     n = first["n"]
     if n < 2:
         raise ValueError("moments need at least two rows")
-    mean = [first[f"m{i}"] for i in range(d)]
-    diff = [F.col(f) - m for f, m in zip(features, mean)]
-    second = df.agg(*[
-        F.sum(diff[i] * diff[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)
-    ]).first()
-    product = [[second[f"p{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]
+    product = [[0.0] * d for _ in range(d)]
+    for r in gram(known, known.columns).collect():  # d * d rows
+        product[r["i"]][r["j"]] = r["xy"] - r["x"] * r["y"] / n
     cov = tuple(tuple(v / (n - 1) for v in row) for row in product)
-    std = tuple((product[i][i] / n) ** 0.5 for i in range(d))
-    return Moments(tuple(features), n, tuple(mean), cov, std)
+    std = tuple((max(0.0, product[i][i]) / n) ** 0.5 for i in range(d))
+    return Moments(tuple(features), n, tuple(first[f"m{i}"] for i in range(d)), cov, std)
 
 
 def mean_by_feature(df: DataFrame, features: list[str]) -> DataFrame:
