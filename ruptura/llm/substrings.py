@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruptura.llm.common import stored
+from ruptura.llm.common import small, stored
 
 #: Bytes of a string that counts as repeated, and of its first digit.
 DEPTH = 100
@@ -182,7 +182,7 @@ def _unpacked(packed: bytes | None) -> bytes:
 
 
 def _contexts(depth: int, digit: int):
-    """The windows that an open suffix serves, as one slice of its own text."""
+    """The windows that an open suffix serves, as slices of its own text: the second pass's rows."""
     low = (1 << _SIDE) - 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -191,24 +191,33 @@ def _contexts(depth: int, digit: int):
                 text = _unpacked(packed)
                 for span in open_:
                     first, more, lead = span >> 2 * _SIDE, span >> _SIDE & low, span & low
-                    yield 0, depth - digit, lead, text[first:first + more + depth], id_, own, first
+                    yield from _halves((0, depth - digit, lead, text[first:first + more + depth], id_, own, first), depth)
 
     return lambda batches: _gathered(rows(batches), CONTEXTS, 3)
 
 
+def _halves(row: tuple, depth: int) -> Iterator[tuple]:
+    """A row's windows by the halves of the places that the suffix may have in them."""
+    lo, hi, lead, data, id_, part, start = row
+    if lo == hi:
+        yield row
+        return
+    middle = (lo + hi) // 2
+    least = lead - (len(data) - depth)  # of the window that begins last
+    for a, b in ((lo, middle), (middle + 1, hi)):
+        most, fewest = min(lead, b), max(least, a)
+        if fewest <= most:
+            at = lead - most
+            yield a, b, most, data[at:at + most - fewest + depth], id_, part, start + at
+
+
 def _halved(depth: int):
-    """The next pass of each row: its windows by the halves of their places, as rows of fewer windows."""
+    """The next pass of each row, as rows of fewer windows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for lo, hi, lead, data, id_, part, start in zip(*(_values(batch.column(f.name)) for f in CONTEXTS)):
-                middle = (lo + hi) // 2
-                least = lead - (len(data) - depth)  # of the window that begins last
-                for a, b in ((lo, middle), (middle + 1, hi)):
-                    most, fewest = min(lead, b), max(least, a)
-                    if fewest <= most:
-                        at = lead - most
-                        yield a, b, most, data[at:at + most - fewest + depth], id_, part, start + at
+            for row in zip(*(_values(batch.column(f.name)) for f in CONTEXTS)):
+                yield from _halves(row, depth)
 
     return lambda batches: _gathered(rows(batches), CONTEXTS, 3)
 
@@ -262,26 +271,29 @@ def repeated_windows(contexts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     A row serves windows that hold the suffix's place between ``lo`` and ``hi`` bytes after
     their start, so all of them share ``depth - (hi - lo)`` bytes around it: the digits seen
-    so far. Each pass groups rows by their bytes; of equal ones the first stays and the
-    others are repeated. Rows that share the seen digits with rows of other bytes are open:
-    they go to the next pass in two halves of the places, with more digits to see. After
-    the last, every row is one window and equal groups are equal bytes. A group is never
-    gathered: it is a combined minimum and a join.
+    so far. A pass counts the seen digits (by a hash of 64 bits; only hashes travel) and
+    lets go of rows that are alone with theirs. The others are grouped by their bytes; of
+    equal ones the first stays and the others are repeated. Where rows of different bytes
+    share the seen digits, they go to the next pass in two halves of the places, with more
+    digits to see. In the last every row is one window, and equal groups are equal bytes.
+    A group is never gathered: it is a combined minimum and a join.
     """
     whole, found = ["lo", "hi", "lead", "bytes"], []
-    seen = F.expr(f"substring(bytes, lead - lo + 1, {depth} - (hi - lo))")
+    seen = F.xxhash64("lo", "hi", F.expr(f"substring(bytes, lead - lo + 1, {depth} - (hi - lo))"))
     own = F.struct("id", "part", "start")
     while True:
-        heads = stored(
-            contexts.groupBy(*whole).agg(F.min(own).alias("head"), F.count(F.lit(1)).alias("n")).withColumn("seen", seen), "heads")
+        contexts = contexts.withColumn("seen", seen)
+        shared = stored(contexts.groupBy("seen").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seen"), "digits")
+        rows = contexts.join(small(shared), "seen")
+        heads = stored(rows.groupBy("seen", *whole).agg(F.min(own).alias("head"), F.count(F.lit(1)).alias("n")), "heads")
         several = heads.where("n > 1").select(*whole, "head")
-        later = contexts.join(several, whole).where(own != F.col("head"))
-        found.append(later.select("id", "part", "start", (F.col("start") + F.octet_length("bytes")).alias("stop")))
-        kinds = heads.where("hi > lo").groupBy("lo", "hi", "seen").agg(F.count(F.lit(1)).alias("kinds"))
-        mixed = stored(kinds.where("kinds > 1").select("lo", "hi", "seen"), "digits")
+        later = rows.join(several, whole).where(own != F.col("head"))
+        found.append(stored(later.select("id", "part", "start", (F.col("start") + F.octet_length("bytes")).alias("stop")), "ranges"))
+        kinds = heads.where("hi > lo").groupBy("seen").agg(F.count(F.lit(1)).alias("kinds"))
+        mixed = stored(kinds.where("kinds > 1").select("seen"), "digits")
         if mixed.isEmpty():
             return reduce(DataFrame.union, found)
-        left = heads.join(mixed, ["lo", "hi", "seen"]).select(*whole, "head.*")
+        left = heads.where("hi > lo").join(small(mixed), "seen").select(*whole, "head.*")
         contexts = stored(left.mapInArrow(_halved(depth), _ddl(CONTEXTS)), "contexts")
 
 
