@@ -10,10 +10,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruptura.llm.common import fit_sample, fresh_name
+from ruptura.llm.common import checkpointed, fresh_name
+from ruptura.llm.samples import sample_by
 
 UNKNOWN = "und"
 #: Character n-gram lengths; a space marks both ends of a word.
@@ -21,17 +22,19 @@ ORDERS = (2, 3, 4)
 #: Bloom positions (a power of two) and hash functions.
 SLOTS = 1 << 20
 HASHES = 2
-#: Fitting bounds: about so many documents, and so many of a language's commonest n-grams.
-FIT_DOCS = 8000
+#: Fitting bounds: about so many documents of a language, and so many of its commonest n-grams.
+FIT_DOCS = 2000
 FIT_GRAMS = 30_000
 #: A language contains an n-gram that is at least this frequent there, against the language it is most frequent in.
 SHARE = 0.2
 LEAST = 3
-#: Languages a slot's bits can tell apart.
-MOST_LANGUAGES = 64
+#: Languages a word of a slot can tell apart; a slot has as many words as the languages need.
+WORD_BITS = 64
 #: Characters handled at a time, so that memory doesn't follow the length of a text.
 BLOCK = 1 << 20
 
+#: Bits of every byte, lowest first.
+_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -91,28 +94,32 @@ def _positions(codes: np.ndarray) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageFilter:
-    """One Bloom filter per language, sliced by bit: a slot holds the languages that set it."""
+    """One Bloom filter per language, sliced by bit: a slot holds the languages that set it.
+
+    ``slots`` has a row for every 64 languages.
+    """
 
     languages: tuple[str, ...]
     slots: np.ndarray
     false_rate: np.ndarray
 
     @classmethod
-    def of(cls, languages: list[str], members: list[tuple[int, int]]) -> LanguageFilter:
-        """From ``(n-gram hash as signed long, language bitmask as signed long)`` pairs."""
-        slots = np.zeros(SLOTS, dtype=np.uint64)
-        codes = np.array([m[0] for m in members], dtype=np.int64).view(np.uint64)
-        masks = np.array([m[1] for m in members], dtype=np.int64).view(np.uint64)
-        for at in _positions(codes):
-            np.bitwise_or.at(slots, at.astype(np.int64), masks)
-        fill = np.array([np.mean((slots >> np.uint64(k)) & np.uint64(1)) for k in range(len(languages))])
+    def of(cls, languages: list[str], members: list[tuple[int, ...]]) -> LanguageFilter:
+        """From n-gram hashes, each followed by the words of its language bitmask (all as signed longs)."""
+        words = max(1, -(-len(languages) // WORD_BITS))
+        table = np.array(members, dtype=np.int64).reshape(len(members), words + 1).view(np.uint64)
+        slots = np.zeros((words, SLOTS), dtype=np.uint64)
+        for at in _positions(table[:, 0]):
+            for w in range(words):
+                np.bitwise_or.at(slots[w], at.astype(np.int64), table[:, w + 1])
+        fill = np.array([np.mean((slots[k // WORD_BITS] >> np.uint64(k % WORD_BITS)) & np.uint64(1)) for k in range(len(languages))])
         return cls(tuple(languages), slots, fill ** HASHES)
 
     def languages_of(self, codes: np.ndarray) -> np.ndarray:
-        """Bitmask of all languages that contain each n-gram, by one AND over the slots it hashes to."""
-        found = np.full(len(codes), ~np.uint64(0), dtype=np.uint64)
+        """Bitmask of all languages that contain each n-gram, by one AND over the slots it hashes to; a row for each word."""
+        found = np.full((len(self.slots), len(codes)), ~np.uint64(0), dtype=np.uint64)
         for at in _positions(codes):
-            found &= self.slots[at.astype(np.int64)]
+            found &= self.slots[:, at.astype(np.int64)]
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -120,12 +127,11 @@ class LanguageFilter:
         for codes in grams(text):
             total += len(codes)
             found = self.languages_of(codes)
-            if len(self.languages) <= 8:
-                by_mask = np.bincount(found.astype(np.uint8), minlength=256)
-                values = np.arange(256)
-                hits += [by_mask[(values >> k) & 1 == 1].sum() for k in range(len(self.languages))]
-            else:
-                hits += [int(((found >> np.uint64(k)) & np.uint64(1)).sum()) for k in range(len(self.languages))]
+            # Bits are counted eight languages at a time.
+            for k in range(0, len(self.languages), 8):
+                byte = (found[k // WORD_BITS] >> np.uint64(k % WORD_BITS)).astype(np.uint8)
+                some = min(8, len(self.languages) - k)
+                hits[k:k + some] += np.bincount(byte, minlength=256) @ _BITS[:, :some]
         if not total or not self.languages:
             return UNKNOWN, 0.0
         corrected = (hits - total * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9)
@@ -145,38 +151,38 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = FIT_DOCS
 ) -> LanguageFilter:
-    """Learn from about ``sample`` documents that have a text and a language.
+    """Learn from about ``sample`` documents of each language that have a text.
 
-    Of each language the ``FIT_GRAMS`` commonest n-grams count; rarer languages than
-    the 64 commonest are not learned. Without labelled rows nothing is learned, and
-    every prediction is ``und``.
+    Of each language the ``FIT_GRAMS`` commonest n-grams count. Any number of languages is
+    learned; a value with fewer than ``LEAST_ROWS`` documents is taken for no language.
+    Without labelled rows nothing is learned, and every prediction is ``und``.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = labelled.where("text is not null and lang is not null")
-    counts = (
-        fit_sample(labelled, F.coalesce(F.col("id").cast("string"), F.lit("")), sample)
+    counts = checkpointed(
+        sample_by(labelled, "lang", F.coalesce(F.col("id").cast("string"), F.lit("")), sample)
         .select("lang", "text").mapInPandas(_count_grams, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang")
-    totals = totals.limit(MOST_LANGUAGES).collect()
-    size = {r["lang"]: r["total"] for r in totals}
+    size = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     languages = sorted(size)
     if not languages:
         return LanguageFilter.of([], [])
-    rates = counts.where(F.col("n") >= LEAST).join(
-        F.broadcast(docs.sparkSession.createDataFrame(
-            [(name, k, size[name]) for k, name in enumerate(languages)], "lang string, bit int, total long"
-        )), "lang",
-    ).withColumn("rate", F.col("n") / F.col("total"))
+    of_language = docs.sparkSession.createDataFrame(
+        [(name, k // WORD_BITS, k % WORD_BITS, size[name]) for k, name in enumerate(languages)], "lang string, word int, place int, total long"
+    )
+    commonest = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    rates = (
+        counts.where(F.col("n") >= LEAST).withColumn("rank", F.row_number().over(commonest)).where(F.col("rank") <= FIT_GRAMS)
+        .join(F.broadcast(of_language), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    )
     shared = rates.groupBy("gram").agg(
-        F.max("rate").alias("most"), F.collect_list(F.struct("rate", F.expr("shiftleft(1L, bit)").alias("bit"))).alias("in"),
+        F.max("rate").alias("most"), F.collect_list(F.struct("rate", "word", F.expr("shiftleft(1L, place)").alias("bit"))).alias("in"),
     )
-    members = shared.select(
-        "gram", "most",
-        F.expr(f"aggregate(filter(in, x -> x.rate >= {SHARE} * most), 0L, (m, x) -> m | x.bit)").alias("mask"),
-    ).orderBy(F.desc("most"), "gram").limit(FIT_GRAMS * len(languages)).select("gram", "mask").collect()
-    return LanguageFilter.of(languages, [tuple(m) for m in members])
+    words = range(-(-len(languages) // WORD_BITS))
+    masks = [F.expr(f"aggregate(filter(in, x -> x.word = {w} and x.rate >= {SHARE} * most), 0L, (m, x) -> m | x.bit)") for w in words]
+    members = shared.select("gram", *[m.alias(f"mask{w}") for w, m in zip(words, masks)]).toArrow()
+    return LanguageFilter.of(languages, np.column_stack([members.column(c).to_numpy() for c in members.column_names]))
 
 
 def predict(model: LanguageFilter, text: Column) -> Column:

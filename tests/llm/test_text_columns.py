@@ -91,9 +91,28 @@ def test_language_of_awkward_rows(awkward, documents):
     assert {r["lang_pred"] for r in langid.identify(awkward, awkward.limit(0)).collect()} == {"und"}
 
 
+def invented(seed, n, words=30):
+    """Documents of an invented language: words over its own letters and endings."""
+    draw = __import__("random").Random(seed)
+    letters = "".join(draw.sample("abcdefghijklmnopqrstuvwxyzáéíóúäöüñçßøåæœ", 9))
+    stems = ["".join(draw.choice(letters) for _ in range(draw.randint(2, 5))) for _ in range(150)]
+    return [" ".join(draw.choice(stems) for _ in range(words)) for _ in range(n)]
+
+
+def test_rare_languages_and_more_than_a_word_of_them(spark, documents, monkeypatch):
+    """72 languages of ten documents each beside a frequent one that would fill any sample drawn at large."""
+    monkeypatch.setattr(langid, "FIT_DOCS", 20)
+    rows = [(t, f"x{k:02}") for k in range(72) for t in invented(k, 10)] + [(t, "zz") for t in invented(99, 3000)] + [("too little to learn", "one")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample=20)
+    assert len(model.languages) == 73 and model.slots.shape[0] == 2
+    right = [model.predict(t)[0] == f"x{k:02}" for k in range(72) for t in invented(k, 13)[10:]]
+    assert sum(right) / len(right) > 0.95
+
+
 def test_false_positive_correction():
     model = langid.LanguageFilter.of(["a", "b"], [(int(c), 1) for c in range(5000)] + [(int(c), 3) for c in range(5000, 5100)])
-    masks = model.languages_of(__import__("numpy").arange(5100, dtype="uint64"))
+    masks = model.languages_of(__import__("numpy").arange(5100, dtype="uint64"))[0]
     assert all(m & 1 for m in masks.tolist()) and all(m & 2 for m in masks[5000:].tolist())
     assert model.predict(None) == ("und", 0.0)
 
