@@ -101,6 +101,8 @@ CONTEXTS = pa.schema([
     ("lo", pa.int32()), ("hi", pa.int32()), ("lead", pa.int32()), ("bytes", pa.binary()),
     *((n, pa.int64()) for n in ("id", "part", "start")),
 ])
+#: Parts that a row's windows go on in, from pass to pass.
+WAYS = 4
 #: Rows and bytes of an output batch.
 ROWS, GATHER = 1 << 15, 1 << 21
 
@@ -191,33 +193,31 @@ def _contexts(depth: int, digit: int):
                 text = _unpacked(packed)
                 for span in open_:
                     first, more, lead = span >> 2 * _SIDE, span >> _SIDE & low, span & low
-                    yield from _halves((0, depth - digit, lead, text[first:first + more + depth], id_, own, first), depth)
+                    yield from _parts((0, depth - digit, lead, text[first:first + more + depth], id_, own, first), depth)
 
     return lambda batches: _gathered(rows(batches), CONTEXTS, 3)
 
 
-def _halves(row: tuple, depth: int) -> Iterator[tuple]:
-    """A row's windows by the halves of the places that the suffix may have in them."""
+def _parts(row: tuple, depth: int) -> Iterator[tuple]:
+    """A row's windows by WAYS parts of the places that the suffix may have in them."""
     lo, hi, lead, data, id_, part, start = row
-    if lo == hi:
-        yield row
-        return
-    middle = (lo + hi) // 2
     least = lead - (len(data) - depth)  # of the window that begins last
-    for a, b in ((lo, middle), (middle + 1, hi)):
+    step = -(-(hi - lo + 1) // WAYS)
+    for a in range(lo, hi + 1, step):
+        b = min(hi, a + step - 1)
         most, fewest = min(lead, b), max(least, a)
         if fewest <= most:
             at = lead - most
             yield a, b, most, data[at:at + most - fewest + depth], id_, part, start + at
 
 
-def _halved(depth: int):
+def _next_pass(depth: int):
     """The next pass of each row, as rows of fewer windows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for row in zip(*(_values(batch.column(f.name)) for f in CONTEXTS)):
-                yield from _halves(row, depth)
+                yield from _parts(row, depth)
 
     return lambda batches: _gathered(rows(batches), CONTEXTS, 3)
 
@@ -274,7 +274,7 @@ def repeated_windows(contexts: DataFrame, depth: int = DEPTH) -> DataFrame:
     so far. A pass counts the seen digits (by a hash of 64 bits; only hashes travel) and
     lets go of rows that are alone with theirs. The others are grouped by their bytes; of
     equal ones the first stays and the others are repeated. Where rows of different bytes
-    share the seen digits, they go to the next pass in two halves of the places, with more
+    share the seen digits, they go to the next pass in WAYS parts of the places, with more
     digits to see. In the last every row is one window, and equal groups are equal bytes.
     A group is never gathered: it is a combined minimum and a join.
     """
@@ -294,20 +294,19 @@ def repeated_windows(contexts: DataFrame, depth: int = DEPTH) -> DataFrame:
         if mixed.isEmpty():
             return reduce(DataFrame.union, found)
         left = heads.where("hi > lo").join(small(mixed), "seen").select(*whole, "head.*")
-        contexts = stored(left.mapInArrow(_halved(depth), _ddl(CONTEXTS)), "contexts")
+        contexts = stored(left.mapInArrow(_next_pass(depth), _ddl(CONTEXTS)), "contexts")
 
 
-def _merged(starts, stops, length: int) -> list[tuple[int, int]]:
+def _merged(starts: np.ndarray, stops: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the ranges, within a text of this length."""
-    out: list[list[int]] = []
-    for a, b in sorted(zip(starts, stops)):
-        if a >= length:
-            break
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], min(b, length))
-        else:
-            out.append([a, min(b, length)])
-    return [tuple(x) for x in out]
+    inside = starts < length
+    starts, stops = starts[inside], np.minimum(stops[inside], length)
+    if not len(starts):
+        return starts, stops
+    order = np.argsort(starts, kind="stable")
+    starts, stops = starts[order], np.maximum.accumulate(stops[order])
+    first = np.flatnonzero(np.concatenate(([True], starts[1:] > stops[:-1])))
+    return starts[first], stops[np.append(first[1:] - 1, len(stops) - 1)]
 
 
 CUT = pa.schema([
@@ -324,14 +323,14 @@ def _cut(depth: int, digit: int):
             rows, size = [], 0
             for id_, packed, heads, ranges in zip(*(batch.column(c) for c in ("id", "packed", "heads", "ranges"))):
                 id_, text = id_.as_py(), _unpacked(packed.as_py())
-                starts, stops = ([r[c] for r in ranges.as_py() or ()] for c in ("start", "stop"))
+                starts, stops = ([ranges.values.field(c).to_numpy()] if ranges.is_valid else [] for c in ("start", "stop"))
                 if id_ is not None and len(text) >= depth:
                     own = heads.values.to_numpy(zero_copy_only=False) if heads.is_valid else np.zeros(0, dtype=np.int64)
                     for place, first, last, _ in anchors(np.frombuffer(text, dtype=np.uint8), depth, digit):
-                        again = ~np.isin(_pack(place, first, last), own)
-                        starts += first[again].tolist()
-                        stops += (last[again] + depth).tolist()
-                runs = _merged(starts, stops, len(text))
+                        again = ~np.isin(_pack(place, first, last), own, kind="sort")
+                        starts.append(first[again])
+                        stops.append(last[again] + depth)
+                runs = np.stack(_merged(np.concatenate(starts), np.concatenate(stops), len(text)), axis=1).tolist() if starts else []
                 edges = [0, *(x for r in runs for x in r), len(text)]
                 kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
                 rows.append((id_, text if packed.is_valid else None, kept, [r[0] for r in runs], [r[1] for r in runs]))
