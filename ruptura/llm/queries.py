@@ -64,7 +64,8 @@ def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.judge(docs, quality.fit(docs))
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.judge(docs, quality.fit(docs, good=good))
 
 
 @query

@@ -2,7 +2,9 @@
 
 import hashlib
 import html
+import math
 import re
+import unicodedata
 from collections import Counter
 
 import public_tokenizers
@@ -150,6 +152,55 @@ def test_divergence_keeps_prose_and_drops_junk(spark, documents):
     assert not any(verdicts[k]["kept"] for k in range(len(prose), len(prose) + len(junk)))
 
 
+def test_limits_follow_the_good_texts(spark):
+    """Languages whose good texts all have common words: texts without them go; a language that is not known stays."""
+    draw = __import__("random").Random(1)
+
+    def prose(common, rare, n, share=0.5):
+        return " ".join(draw.choice(common) if draw.random() < share else draw.choice(rare) for _ in range(n))
+
+    common = {"en": "the of and to in is that it was for on are".split(), "de": "der die und in den von zu das mit sich des auf".split()}
+    rare = ["".join(draw.choice("abcdefghijklmnoprstuvw") for _ in range(draw.randint(3, 9))) for _ in range(900)]
+    rows = [(prose(common[k], rare, draw.randint(60, 300)), k) for k in common for _ in range(200)]
+    rows += [(prose(rare, rare, 200), "en"), (prose(common["en"][:1], rare, 200, 0.9), "en"), (prose(rare, rare, 200), "fi"), (prose(rare, rare, 200), None), ("too few words here", "en")]
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string")
+    references = quality.fit(docs, good=docs.where("doc_id < 400").select("doc_id"))
+    assert [r.lang for r in references] == ["de", "en"] and all(c[1] < 0.32 for r in references for c in r.limits[2:])
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs, references).collect()}
+    assert all(kept[i] or r for i, r in ((i, rows[i][0] is None) for i in range(400)))
+    assert [kept[i] for i in range(400, 405)] == [False, False, True, False, False]
+    # Unlabelled samples bring limits as well, and a language of few texts none.
+    assert [r.lang for r in quality.fit(docs)] == ["de", "en"]
+    assert quality.fit(docs, good=docs.limit(0)) == [] == quality.fit(docs.limit(0))
+
+
+def plain_distance(p, q):
+    terms = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b) if x)
+    return math.sqrt(max(0, (terms(p, q) + terms(q, p)) / 2))
+
+
+def test_distances_against_plain_histograms(spark, documents):
+    references = quality.fit(documents)
+    rows = documents.where("length(text) > 300").limit(30)
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    for r in quality.judge(rows.drop("lang"), references).collect():
+        text = texts[r["doc_id"]]
+        words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        kinds = [unicodedata.category(c) for c in text]
+        upper, letter, digit = (sum(k.startswith(p) for k in kinds) for p in ("Lu", "L", "N"))
+        white, symbol = len(re.findall(r"[\x20\x09-\x0D]", text)), len(re.findall(r"[#*$%&|<>]", text))
+        classes = [x / len(text) for x in (letter - upper, upper, digit, white, symbol, len(text) - letter - digit - white - symbol)]
+        best = []
+        for ref in references:
+            shares = [words.count(w) / len(words) for w in ref.words]
+            c, w = plain_distance(classes, ref.classes), plain_distance([*shares, max(0, 1 - sum(shares))], ref.shares)
+            size = sum(len(words) >= n for n in quality.LENGTHS[1:])
+            best.append((max(c / ref.limits[size][0], w / ref.limits[size][1]), ref.lang, c, w))
+        worst, lang, c, w = min(best)
+        assert r["nearest"] == lang and abs(r["class_distance"] - c) < 1e-9 and abs(r["word_distance"] - w) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and (worst <= 1 or len(words) < quality.GUARD_WORDS))
+
+
 # --- secrets -----------------------------------------------------------------
 def plain_base(text):
     found = []
