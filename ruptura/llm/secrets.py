@@ -4,50 +4,43 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruptura.llm.common import fit_sample
+from ruptura.llm.common import checkpointed, fit_sample
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
+HEX = re.compile(r"[0-9a-f]{24,}")
+HEX8 = re.compile(r"[0-9a-f]+")
+LEAST_VALUE, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "crf")
 
-#: Fitting bounds: about so many documents, so many segments with and without a secret, tokens of a segment.
+#: Fitting bounds: about so many documents; so many windows with a secret, as many with a token that is long or
+#: holds a digit, and as many others; tokens of a window.
 FIT_DOCS = 4000
-FIT_SEGMENTS = 2500
-FIT_TOKENS = 1000
-EPOCHS = 8
+FIT_WINDOWS = 500
+FIT_TOKENS = 40
+EPOCHS = 6
 RATE, PENALTY = 0.5, 1e-4
 
-#: Tokens the field may tag; all others are outside by constraint, which cuts the chain there.
-OPEN_LENGTH, OPEN_ANY_LENGTH = 8, 24
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % OPEN_LENGTH)
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|\S")
-_DIGIT = re.compile(r"[0-9]")
-_NEAR = 80
+_ODD = re.compile(r"[0-9]|.{20}")
+#: Tokens that a worker remembers the scores of.
+REMEMBERED = 1 << 18
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 
-def _runs(text: str) -> list[tuple[int, int, str]]:
-    """Tokens that could hold a secret: long, or of middle length with a digit."""
-    return [
-        (m.start(), m.end(), run) for m in _RUN.finditer(text)
-        if len(run := m.group()) >= OPEN_ANY_LENGTH or _DIGIT.search(run)
-    ]
-
-
-def base_matches(text: str, runs: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int, int]]:
+def base_matches(text: str) -> Iterator[tuple[int, int, int, int]]:
     """Start, end, kind and value start of the base matches, by start and kind."""
     found = []
     lower = text.lower()
@@ -59,54 +52,72 @@ def base_matches(text: str, runs: list[tuple[int, int, str]]) -> Iterator[tuple[
         found += [
             (m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS
         ]
-    for at, _, run in runs:  # hex digits are token characters, so every long enough match lies in one token
-        if len(run) >= LEAST_HEX:
-            found += [
-                (at + m.start(), 2, at + m.end(), at + m.start())
-                for m in HEX.finditer(run) if m.end() - m.start() >= LEAST_HEX
-            ]
+    found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     for start, kind, end, value in sorted(found):
         yield start, end, kind, value
 
 
-def _shape(run: str) -> str:
-    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in run)
-    return re.sub(r"(.)\1+", r"\1", kinds)[:8]
+#: Letters by their case, other characters as they are; runs of one kind once.
+_KINDS = [(re.compile(r"[^\W\d_]+"), lambda m: "a" if m.group().islower() else "A" if m.group().isupper() else "aA" if m.group()[0].islower() else "Aa"), (re.compile(r"\d+"), "0"), (re.compile(r"(.)\1+"), r"\1")]
+_VOWELS = re.compile("[aeiouAEIOU]")
 
 
-def _file_features(text: str, runs: list[tuple[int, int, str]]) -> list[str]:
-    marks = sum(text.count(c) for c in "={};")
-    return [
-        f"file-length:{int(math.log2(len(text) + 1))}", f"file-marks:{int(math.log2(1 + 1000 * marks / (len(text) + 1)))}",
-        f"file-open:{int(math.log2(1 + len(runs)))}",
-    ]
+def _shape(token: str) -> str:
+    """Kinds of characters in order, as aA0 or Aa0=A: runs of letters by their case, digits as 0, others as they are."""
+    if token.isalpha():
+        return "a" if token.islower() else "A" if token.isupper() else "aA" if token[0].islower() else "Aa"
+    kinds = token[:64]
+    for pattern, kind in _KINDS:
+        kinds = pattern.sub(kind, kinds)
+    return kinds[:8]
+
+
+def token_traits(token: str) -> tuple:
+    """What a token shows by itself, as a few small values."""
+    size = len(token)
+    letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
+    setting = token[:4].lower() if "=" in token[1:-1] else ""
+    vowels = len(_VOWELS.findall(token))
+    return (
+        _shape(token), int(2 * math.log2(min(size, 64))), 4 * letters // size, 4 * digits // size, 4 * len(set(token)) // min(size, 32),
+        size >= 8 and HEX8.fullmatch(token) is not None, setting, 4 * vowels // size, min(size, 32) // 8,
+    )
 
 
-def _features(text: str, start: int, end: int, run: str, shared: list[str]) -> list[str]:
-    before = [t.lower() for t in _TOKEN.findall(text[max(0, start - _NEAR):start])[-4:]]
-    after = _TOKEN.findall(text[end:end + _NEAR])[:1]
-    letters = sum(c.isalpha() for c in run) / len(run)
-    variety = len(set(run)) / min(len(run), 32)
+def trait_features(traits: tuple) -> list[str]:
+    shape, length, letters, digits, variety, hex_, setting, vowels, size = traits
     return [
-        "always", f"shape:{_shape(run)}", f"length:{min(len(run), 64) // 8}", f"letters:{int(4 * letters)}",
-        f"variety:{int(4 * variety)}", f"hex:{HEX.fullmatch(run) is not None}",
-        f"after:{after[0][:12].lower() if after else ''}",
-        *(f"before{k}:{t[:12]}" for k, t in enumerate(reversed(before[-2:]))),
-        *(f"near:{t[:12]}" for t in before),
-        *shared,
+        "always", f"shape:{shape}", f"length:{length}", f"letters:{letters}", f"digits:{digits}", f"variety:{variety}", f"hex:{hex_}",
+        f"set:{setting}", f"vowels:{vowels}:{size}",
     ]
 
 
-def segments(text: str, runs: list[tuple[int, int, str]]) -> Iterator[list[tuple[int, int, list[str]]]]:
-    """Neighbouring open tokens with their features; what lies between segments is outside."""
-    shared, segment = _file_features(text, runs) if runs else [], []
-    for start, end, run in runs:
-        if segment and text[segment[-1][1]:start].strip():
-            yield segment
-            segment = []
-        segment.append((start, end, _features(text, start, end, run, shared)))
-    if segment:
-        yield segment
+def token_features(token: str) -> list[str]:
+    return trait_features(token_traits(token))
+
+
+def neighbour_features(token: str, place: str) -> list[str]:
+    """What a token shows about the one that it stands before or behind; an empty one is the end of the line."""
+    low = token[:12].lower()
+    return [f"{place}:{low}", f"{place}-start:{low[:4]}", f"{place}-kind:{_shape(token[:12])[:3]}"]
+
+
+#: Neighbours that count, by their distance from the token.
+PLACES = {-3: "before3", -2: "before2", -1: "before1", 1: "after1"}
+
+
+def file_features(text: str) -> list[str]:
+    marks = sum(text.count(c) for c in "={};")
+    return [f"file-length:{int(math.log2(len(text) + 1))}", f"file-marks:{int(math.log2(1 + 1000 * marks / (len(text) + 1)))}"]
+
+
+def window_features(tokens: list[str], shared: list[str]) -> list[list[str]]:
+    """Features of every token of a line or a part of one."""
+    at = lambda k: tokens[k] if 0 <= k < len(tokens) else ""
+    return [
+        [*token_features(t), *shared, *(f for d, place in PLACES.items() for f in neighbour_features(at(k + d), place))]
+        for k, t in enumerate(tokens)
+    ]
 
 
 @dataclass
@@ -115,10 +126,11 @@ class Crf:
 
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     moves: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def emissions(self, features: list[list[str]]) -> np.ndarray:
         zero = np.zeros(3)
-        return np.array([sum((self.weights.get(f, zero) for f in names), zero) for names in features])
+        return np.array([sum((self.weights.get(f, zero) for f in names), zero) for names in features]).reshape(-1, 3)
 
     def _moves(self) -> np.ndarray:
         allowed = self.moves.copy()
@@ -126,8 +138,11 @@ class Crf:
         return allowed
 
     def viterbi(self, features: list[list[str]]) -> list[int]:
-        """The best labels of one segment."""
-        scores, moves = self.emissions(features), self._moves()
+        """The best labels of one line."""
+        return self.best_path(self.emissions(features))
+
+    def best_path(self, scores: np.ndarray) -> list[int]:
+        moves = self._moves()
         best, back = moves[OUTSIDE] + scores[0], []
         for row in scores[1:]:
             ways = best[:, None] + moves
@@ -139,9 +154,11 @@ class Crf:
         return labels[::-1]
 
     def _expected(self, features: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        return self.expected(self.emissions(features))
+
+    def expected(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Label probabilities at each token, and expected label pairs, by forward and backward sums."""
-        scores, moves = self.emissions(features), self._moves()
-        n = len(scores)
+        moves, n = self._moves(), len(scores)
 
         def total(x: np.ndarray, axis: int) -> np.ndarray:
             top = x.max(axis=axis, keepdims=True)
@@ -165,94 +182,221 @@ class Crf:
 
     @classmethod
     def fit(cls, examples: list[tuple[list[list[str]], list[int]]]) -> Crf:
-        """Maximum likelihood with a quadratic penalty, by adaptive gradient steps in a fixed order."""
+        """Maximum likelihood with a quadratic penalty, by adaptive gradient steps of a window each in a fixed order."""
         model = cls()
-        seen: dict[str, np.ndarray] = {}
+        names: dict[str, int] = {}
+        # Every token of a window has as many features as the others.
+        rows = [(np.array([[names.setdefault(f, len(names)) for f in fs] for fs in features]), labels) for features, labels in examples]
+        weights, seen = np.zeros((len(names), 3)), np.full((len(names), 3), 1e-6)
         moved = np.full((3, 3), 1e-6)
         for _ in range(EPOCHS):
-            for features, labels in examples:
-                single, pairs = model._expected(features)
-                for names, label, chance in zip(features, labels, single):
-                    slope = -chance
-                    slope[label] += 1
-                    for name in names:
-                        w = model.weights.setdefault(name, np.zeros(3))
-                        g = seen.setdefault(name, np.full(3, 1e-6))
-                        step = slope - PENALTY * w
-                        g += step * step
-                        w += RATE * step / np.sqrt(g)
+            for places, labels in rows:
+                single, pairs = model.expected(weights[places].sum(axis=1))
+                slope = -single
+                slope[np.arange(len(labels)), labels] += 1
+                mine, back = np.unique(places, return_inverse=True)
+                step = np.zeros((len(mine), 3))
+                np.add.at(step, back.reshape(places.shape), slope[:, None, :])
+                step -= PENALTY * weights[mine]
+                seen[mine] += step * step
+                weights[mine] += RATE * step / np.sqrt(seen[mine])
                 path = [OUTSIDE, *labels, OUTSIDE]
                 step = -pairs - PENALTY * model.moves
                 np.add.at(step, (path[:-1], path[1:]), 1)
                 moved += step * step
                 model.moves += RATE * step / np.sqrt(moved)
+        model.weights = {f: weights[k] for f, k in names.items()}
         return model
 
 
-def _label(text: str) -> Iterator[tuple[list[list[str]], list[int]]]:
-    """Segments of a text, labelled by the values of its base matches."""
-    runs = _runs(text)
-    values = [(value, end) for _, end, _, value in base_matches(text, runs)]
-    for segment in segments(text, runs):
-        labels = []
-        for start, end, _ in segment:
+class Scorer:
+    """Label scores of all tokens of a text; what a token adds to its own and its neighbours' is worked out once."""
+
+    def __init__(self, model: Crf):
+        self.model = model
+        moves = model._moves()
+        into = moves - moves[OUTSIDE, OUTSIDE]
+        out = max(0.0, into[BEGIN, OUTSIDE], into[INSIDE, OUTSIDE])
+        # The most that tagging a token can gain by the moves around it.
+        self.gain = np.array([into[:, BEGIN].max() + out, into[:, INSIDE].max() + out])
+        # What is left of a token's neighbour features, by word, start and kind: one array for all places.
+        self.by_word: dict[str, np.ndarray] = {}
+        for row, place in enumerate(PLACES.values()):
+            for name, weight in model.weights.items():
+                if name.startswith(place + ":"):
+                    self.by_word.setdefault(name[len(place) + 1:], np.zeros((len(PLACES), 3)))[row] = weight
+        self.by_kind: dict[tuple, np.ndarray] = {}
+        self.by_features: dict[tuple, np.ndarray] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.table = np.zeros((1 + len(PLACES), 1024, 3))
+        self.by_kind.clear()
+        self.by_features.clear()
+        self.id_of("")
+
+    def id_of(self, token: str) -> int:
+        """Number of a token; most share their features with many others, whose sums are remembered."""
+        k = self.ids.get(token)
+        if k is not None:
+            return k
+        k = self.ids[token] = len(self.ids)
+        if k == self.table.shape[1]:
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)), axis=1)
+        if token:
+            traits = token_traits(token)
+            if traits not in self.by_features:
+                self.by_features[traits] = self.model.emissions([trait_features(traits)])[0]
+            self.table[0, k] = self.by_features[traits]
+        low = token[:12].lower()
+        kind = (low[:4], _shape(token[:12])[:3])
+        if kind not in self.by_kind:
+            self.by_kind[kind] = self.model.emissions([neighbour_features(token, p)[1:] for p in PLACES.values()])
+        self.table[1:, k] = self.by_kind[kind]
+        if low in self.by_word:
+            self.table[1:, k] += self.by_word[low]
+        return k
+
+    def scores(self, lines: list[list[str]], shared: list[str]) -> np.ndarray:
+        """Scores of the tokens of some lines, one after the other."""
+        if len(self.ids) > REMEMBERED:
+            self.reset()
+        known, id_of = self.ids.get, self.id_of
+        ids = np.array([k if (k := known(t)) is not None else id_of(t) for line in lines for t in line], dtype=np.int64)
+        counts = np.array([len(line) for line in lines])
+        line = np.repeat(np.arange(len(lines)), counts)
+        out = self.table[0, ids] + self.model.emissions([shared])[0]
+        for row, d in enumerate(PLACES, 1):
+            other = np.zeros(len(ids), dtype=np.int64)
+            here, there = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
+            other[here] = np.where(line[here] == line[there], ids[there], 0)
+            out += self.table[row, other]
+        return out
+
+    def hopeless(self, scores: np.ndarray) -> np.ndarray:
+        """Tokens that no path can gain by tagging; where all of a line are, the best path is outside throughout."""
+        return (scores[:, 1:] - scores[:, :1] + self.gain).max(axis=1) <= 0
+
+
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Crf) -> Scorer:
+    """A worker's scorer of a model, kept from task to task; a new model takes the place of the last."""
+    if model.key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.key] = Scorer(model)
+    return _SCORERS[model.key]
+
+
+def _line_labels(text: str) -> Iterator[tuple[list[str], list[int]]]:
+    """Tokens of each line that has any, labelled by the values of the base matches."""
+    values = [(value, end) for _, end, _, value in base_matches(text)]
+    at = 0
+    for line in text.split("\n"):
+        tokens, labels = [], []
+        for m in _TOKEN.finditer(line):
+            start, end = at + m.start(), at + m.end()
             hit = any(a < end and start < b for a, b in values)
             labels.append(OUTSIDE if not hit else INSIDE if labels and labels[-1] != OUTSIDE else BEGIN)
-        yield [s[2] for s in segment], labels
+            tokens.append(m.group())
+        if tokens:
+            yield tokens, labels
+        at += len(line) + 1
+
+
+def _windows(text: str) -> Iterator[tuple[list[str], list[int], list[str], int]]:
+    """Tokens and labels of a text's lines in parts of FIT_TOKENS tokens, the file's features, and the kind of the part.
+
+    Kind 0 holds a secret, 1 another token that is long or holds a digit, 2 neither.
+    """
+    shared = file_features(text)
+    for tokens, labels in _line_labels(text):
+        for at in range(0, len(tokens), FIT_TOKENS):
+            part, tags = tokens[at:at + FIT_TOKENS], labels[at:at + FIT_TOKENS]
+            if tags[0] == INSIDE:
+                tags = [BEGIN, *tags[1:]]
+            yield part, tags, shared, 0 if max(tags) else 1 if any(map(_ODD.search, part)) else 2
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = FIT_DOCS) -> Crf:
-    """Learn from the base matches in about ``sample`` documents and their neighbourhood.
+    """Learn from the base matches in about ``sample`` documents and what stands around them.
 
-    At most ``FIT_SEGMENTS`` segments with and as many without a match are used,
-    chosen by hash; segments of more than ``FIT_TOKENS`` tokens teach nothing (they
-    are decoded like all others). Without any match the field tags nothing.
+    Lines are cut into windows; at most ``FIT_WINDOWS`` with a secret, as many without one
+    but with a token that is long or holds a digit, and as many others are used, chosen by
+    hash. Without any secret the field tags nothing.
     """
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(f, x, max(x) > 0) for text in batch["text"] for f, x in _label(text)]
-            yield pd.DataFrame(rows, columns=["features", "labels", "secret"])
+            yield pd.DataFrame([w for text in batch["text"] for w in _windows(text)], columns=["tokens", "labels", "shared", "kind"])
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = (
+    found = checkpointed(
         fit_sample(rows, F.coalesce(F.col("id").cast("string"), F.lit("")), sample).select("text")
-        .mapInPandas(label, "features array<array<string>>, labels array<int>, secret boolean")
-        .where(F.size("labels") <= FIT_TOKENS)
-        .withColumn("draw", F.xxhash64("features", "labels"))
+        .mapInPandas(label, "tokens array<string>, labels array<int>, shared array<string>, kind int")
+        .withColumn("draw", F.xxhash64("tokens", "labels", "shared"))
+        .withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("draw"))).where(F.col("place") <= FIT_WINDOWS)
     )
-    examples = [
-        r for secret in (True, False)
-        for r in found.where(F.col("secret") == secret).orderBy("draw").limit(FIT_SEGMENTS).collect()
-    ]
-    if not any(r["secret"] for r in examples):
+    examples = found.collect()
+    if not any(r["kind"] == 0 for r in examples):
         return Crf()
-    examples.sort(key=lambda r: (r["draw"], str(r["features"])))
-    return Crf.fit([(r["features"], r["labels"]) for r in examples])
-
-
-def find(text: str | None, model: Crf) -> list[tuple[int, int, str]]:
-    """All spans of a text as start, end and kind: base matches, and what the field adds beside them."""
+    examples.sort(key=lambda r: (r["draw"], str(r["tokens"])))
+    return Crf.fit([(window_features(r["tokens"], r["shared"]), r["labels"]) for r in examples])
+
+
+def field_spans(text: str, scorer: Scorer) -> Iterator[tuple[int, int]]:
+    """Spans that the field tags, line by line."""
+    lines = text.split("\n")
+    tokens = [_TOKEN.findall(line) for line in lines]
+    scores = scorer.scores(tokens, file_features(text))
+    if not len(scores):
+        return
+    possible = np.flatnonzero(~scorer.hopeless(scores))
+    ends = np.cumsum([len(t) for t in tokens])
+    begins = np.cumsum([0, *(len(line) + 1 for line in lines)])
+    for k in np.unique(np.searchsorted(ends, possible, side="right")).tolist():
+        labels = scorer.model.best_path(scores[ends[k] - len(tokens[k]):ends[k]])
+        places = [m.span() for m in _TOKEN.finditer(lines[k])]
+        at = 0
+        while at < len(labels):
+            if labels[at] != BEGIN:
+                at += 1
+                continue
+            last = at
+            while last + 1 < len(labels) and labels[last + 1] == INSIDE:
+                last += 1
+            yield int(begins[k]) + places[at][0], int(begins[k]) + places[last][1]
+            at = last + 1
+
+
+def find(text: str | None, scorer: Scorer) -> list[tuple[int, int, str]]:
+    """All spans of a text as start, end and kind: base matches, and what the field adds beside them.
+
+    Of a field span that base matches cover in part, the rest stays, less white space at its ends.
+    """
     text = text or ""
-    runs = _runs(text)
-    base = [(start, end, kind) for start, end, kind, _ in base_matches(text, runs)]
-    added: list[list[int]] = []
-    for segment in segments(text, runs) if model.weights else ():
-        for (start, end, _), label in zip(segment, model.viterbi([s[2] for s in segment])):
-            if label == BEGIN:
-                added.append([start, end])
-            elif label == INSIDE:
-                added[-1][1] = end
-    # Base matches by start; of nested ones the farthest end so far decides about an overlap.
-    taken, reach, at = sorted(base), 0, 0
+    base = [(start, end, kind) for start, end, kind, _ in base_matches(text)]
     free = []
-    for start, end in added:
-        while at < len(taken) and taken[at][0] < end:
-            reach = max(reach, taken[at][1])
-            at += 1
-        if reach <= start:
-            free.append((start, end, 3))
-    return [(a, b, KINDS[k]) for a, b, k in sorted(base + free, key=lambda s: (s[0], s[2]))]
+    # Covered places by start; of nested ones the farthest end so far counts.
+    covered = sorted((a, b) for a, b, _ in base)
+    for start, end in field_spans(text, scorer) if scorer.model.weights else ():
+        at = start
+        for a, b in covered:
+            if b <= at:
+                continue
+            if a >= end:
+                break
+            free.append((at, a))
+            at = max(at, b)
+        free.append((at, end))
+    added = []
+    for start, end in free:
+        piece = text[start:end]
+        if piece.strip():
+            added.append((start + len(piece) - len(piece.lstrip()), end - len(piece) + len(piece.rstrip()), 3))
+    return [(a, b, KINDS[k]) for a, b, k in sorted(base + added, key=lambda s: (s[0], s[2]))]
 
 
 def find_spans(text: Column, model: Crf) -> Column:
@@ -260,8 +404,9 @@ def find_spans(text: Column, model: Crf) -> Column:
 
     @F.pandas_udf("array<string>")
     def apply(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = scorer_of(model)
         for texts in parts:
-            yield pd.Series([[f"{k}:{a}:{b}" for a, b, k in find(t, model)] for t in texts], dtype=object)
+            yield pd.Series([[f"{k}:{a}:{b}" for a, b, k in find(t, scorer)] for t in texts], dtype=object)
 
     return apply(text)
 
@@ -269,11 +414,11 @@ def find_spans(text: Column, model: Crf) -> Column:
 def redact(text: Column, model: Crf, mark: str = "[SECRET]") -> Column:
     """The text with each run of overlapping spans replaced by ``mark``; null stays null."""
 
-    def clean(t: str | None) -> str | None:
+    def clean(t: str | None, scorer: Scorer) -> str | None:
         if t is None:
             return None
         out, at = [], 0
-        for start, end, _ in find(t, model):
+        for start, end, _ in find(t, scorer):
             if start >= at:
                 out += [t[at:start], mark]
             at = max(at, end)
@@ -281,8 +426,9 @@ def redact(text: Column, model: Crf, mark: str = "[SECRET]") -> Column:
 
     @F.pandas_udf("string")
     def apply(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = scorer_of(model)
         for texts in parts:
-            yield pd.Series([clean(t) for t in texts], dtype=object)
+            yield pd.Series([clean(t, scorer) for t in texts], dtype=object)
 
     return apply(text)
 
