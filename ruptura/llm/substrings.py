@@ -96,7 +96,7 @@ def _rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-CELLS = pa.schema([(n, pa.int64()) for n in ("id", "part", "span", "digit", "cell", "cell2")])
+CELLS = pa.schema([(n, pa.int64()) for n in ("id", "part", "own", "span", "digit", "cell", "cell2")])
 CONTEXTS = pa.schema([
     ("lo", pa.int32()), ("hi", pa.int32()), ("lead", pa.int32()), ("bytes", pa.binary()),
     *((n, pa.int64()) for n in ("id", "part", "start")),
@@ -130,7 +130,7 @@ def _gathered(rows: Iterator[tuple], schema: pa.Schema, weight: int) -> Iterator
 
 
 def _own_cells(text: pa.BinaryScalar, depth: int, digit: int) -> tuple[np.ndarray, ...]:
-    """Span, digit and cell of a text's sampled suffixes, the first of equal ones.
+    """Number of a text's sampled suffixes; span, digit and cell of each, the first of equal ones.
 
     The cell is the XXH3 (128 bits) of all bytes that the suffix serves, seeded by its place in them.
     """
@@ -145,7 +145,7 @@ def _own_cells(text: pa.BinaryScalar, depth: int, digit: int) -> tuple[np.ndarra
     order = np.lexsort((span, cell2, cell))
     new = np.concatenate(([True], (cell[order[1:]] != cell[order[:-1]]) | (cell2[order[1:]] != cell2[order[:-1]])))
     keep = order[new]
-    return span[keep], digits[keep], cell[keep], cell2[keep]
+    return np.full(len(keep), len(span)), span[keep], digits[keep], cell[keep], cell2[keep]
 
 
 def _cells(depth: int, digit: int):
@@ -238,9 +238,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool
 
 
 def first_suffixes(texts: DataFrame, mixed: bool, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
-    """The first of all sampled suffixes that serve equal windows: ``id, part, span, digit``.
+    """The first of all sampled suffixes that serve equal windows: ``id, part, own, span, digit``.
 
-    What is not listed repeats what is. Rows that share an id share their text unless the
+    What is not listed repeats what is; ``own`` is the number of all suffixes of the text. Rows that share an id share their text unless the
     ids are ``mixed``, so the id alone orders them; a minimum of plain longs is combined by hash.
     """
     cells = (
@@ -248,10 +248,11 @@ def first_suffixes(texts: DataFrame, mixed: bool, depth: int = DEPTH, digit: int
         .groupBy("digit", "cell", "cell2")
     )
     if mixed:
-        heads = cells.agg(F.min(F.struct("id", "part", "span")).alias("head")).select("head.*", "digit")
+        heads = cells.agg(F.min(F.struct("id", "part", "span", "own")).alias("head")).select("head.*", "digit")
     else:
-        heads = cells.agg(F.min("id").alias("id"), F.min("part").alias("part"), F.min_by("span", "id").alias("span"))
-    return stored(heads.select("id", "part", "span", "digit"), "suffixes")
+        heads = cells.agg(
+            F.min("id").alias("id"), F.min("part").alias("part"), F.min_by("span", "id").alias("span"), F.min_by("own", "id").alias("own"))
+    return stored(heads.select("id", "part", "own", "span", "digit"), "suffixes")
 
 
 def open_suffixes(heads: DataFrame) -> DataFrame:
@@ -316,15 +317,18 @@ CUT = pa.schema([
 
 
 def _cut(depth: int, digit: int):
-    """Texts without the windows of suffixes that aren't listed as first, and without the given ranges."""
+    """Texts without the windows of suffixes that aren't listed as first, and without the given ranges.
+
+    All suffixes of a ``whole`` text are first, so they needn't be found again.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for id_, packed, heads, ranges in zip(*(batch.column(c) for c in ("id", "packed", "heads", "ranges"))):
+            for id_, packed, whole, heads, ranges in zip(*(batch.column(c) for c in ("id", "packed", "whole", "heads", "ranges"))):
                 id_, text = id_.as_py(), _unpacked(packed.as_py())
                 starts, stops = ([ranges.values.field(c).to_numpy()] if ranges.is_valid else [] for c in ("start", "stop"))
-                if id_ is not None and len(text) >= depth:
+                if id_ is not None and len(text) >= depth and not whole.as_py():
                     own = heads.values.to_numpy(zero_copy_only=False) if heads.is_valid else np.zeros(0, dtype=np.int64)
                     for place, first, last, _ in anchors(np.frombuffer(text, dtype=np.uint8), depth, digit):
                         again = ~np.isin(_pack(place, first, last), own, kind="sort")
@@ -371,14 +375,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     travelling = texts.where("id is not null").mapInArrow(_compressed, "id long, part long, packed binary")
     contexts = stored(travelling.join(open_suffixes(heads), key).mapInArrow(_contexts(depth, digit), _ddl(CONTEXTS)), "contexts")
     ranges = repeated_windows(contexts, depth)
+    counts = heads.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
+    counts = stored(counts.select(*key, (F.col("n") == F.col("own")).alias("whole")), "counts")
+    # Only texts that lose a suffix need to know which of theirs are first.
+    listed = heads.join(small(counts.where("not whole").select(*key)), key)
+    none = {"span": "long", "range": "struct<start: bigint, stop: bigint>", "whole": "boolean"}
+    only = lambda df, **given: df.select(*key, *[given.get(c, F.lit(None).cast(t)).alias(c) for c, t in none.items()])
     of_doc = (
-        heads.select(*key, "span", F.lit(None).cast("struct<start: bigint, stop: bigint>").alias("range"))
-        .union(ranges.select(*key, F.lit(None).cast("long"), F.struct("start", "stop")))
-        .groupBy(*key).agg(F.collect_list("span").alias("heads"), F.collect_set("range").alias("ranges"))
+        only(listed, span=F.col("span")).union(only(ranges, range=F.struct("start", "stop"))).union(only(counts.where("whole"), whole=F.lit(True)))
+        .groupBy(*key).agg(F.max("whole").alias("whole"), F.collect_list("span").alias("heads"), F.collect_set("range").alias("ranges"))
     )
-    nothing = [F.lit(None).cast("array<bigint>").alias("heads"), F.lit(None).cast("array<struct<start: bigint, stop: bigint>>").alias("ranges")]
+    nothing = [F.lit(None).cast("boolean").alias("whole"), F.lit(None).cast("array<bigint>").alias("heads"),
+               F.lit(None).cast("array<struct<start: bigint, stop: bigint>>").alias("ranges")]
     without = texts.where("id is null").mapInArrow(_compressed, "id long, part long, packed binary").select("id", "packed", *nothing)
-    rows = travelling.join(of_doc, key, "left").select("id", "packed", "heads", "ranges").union(without)
+    rows = travelling.join(of_doc, key, "left").select("id", "packed", "whole", "heads", "ranges").union(without)
     cut = rows.mapInArrow(_cut(depth, digit), "id long, text binary, kept binary, starts array<long>, stops array<long>")
     return cut.withColumnRenamed("id", id_col)
 
