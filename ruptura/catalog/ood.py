@@ -124,15 +124,42 @@ def knn_rows(spark, d):
     return rounded(found.select("candidate", "rank", "row_index", "standardized_distance", "ref_size", "ref_price"), 6, "standardized_distance")
 
 
-@query("ood_report")
+def _report_sql() -> str:
+    d = range(4)
+    inverse = lambda i, j: f"v{min(i, j)}{max(i, j)}"
+    raw = [f"({f} - m{i}) * (" + " + ".join(f"({FOUR[j]} - m{j}) * {inverse(i, j)}" for j in d) + ")" for i, f in enumerate(FOUR)]
+    gap = " + ".join(f"(r.{f} / s{i} - c.{f} / s{i}) ** 2" for i, f in enumerate(FOUR))
+    parts = " UNION ALL ".join(f"SELECT candidate_id, '{f}' AS element, {i} AS i, {raw[i]} AS raw FROM prof, ref" for i, f in enumerate(FOUR))
+    return f"""
+WITH {reference_sql(FOUR)},
+prof AS (SELECT l_suppkey AS candidate_id, {', '.join(f'avg({f}) AS {f}' for f in FOUR)} FROM lineitem GROUP BY 1),
+dist AS (SELECT {distance_sql(FOUR)} AS x FROM lineitem, ref), q AS (SELECT quantile_cont(x, 0.95) AS t, count(*) AS n FROM dist),
+own AS (SELECT candidate_id, {distance_sql(FOUR)} AS x FROM prof, ref),
+told AS (SELECT candidate_id, own.x, t, 100e0 * (SELECT count(*) FROM dist WHERE dist.x <= own.x) / n AS p FROM own, q),
+idx AS (SELECT row_number() OVER (ORDER BY {KEYS}) - 1 AS row_index, {', '.join(FOUR)} FROM lineitem),
+sd AS (SELECT {', '.join(f'stddev_pop({f}) AS s{i}' for i, f in enumerate(FOUR))} FROM lineitem),
+near AS (SELECT candidate_id, row_index, sqrt({gap}) AS gap FROM prof c, idx r, sd),
+five AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY gap, row_index) AS rank FROM near QUALIFY rank <= 5),
+part_ AS ({parts}), ranked AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY abs(raw) DESC, i) AS rank FROM part_)
+SELECT candidate_id, rank, round(x, 5) AS ood_distance, round(t, 5) AS ood_distance_threshold, round(p, 6) AS ood_percentile,
+  x > t AS ood_is_out_of_distribution, row_index, round(gap, 5) AS standardized_distance, element, round(raw, 5) AS raw_contribution
+FROM five JOIN told USING (candidate_id) LEFT JOIN ranked USING (candidate_id, rank)"""
+
+
+@query("ood_report", _report_sql())
 def report(spark, d):
-    """Supplier profiles (mean of their order lines) against all order lines."""
+    """Supplier profiles (mean of their order lines) against all order lines: a row for each neighbour, with the effect of its rank."""
     rows = table(spark, d, "lineitem")
     ref = ood.fit_reference(rows, FOUR)
     indexed = dense_index(rows.select(*KEY, *FOUR), KEY, "row_index").drop(*KEY)
     model = OodModel(ref, rows.select(ood.mahalanobis(ref).alias("ood_distance")), indexed)
     profiles = rows.groupBy(F.col("l_suppkey").alias("candidate_id")).agg(*[F.avg(c).alias(c) for c in FOUR])
-    return ood_report(profiles, model)
+    told = ood_report(profiles, model)
+    effect = F.get(F.col("ood_top_contributors"), F.col("n.rank") - 1)
+    out = told.withColumn("n", F.explode("nearest_neighbors")).select(
+        "candidate_id", "n.rank", "ood_distance", "ood_distance_threshold", "ood_percentile", "ood_is_out_of_distribution",
+        "n.row_index", "n.standardized_distance", effect["element"].alias("element"), effect["raw_contribution"].alias("raw_contribution"))
+    return rounded(rounded(out, 5, "ood_distance", "ood_distance_threshold", "standardized_distance", "raw_contribution"), 6, "ood_percentile")
 
 
 LOGGED = {"temp": "773.15e0 + 4e0 * l_quantity", "stress": "40e0 + l_extendedprice / 501.3e0", "log_lifetime": "3e0 + l_tax"}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from ruptura.operators.order import dense_index
+
 PREDICTION_COLUMNS = [
     "stress", "temp", "y_true_log", "y_pred_log", "y_true_hours", "y_pred_hours", "error_log",
 ]
@@ -39,20 +41,21 @@ DOCUMENT_ROWS = 10_000
 def write_candidates(
     df: DataFrame, path: str, conditions: dict[str, float | None], most: int = DOCUMENT_ROWS
 ) -> None:
-    """Ranked top-n candidates: CSV, and one JSON document with time, conditions and count.
+    """Ranked candidates: CSV, and JSON documents with time, conditions and count.
 
-    The rows become one array, so more than ``most`` of them are an error and nothing is written.
+    All rows are written, in their order. A document holds at most ``most`` of them; further ones go
+    to further documents, numbered by ``part`` (a single document has part 0). The CSV stays in
+    as many files as the rows have partitions.
     """
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} candidates for one document: rank them and keep the top first")
-    flat(df).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    ranked = df.withColumn("_pos", F.monotonically_increasing_id()).coalesce(1)
+    placed = dense_index(df, None, "_at")
+    flat(placed.drop("_at")).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     rows = F.transform(
-        F.array_sort(F.collect_list(F.struct("_pos", F.struct(*df.columns).alias("row"))),
-                     lambda a, b: F.signum(a["_pos"] - b["_pos"]).cast("int")),
+        F.array_sort(F.collect_list(F.struct("_at", F.struct(*df.columns).alias("row"))),
+                     lambda a, b: F.signum(a["_at"] - b["_at"]).cast("int")),
         lambda e: e["row"])
-    ranked.agg(rows.alias("candidates")).select(
-        _stamp(), _conditions(conditions), F.size("candidates").alias("count"), "candidates"
+    part = F.floor(F.col("_at") / most).cast("long").alias("part")
+    placed.groupBy(part).agg(rows.alias("candidates")).select(
+        _stamp(), "part", _conditions(conditions), F.size("candidates").alias("count"), "candidates"
     ).write.mode("overwrite").json(f"{path}/json")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ruptura.operators import lmp, modeling, ranks
+from ruptura.operators import lmp, modeling, pareto, ranks, stats
 
 
 @pytest.mark.parametrize("block", [65_536, 7])
@@ -68,3 +68,41 @@ def test_few_constants_find_the_best_of_the_grid(spark):
         else:
             best = min(t["rmse_log"] for t in trials)
             assert r["rmse_log"] == pytest.approx(best, abs=1e-6) and r["slope"] < 0
+
+
+def test_correlation_and_moments_like_pandas(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(700, 5)) @ rng.normal(size=(5, 5)) + 1e6
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4] = 7.1
+    import pandas as pd
+
+    pdf = pd.DataFrame(x, columns=list("abcde"))
+    pdf["f"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = {(r["a"], r["b"]): r["corr"] for r in stats.correlation_pairs(df, list("abcdef")).collect()}
+    want = pdf.corr()
+    for a in "abcdef":
+        for b in "abcdef":
+            if np.isnan(want.loc[a, b]):
+                assert got[a, b] is None or np.isnan(got[a, b])
+            else:
+                assert got[a, b] == pytest.approx(want.loc[a, b], abs=1e-9)
+    full = pdf[list("abcd")].dropna()
+    m = stats.moments(df, list("abcd"))
+    assert m.n == len(full) and np.allclose(m.mean, full.mean()) and np.allclose(m.cov, full.cov(), rtol=1e-9) and np.allclose(m.std, full.std(ddof=0))
+
+
+def test_skyline_cells_against_all_pairs(spark):
+    """Fronts of every kind, with cells so small that many meet and large ones are cut in parts."""
+    rng = np.random.default_rng(12)
+    simplex = rng.dirichlet([1, 1, 1], 1500)  # all on the front
+    cloud = rng.random((1500, 3)).round(2)
+    line = np.stack([np.linspace(0, 1, 900), 1 - np.linspace(0, 1, 900)], axis=1)
+    for points in (simplex, cloud, line, cloud[:, :1], np.tile(cloud[:1], (50, 1))):
+        names = [f"c{k}" for k in range(points.shape[1])]
+        df = spark.createDataFrame([tuple(map(float, p)) for p in points], ", ".join(f"{c} double" for c in names)).repartition(5)
+        keep = [not ((points <= p).all(axis=1) & (points < p).any(axis=1)).any() for p in points]
+        for block in (40, 5000):
+            got = pareto.pareto_front(df, {c: "min" for c in names}, block=block).collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, points[keep]))

@@ -103,9 +103,12 @@ def test_sinks(spark, tmp_path):
     assert doc["count"] == 2 and [c["candidate_id"] for c in doc["candidates"]] == [2, 1]
     assert doc["conditions"]["temp_c"] == 650.0
     assert spark.read.option("header", True).csv(str(tmp_path / "c/csv")).count() == 2
-    with pytest.raises(ValueError):
-        sinks.write_candidates(df, str(tmp_path / "d"), {"temp_c": 650.0}, most=1)
-    assert not (tmp_path / "d").exists()
+    many = spark.range(25).select(F.col("id").alias("candidate_id"), (25.0 - F.col("id")).alias("cost")).orderBy("cost")
+    sinks.write_candidates(many, str(tmp_path / "d"), {"temp_c": 650.0}, most=10)
+    parts = {r["part"]: r for r in spark.read.json(str(tmp_path / "d/json")).collect()}
+    assert [parts[k]["count"] for k in (0, 1, 2)] == [10, 10, 5]
+    assert [c["candidate_id"] for k in (0, 1, 2) for c in parts[k]["candidates"]] == list(range(24, -1, -1))
+    assert spark.read.option("header", True).csv(str(tmp_path / "d/csv")).count() == 25
     sinks.write_best(df.orderBy("cost"), str(tmp_path / "b"), {"temp_c": 650.0})
     assert spark.read.json(str(tmp_path / "b/json")).first()["best"]["candidate_id"] == 2
     sinks.write_fit_summary(df.drop("notes"), str(tmp_path / "f"), "inner_train")
