@@ -156,8 +156,15 @@ def near_duplicates(
     )
     edges = links(prints, pair_bucket).union(ties)
     if similarity is not None:
-        texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(prints.select("node"), "node", "left_semi")
-        edges = edges.union(near_copies(texts, size, similarity))
+        # One row for each text and the least id under it: equal fingerprints needn't mean equal texts.
+        texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
+            F.col(id_col).alias("node"), F.col(text_col).alias("text"), F.sha2(F.col(text_col).cast("binary"), 256).alias("digest"))
+        first = texts.groupBy("digest").agg(F.min("node").alias("node"))
+        texts = texts.join(first, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "text")
+        near = stored(near_copies(texts, size, similarity), "near")
+        ends = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+        homes = rows.join(ends, "id", "left_semi").join(prints, "fp").select(F.col("id").alias("a"), F.col("node").alias("b"))
+        edges = edges.union(near).union(homes)
     grouped = components(edges)
     named = (
         prints.join(grouped, "node", "left")
@@ -193,13 +200,15 @@ def _band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def near_copies(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges ``a, b`` between nodes whose shingle sets have a Jaccard similarity of ``percent`` or more.
+    """Edges ``a, b`` that join all nodes whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     ``texts`` has ``node`` and ``text``; a node with several texts stands for each. Candidates
-    share a band of a MinHash sketch. A band's texts are not paired with each other but with
-    three of them: the least node, and the least and the greatest by a hash that differs from
-    band to band. Every candidate is verified by its whole shingle sets. Texts without words
-    have no copies. Links in a large group may be missing one by one; a path of others joins it.
+    are the pairs that share a band of a MinHash sketch, and every one is verified by its whole
+    shingle sets. First each text of a band meets three of it: the least node, and the least and
+    the greatest by a hash that differs from band to band, which joins most of a large group.
+    Then, where the texts of a band aren't all joined, every pair of them that isn't meets too;
+    only links between texts that are joined already are left out. Texts without words have
+    no copies.
     """
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,21 +217,47 @@ def near_copies(texts: DataFrame, size: int, percent: int) -> DataFrame:
             some = [k for k, hashes in enumerate(sets) if len(hashes)]
             yield pd.DataFrame({
                 "node": np.repeat(batch["node"].to_numpy()[some], BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(some)),
-                "key": np.concatenate([_band_keys(sets[k]) for k in some]) if some else np.zeros(0, dtype=np.int64)})
+                "key": np.concatenate([_band_keys(sets[k]) for k in some]) if some else np.zeros(0, dtype=np.int64),
+                "size": np.repeat(np.array([len(sets[k]) for k in some], dtype=np.int64), BANDS)})
 
-    rows = stored(texts.where("text is not null").mapInPandas(bands, "node long, band int, key long"), "bands")
+    texts = texts.where("text is not null")
+    rows = stored(texts.mapInPandas(bands, "node long, band int, key long, size long"), "bands")
     mixed = F.xxhash64("node", "band")
     chosen = F.array_distinct(F.array(F.min("node"), F.min_by("node", mixed), F.max_by("node", mixed)))
     buckets = stored(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), chosen.alias("chosen")).where("n > 1"), "buckets")
-    pairs = rows.join(buckets, ["band", "key"]).select("node", F.explode("chosen").alias("other")).where("node <> other")
-    pairs = stored(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "candidates")
+    pairs = rows.join(buckets.drop("n"), ["band", "key"]).select("node", F.explode("chosen").alias("other")).where("node <> other")
+    tried = stored(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "candidates")
+    found = stored(_alike(tried, texts, size, percent), "alike")
+
+    # Two of three texts of a band may not have met yet, of two they have.
+    joined = components(found)
+    members = rows.join(buckets.where("n > 2").select("band", "key"), ["band", "key"]).join(joined, "node", "left")
+    members = stored(members.withColumn("component", F.coalesce("component", "node")), "members")
+    parts = stored(members.groupBy("band", "key", "component").agg(F.min("size").alias("low"), F.max("size").alias("high")), "parts")
+    # Too unequal numbers of shingles can't be alike, be it of two texts or of all of two parts.
+    one, two = (parts.select("band", "key", *[F.col(c).alias(f"{c}_{n}") for c in ("component", "low", "high")]) for n in ("a", "b"))
+    meets = one.join(two, ["band", "key"]).where("component_a < component_b").where(
+        (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent))
+    left, right = (
+        members.select("band", "key", F.col("component").alias(f"component_{n}"), F.col("node").alias(f"node_{n}"), F.col("size").alias(f"size_{n}"))
+        for n in ("a", "b"))
+    rest = meets.select("band", "key", "component_a", "component_b").join(left, ["band", "key", "component_a"]).join(
+        right, ["band", "key", "component_b"]).where("node_a <> node_b").where(
+        F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
+    rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
+    return found if rest.isEmpty() else found.union(_alike(rest, texts, size, percent))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``percent`` or more."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"node": batch["node"], "hashes": [np.unique(shingle_hashes(t, size)).tobytes() for t in batch["text"]]})
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = stored(texts.where("text is not null").join(wanted, "node", "left_semi").mapInPandas(sets, "node long, hashes binary"), "shingle-sets")
+    held = stored(texts.join(wanted, "node", "left_semi").mapInPandas(sets, "node long, hashes binary"), "shingle-sets")
     one, two = (held.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_hashes")) for n in ("a", "b"))
 
     @F.pandas_udf("boolean")

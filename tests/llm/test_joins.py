@@ -267,6 +267,33 @@ def test_near_copies_of_many_kinds(spark):
     assert got == plain_copies(texts)
 
 
+def test_near_copies_in_bands_full_of_others(spark):
+    """Pairs at 0.81 among texts that share 0.79 with every other: nearly all bands of a pair hold many others."""
+    draw = __import__("random").Random(3)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(8))
+    common = [word() for _ in range(884)]
+    texts = {}
+    for k in range(24):
+        own = [word() for _ in range(12)]
+        texts |= {k + 100 * j: " ".join([*common, *own, *(word() for _ in range(108))]) for j in range(2)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, size=5, similarity=80).collect()}
+    assert got == plain_copies(texts) == {i: i % 100 for i in texts}
+
+
+def test_near_copies_of_texts_with_one_fingerprint(spark, monkeypatch):
+    """Of texts with the same fingerprint each can have a near copy of its own."""
+    draw = __import__("random").Random(4)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(8))
+    one, two = ([word() for _ in range(60)] for _ in range(2))
+    texts = {1: " ".join(one), 2: " ".join(two), 3: " ".join([*two, word()]), 4: " ".join([*one, word()])}
+    monkeypatch.setattr(simhash, "fingerprint_column", lambda text, size: F.when(
+        text.isin(texts[1], texts[2]), F.lit(0)).when(text == texts[3], F.lit(0xFF)).otherwise(F.lit(0xFF00)).cast("long"))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, size=5, similarity=80).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_pipeline_against_plain_stages(spark, sf, documents):
     rows = {r["doc_id"]: r["text"] for r in documents.collect()}
     model = langid.fit(documents)
