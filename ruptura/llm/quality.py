@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ruptura.llm.common import checkpointed, small, words_of
-from ruptura.llm.samples import sample_by
+from ruptura.llm.common import small, stored, words_of
 
 # The base rules.
 WHITE = " \t\n\x0b\x0c\r"
@@ -18,9 +17,9 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 
-#: Fitting bounds: about so many documents of a language, and so many common words.
-FIT_DOCS = 1500
+#: Common words of a language; decimals that shares and distances are rounded to before their quantiles are counted.
 COMMON_WORDS = 12
+DECIMALS = 4
 #: Texts with fewer words are judged by the base rules alone: their histograms say little.
 GUARD_WORDS = 50
 #: Texts of similar length have limits of their own, as short texts lie farther from any reference.
@@ -97,7 +96,8 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def class_shares(text: Column) -> Column:
     """Shares of lower-case and other letters, capitals, digits, white space, symbols and other marks."""
     total = F.greatest(_length(text), F.lit(1))
-    capitals, letters = F.regexp_count(text, F.lit(r"\p{Lu}")), F.regexp_count(text, F.lit(r"\p{L}"))
+    # Letters come in runs, which one match each takes out.
+    capitals, letters = F.regexp_count(text, F.lit(r"\p{Lu}")), _length(text) - _length(F.regexp_replace(text, r"\p{L}+", ""))
     digits = F.regexp_count(text, F.lit(r"\p{N}"))
     white = _length(text) - _length(_without(text, WHITE))
     symbols = _length(text) - _length(_without(text, SYMBOLS))
@@ -123,31 +123,31 @@ class Reference:
 
 
 def fit(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = FIT_DOCS,
-    good: DataFrame | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", good: DataFrame | None = None,
 ) -> list[Reference]:
-    """Language references from about ``sample`` documents of each language that have a text.
+    """Language references from all documents that have a text and a language.
 
-    ``good`` has the ids of documents that are labelled as good; then only they are
-    drawn, and the limits lie beyond the farthest of them. Without it a class's share is
+    ``good`` has the ids of documents that are labelled as good; then only they
+    count, and the limits lie beyond the farthest of them. Without it a class's share is
     its median over the language's documents, so that a minority of junk doesn't move it,
     and the limits are fences around the middle half of the distances. A language of which
     fewer than ``LEAST_DOCS`` texts pass the base rules and the guard has no reference.
     Without documents of a stated language there is none.
     """
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    names = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = known.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     if good is not None:
-        names = names.join(good.select(F.col(id_col).alias("id")), "id", "left_semi")
-    # Drawn by id before texts are touched: so many ids a language are few, and texts needn't travel.
-    drawn = checkpointed(sample_by(names, "lang", F.coalesce(F.col("id").cast("string"), F.lit("")), sample, LEAST_DOCS).distinct())
-    texts = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = checkpointed(texts.join(small(drawn), ["id", "lang"], "left_semi"))
-    shares = rows.select("lang", class_shares(F.col("text")).alias("c"))
+        # Read by every pass below, so texts travel to their labels once at most.
+        known = stored(known.join(small(good.select(F.col(id_col).alias("id")).distinct()), "id", "left_semi"), "good")
+    enough = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
+    rows = known.join(small(enough.drop("n")), "lang", "left_semi")
+    # Rounded, so that a language's median counts a bounded number of different values.
+    shares = rows.select("lang", F.transform(class_shares(F.col("text")), lambda c: F.round(c, DECIMALS)).alias("c"))
     classes = shares.groupBy("lang").agg(*[F.percentile(F.col("c")[k], 0.5).alias(f"c{k}") for k in range(N_CLASSES)]).collect()
-    counts = (
+    # Written once: the totals, the ranks and their sort all read it.
+    counts = stored(
         rows.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")), "words"
     )
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -173,10 +173,10 @@ def _with_limits(rows: DataFrame, references: list[Reference], good: bool) -> li
     if not references:
         return []
     # Written before it is filtered: a filter would be copied down through every derived column.
-    judged = checkpointed(_distances(base_counts(rows), references, "text").select("lang", "n_words", "base_failed", "q_all"))
+    judged = stored(_distances(base_counts(rows), references, "text").select("lang", "n_words", "base_failed", "q_all"), "judged")
     judged = judged.where(~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS))
     own = judged.select("lang", _by_length(list(range(len(LENGTHS)))).alias("size"), F.explode("q_all").alias("d")).where(F.col("d.lang") == F.col("lang"))
-    farthest = lambda c: F.max(c) * MARGIN if good else F.percentile(c, 0.75) * (1 + FENCE) - F.percentile(c, 0.25) * FENCE
+    farthest = lambda c: F.max(c) * MARGIN if good else F.percentile(F.round(c, DECIMALS), 0.75) * (1 + FENCE) - F.percentile(F.round(c, DECIMALS), 0.25) * FENCE
     found = own.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), farthest(F.col("d.c")).alias("c"), farthest(F.col("d.w")).alias("w")).collect()
     least = LEAST_LIMIT if good else UNLABELLED_LIMIT
     out = []

@@ -174,6 +174,18 @@ def test_limits_follow_the_good_texts(spark):
     assert quality.fit(docs, good=docs.limit(0)) == [] == quality.fit(docs.limit(0))
 
 
+def test_every_good_text_counts(spark):
+    """Of very many good texts of one language, a single odd one moves the limits and is kept."""
+    draw = __import__("random").Random(2)
+    words = ["the", "of", "and", *("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(200))]
+    texts = [" ".join(draw.choice(words) for _ in range(60)) for _ in range(40)]
+    rows = [(i, texts[i % 40], "en") for i in range(6000)]
+    odd = {i: " ".join(f"{i}{k}" for k in range(60)) for i in range(6000, 6008)}
+    docs = spark.createDataFrame([*rows, *((i, t, "en") for i, t in odd.items())], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality.judge(docs, quality.fit(docs, good=docs.select("doc_id"))).where("kept").select("doc_id").collect()}
+    assert kept >= set(odd)
+
+
 def plain_distance(p, q):
     terms = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b) if x)
     return math.sqrt(max(0, (terms(p, q) + terms(q, p)) / 2))
