@@ -160,6 +160,41 @@ def test_permutation_deals_every_value_once(spark):
     assert {(r["id"], r["_perm_x"]) for r in again.collect()} == {(r["id"], r["_perm_x"]) for r in rows}
 
 
+def test_deals_of_very_many_rows_are_bijections_of_one_rule(spark):
+    """Places beyond a billion follow the rule in whole numbers; the products of the old expression overflowed there."""
+    n, keys = 2_000_000_000, modeling.deal_keys(5, "x")
+
+    def plain(x):
+        for k, a, b in keys:
+            other = (k + n - x) % n
+            x = other if ((max(x, other) % modeling.DEAL_PRIME + b) ** 2 % modeling.DEAL_PRIME * a % modeling.DEAL_PRIME) >> 7 & 1 else x
+        return x
+
+    places = [0, 1, 5, 999_999_999, 1_700_000_000, n - 1]
+    df = spark.createDataFrame([(p,) for p in places], "p long")
+    got = {r["p"]: r["to"] for r in df.withColumn("to", modeling.dealt_place(F.col("p"), n, keys)).collect()}
+    assert got == {p: plain(p) for p in places}
+
+
+def test_columns_of_several_types_are_dealt(spark):
+    rows = [(i, i / 2, f"t{i}", None if i % 3 else float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, x double, t string, z double")
+    dealt = modeling.permute_columns(df, ["x", "t", "z"], ["id"], 3).collect()
+    for k, name in enumerate(("x", "t", "z"), 1):
+        assert sorted(map(str, (r[f"_perm_{name}"] for r in dealt))) == sorted(str(r[k]) for r in rows)
+    assert sorted(tuple(r)[:4] for r in dealt) == sorted(rows)
+
+
+def test_checks_look_for_all_quantiles_at_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(900.0 + k, 50.0 + k % 7, 4.0 - k / 100) for k in range(60)], "temp double, stress double, log_lifetime double")
+    scorer = lambda df: df.withColumn("predicted_log_life", 9.0 - F.col("temp") / 200 - F.col("stress") / 100)
+    calls, plain = [], modeling.exact_quantiles
+    monkeypatch.setattr(modeling, "exact_quantiles", lambda *a, **k: calls.append(a[1:]) or plain(*a, **k))
+    got = modeling.physics_checks(scorer(rows), scorer, ["temp", "stress"], "log_lifetime")
+    assert len(calls) == 1
+    assert abs(got["temperature_sweep_slope"] + 1 / 200) < 1e-9 and abs(got["stress_sweep_slope_at_high_temp"] + 1 / 100) < 1e-9
+
+
 def test_residual_ensemble_improves_and_reloads(spark, tmp_path):
     df, *_ = creep(spark, 300)
     rows = df.withColumn("log_lifetime", F.col("log_lifetime") + F.when(F.col("g") > 6, 0.8).otherwise(-0.8)).withColumn("g", F.col("g").cast("double"))
