@@ -36,7 +36,7 @@ RATE, PENALTY = 0.5, 1e-4
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|\S")
 _ODD = re.compile(r"[0-9]|.{20}")
 #: Tokens that a worker remembers the scores of.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -371,11 +371,13 @@ def field_spans(text: str, scorer: Scorer) -> Iterator[tuple[int, int]]:
             at = last + 1
 
 
-def find(text: str | None, scorer: Scorer) -> list[tuple[int, int, str]]:
+def find(text: str | None, scorer: Scorer | Crf) -> list[tuple[int, int, str]]:
     """All spans of a text as start, end and kind: base matches, and what the field adds beside them.
 
     Of a field span that base matches cover in part, the rest stays, less white space at its ends.
     """
+    if isinstance(scorer, Crf):
+        scorer = scorer_of(scorer)
     text = text or ""
     base = [(start, end, kind) for start, end, kind, _ in base_matches(text)]
     free = []
