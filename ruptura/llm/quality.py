@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 
-#: Common words of a language; decimals that shares and distances are rounded to before their quantiles are counted.
+#: Common words of a language; decimals of the bins that a quantile is looked for in.
 COMMON_WORDS = 12
 DECIMALS = 4
 #: Texts with fewer words are judged by the base rules alone: their histograms say little.
@@ -141,9 +142,7 @@ def fit(
         known = stored(known.join(small(good.select(F.col(id_col).alias("id")).distinct()), "id", "left_semi"), "good")
     enough = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
     rows = known.join(small(enough.drop("n")), "lang", "left_semi")
-    # Rounded, so that a language's median counts a bounded number of different values.
-    shares = rows.select("lang", F.transform(class_shares(F.col("text")), lambda c: F.round(c, DECIMALS)).alias("c"))
-    classes = shares.groupBy("lang").agg(*[F.percentile(F.col("c")[k], 0.5).alias(f"c{k}") for k in range(N_CLASSES)]).collect()
+    classes = _quantiles(rows.select("lang", class_shares(F.col("text")).alias("v")), ["lang"], [0.5])
     # Written once: the totals, the ranks and their sort all read it.
     counts = stored(
         rows.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word")
@@ -156,18 +155,50 @@ def fit(
         .orderBy("lang", "rank").collect()
     )
     out = []
-    for row in sorted(classes, key=lambda r: r["lang"]):
-        own = [r for r in common if r["lang"] == row["lang"]]
+    for lang in sorted({lang for lang, _ in classes}):
+        own = [r for r in common if r["lang"] == lang]
         if not own:
             continue
-        parts = [max(row[f"c{k}"], SMOOTH) for k in range(N_CLASSES)]
+        parts = [max(classes[lang, k][0], SMOOTH) for k in range(N_CLASSES)]
         seen = [r["n"] / r["total"] for r in own]
         out.append(Reference(
-            row["lang"], tuple(p / sum(parts) for p in parts), tuple(r["word"] for r in own), (*seen, max(1 - sum(seen), SMOOTH)),
+            lang, tuple(p / sum(parts) for p in parts), tuple(r["word"] for r in own), (*seen, max(1 - sum(seen), SMOOTH)),
         ))
     return _with_limits(rows, out, good is not None)
 
 
+def _quantiles(rows: DataFrame, by: list[str], shares: list[float]) -> dict[tuple, list[float]]:
+    """Exact interpolated quantiles of each place of the array ``v`` in each group, by group and place.
+
+    Values are counted, and bins of them, of which a group has 10,001 at most between 0 and 1;
+    only the bins that hold a wanted position are sorted.
+    """
+    values = rows.select(*by, F.posexplode("v").alias("place", "x")).groupBy(*by, "place", "x").agg(F.count(F.lit(1)).alias("n"))
+    values = stored(values.withColumn("bin", F.round("x", DECIMALS)), "values")
+    group = Window.partitionBy(*by, "place")
+    bins = values.groupBy(*by, "place", "bin").agg(F.sum("n").alias("held"))
+    bins = bins.withColumns({"upto": F.sum("held").over(group.orderBy("bin")), "total": F.sum("held").over(group)})
+    wanted = F.array(*[f(F.lit(p) * (F.col("total") - 1)).cast("long") for p in shares for f in (F.floor, F.ceil)])
+    ours = F.filter(wanted, lambda at: (at < F.col("upto")) & (at >= F.col("upto") - F.col("held")))
+    bins = bins.withColumn("at", ours).where(F.size("at") > 0).select(*by, "place", "bin", "total", "at", (F.col("upto") - F.col("held")).alias("before"))
+    inside = values.join(bins, [*by, "place", "bin"])
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*by, "place", "bin").orderBy("x")))
+    hit = F.array_distinct(F.filter("at", lambda at: (at < F.col("upto")) & (at >= F.col("upto") - F.col("n"))))
+    found: dict[tuple, dict[int, float]] = {}
+    totals = {}
+    for r in inside.select(*by, "place", "x", "total", F.explode(hit).alias("at")).collect():
+        g = tuple(r[:len(by) + 1])
+        found.setdefault(g, {})[r["at"]] = r["x"]
+        totals[g] = r["total"]
+
+    def between(g: tuple, p: float) -> float:
+        at = p * (totals[g] - 1)
+        low, high = math.floor(at), math.ceil(at)
+        return found[g][low] if low == high else (high - at) * found[g][low] + (at - low) * found[g][high]
+
+    return {g: [between(g, p) for p in shares] for g in found}
+
+
 def _with_limits(rows: DataFrame, references: list[Reference], good: bool) -> list[Reference]:
     """References with the limits of their own texts; those with too few texts are left out."""
     if not references:
@@ -176,12 +207,15 @@ def _with_limits(rows: DataFrame, references: list[Reference], good: bool) -> li
     judged = stored(_distances(base_counts(rows), references, "text").select("lang", "n_words", "base_failed", "q_all"), "judged")
     judged = judged.where(~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS))
     own = judged.select("lang", _by_length(list(range(len(LENGTHS)))).alias("size"), F.explode("q_all").alias("d")).where(F.col("d.lang") == F.col("lang"))
-    farthest = lambda c: F.max(c) * MARGIN if good else F.percentile(F.round(c, DECIMALS), 0.75) * (1 + FENCE) - F.percentile(F.round(c, DECIMALS), 0.25) * FENCE
-    found = own.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), farthest(F.col("d.c")).alias("c"), farthest(F.col("d.w")).alias("w")).collect()
+    found = own.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), F.max("d.c").alias("c"), F.max("d.w").alias("w")).collect()
+    farthest = {(f["lang"], f["size"]): (f["c"] * MARGIN, f["w"] * MARGIN) for f in found}
+    if not good:
+        quarters = _quantiles(own.select("lang", "size", F.array("d.c", "d.w").alias("v")), ["lang", "size"], [0.25, 0.75])
+        farthest = {g: tuple(high * (1 + FENCE) - low * FENCE for low, high in (quarters[*g, 0], quarters[*g, 1])) for g in farthest}
     least = LEAST_LIMIT if good else UNLABELLED_LIMIT
     out = []
     for r in references:
-        mine = {f["size"]: (max(f["c"], least[0]), max(f["w"], least[1])) for f in found if f["lang"] == r.lang and f["n"] >= LEAST_DOCS}
+        mine = {f["size"]: tuple(map(max, farthest[r.lang, f["size"]], least)) for f in found if f["lang"] == r.lang and f["n"] >= LEAST_DOCS}
         if not mine:
             continue
         # A class of lengths with too few texts takes the limits of the next shorter one that has enough, which are wider, else the next longer.

@@ -4,6 +4,8 @@ import hashlib
 import html
 import math
 import re
+
+import pytest
 import unicodedata
 from collections import Counter
 
@@ -174,6 +176,15 @@ def test_limits_follow_the_good_texts(spark):
     assert quality.fit(docs, good=docs.limit(0)) == [] == quality.fit(docs.limit(0))
 
 
+def test_quantiles_of_groups(spark):
+    draw = __import__("random").Random(9)
+    rows = [(g, [round(draw.random(), 5) if k else draw.choice([0.0, 0.25]) for k in range(2)]) for g, n in (("a", 1), ("b", 2), ("c", 301)) for _ in range(n)]
+    got = quality._quantiles(spark.createDataFrame(rows, "lang string, v array<double>"), ["lang"], [0.25, 0.5, 0.75])
+    for g in "abc":
+        for k in range(2):
+            assert got[g, k] == pytest.approx(__import__("numpy").quantile([v[k] for x, v in rows if x == g], [0.25, 0.5, 0.75]), abs=1e-12)
+
+
 def test_every_good_text_counts(spark):
     """Of very many good texts of one language, a single odd one moves the limits and is kept."""
     draw = __import__("random").Random(2)
@@ -437,7 +448,7 @@ def test_best_run():
 
 
 def test_all_queries_are_registered():
-    assert {re.match(r"op(\d+)_", k)[1] for k in QUERIES if k.startswith("op")} == {str(k) for k in range(1, 11)}
+    assert {re.match(r"op(\d+)_", k)[1] for k in QUERIES if k.startswith("op")} == {str(k) for k in range(1, 14)}
     assert "pipeline" in QUERIES
 
 
