@@ -34,9 +34,13 @@ EPOCHS = 6
 RATE, PENALTY = 0.5, 1e-4
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|\S")
+#: Tokens of all lines at once, with the ends of lines between them.
+_TOKEN_OR_END = re.compile(_TOKEN.pattern + r"|\n")
 _ODD = re.compile(r"[0-9]|.{20}")
-#: Tokens that a worker remembers the scores of.
-REMEMBERED = 1 << 16
+#: Tokens that a worker remembers; those that show the same share one row of scores.
+REMEMBERED = 1 << 18
+#: More than the short sums over a token's few features can be off.
+ROUNDING = 1e-2
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -75,7 +79,7 @@ def _shape(token: str) -> str:
 def token_traits(token: str) -> tuple:
     """What a token shows by itself, as a few small values."""
     size = len(token)
-    letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
+    letters, digits = (size, 0) if token.isalpha() else (sum(map(str.isalpha, token)), sum(map(str.isdigit, token)))
     setting = token[:4].lower() if "=" in token[1:-1] else ""
     vowels = len(_VOWELS.findall(token))
     return (
@@ -225,45 +229,60 @@ class Scorer:
             for name, weight in model.weights.items():
                 if name.startswith(place + ":"):
                     self.by_word.setdefault(name[len(place) + 1:], np.zeros((len(PLACES), 3)))[row] = weight
-        self.by_kind: dict[tuple, np.ndarray] = {}
-        self.by_features: dict[tuple, np.ndarray] = {}
+        # Starts that some place knows; all others add nothing.
+        starts = tuple(f"{place}-start:" for place in PLACES.values())
+        self.starts = {name.split(":", 1)[1] for name in model.weights if name.startswith(starts)}
         self.reset()
 
     def reset(self) -> None:
         self.ids: dict[str, int] = {}
+        self.rows: dict[tuple, int] = {}
         self.table = np.zeros((1 + len(PLACES), 1024, 3))
-        self.by_kind.clear()
-        self.by_features.clear()
-        self.id_of("")
+        # What begin and inside have ahead of outside in every row, for a quick look.
+        self.leads = np.zeros((1024, 2 * (1 + len(PLACES))), dtype=np.float32)
+        self.row_of("")
 
-    def id_of(self, token: str) -> int:
-        """Number of a token; most share their features with many others, whose sums are remembered."""
+    def row_of(self, token: str) -> int:
+        """Row of a token in the table, 0 for the end of a line; tokens that show the same have one row."""
         k = self.ids.get(token)
         if k is not None:
             return k
-        k = self.ids[token] = len(self.ids)
-        if k == self.table.shape[1]:
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)), axis=1)
-        if token:
-            traits = token_traits(token)
-            if traits not in self.by_features:
-                self.by_features[traits] = self.model.emissions([trait_features(traits)])[0]
-            self.table[0, k] = self.by_features[traits]
         low = token[:12].lower()
-        kind = (low[:4], _shape(token[:12])[:3])
-        if kind not in self.by_kind:
-            self.by_kind[kind] = self.model.emissions([neighbour_features(token, p)[1:] for p in PLACES.values()])
-        self.table[1:, k] = self.by_kind[kind]
-        if low in self.by_word:
-            self.table[1:, k] += self.by_word[low]
+        traits = token_traits(token) if token else ()
+        kind = traits[0][:3] if token and len(token) <= 12 else _shape(token[:12])[:3]
+        shown = (traits, low[:4] if low[:4] in self.starts else None, kind, low if low in self.by_word else None)
+        k = self.rows.get(shown)
+        if k is None:
+            k = self.rows[shown] = len(self.rows)
+            if k == len(self.leads):
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)), axis=1)
+                self.leads = np.concatenate((self.leads, np.zeros_like(self.leads)))
+            if token:
+                self.table[0, k] = self.model.emissions([trait_features(traits)])[0]
+            self.table[1:, k] = self.model.emissions([neighbour_features(token, p)[1:] for p in PLACES.values()])
+            if low in self.by_word:
+                self.table[1:, k] += self.by_word[low]
+            self.leads[k] = (self.table[:, k, 1:] - self.table[:, k, :1]).ravel()
+        self.ids[token] = k
+        if not token:
+            self.ids["\n"] = k
         return k
 
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        """Rows of tokens; a line feed or an empty token is the end of a line."""
+        if len(self.rows) > REMEMBERED:
+            self.reset()
+        elif len(self.ids) > REMEMBERED:
+            self.ids.clear()
+            self.row_of("")
+        found = list(map(self.ids.get, tokens))
+        if None in found:
+            found = [self.row_of(t) if k is None else k for k, t in zip(found, tokens)]
+        return np.array(found, dtype=np.int64)
+
     def scores(self, lines: list[list[str]], shared: list[str]) -> np.ndarray:
         """Scores of the tokens of some lines, one after the other."""
-        if len(self.ids) > REMEMBERED:
-            self.reset()
-        known, id_of = self.ids.get, self.id_of
-        ids = np.array([k if (k := known(t)) is not None else id_of(t) for line in lines for t in line], dtype=np.int64)
+        ids = self.numbers([t for line in lines for t in line])
         counts = np.array([len(line) for line in lines])
         line = np.repeat(np.arange(len(lines)), counts)
         out = self.table[0, ids] + self.model.emissions([shared])[0]
@@ -278,6 +297,25 @@ class Scorer:
         """Tokens that no path can gain by tagging; where all of a line are, the best path is outside throughout."""
         return (scores[:, 1:] - scores[:, :1] + self.gain).max(axis=1) <= 0
 
+    def promising(self, ids: np.ndarray, shared: list[str]) -> np.ndarray:
+        """Places of the tokens that a path may gain by tagging; where a line has none, its best path is outside throughout.
+
+        The sums are rounded to the side of looking again.
+        """
+        # So many empty tokens behind every line that no neighbour is looked for in another one.
+        apart = max(map(abs, PLACES))
+        wide = np.concatenate((np.zeros(apart, dtype=np.int64), np.repeat(ids, np.where(ids == 0, apart, 1)), np.zeros(apart, dtype=np.int64)))
+        rows = self.leads.take(wide, axis=0)
+        out = rows[apart:-apart, :2].copy()
+        for row, d in enumerate(PLACES, 1):
+            out += rows[apart + d:len(wide) - apart + d, 2 * row:2 * row + 2]
+        own = self.model.emissions([shared])[0]
+        most = (out + (own[1:] - own[0] + self.gain + ROUNDING).astype(np.float32)).max(axis=1)
+        inner = wide[apart:-apart]
+        places = np.flatnonzero((most > 0) & (inner != 0))
+        # Back from the places among the wider ends of lines.
+        return places - (apart - 1) * np.cumsum(inner == 0)[places] // apart if len(places) else places
+
 
 _SCORERS: dict[str, Scorer] = {}
 
@@ -348,16 +386,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
 def field_spans(text: str, scorer: Scorer) -> Iterator[tuple[int, int]]:
     """Spans that the field tags, line by line."""
-    lines = text.split("\n")
-    tokens = [_TOKEN.findall(line) for line in lines]
-    scores = scorer.scores(tokens, file_features(text))
-    if not len(scores):
+    ids, shared = scorer.numbers(_TOKEN_OR_END.findall(text)), file_features(text)
+    possible = scorer.promising(ids, shared)
+    if not len(possible):
         return
-    possible = np.flatnonzero(~scorer.hopeless(scores))
-    ends = np.cumsum([len(t) for t in tokens])
+    lines = text.split("\n")
     begins = np.cumsum([0, *(len(line) + 1 for line in lines)])
-    for k in np.unique(np.searchsorted(ends, possible, side="right")).tolist():
-        labels = scorer.model.best_path(scores[ends[k] - len(tokens[k]):ends[k]])
+    for k in np.unique(np.searchsorted(np.flatnonzero(ids == 0), possible)).tolist():
+        scores = scorer.scores([_TOKEN.findall(lines[k])], shared)
+        if scorer.hopeless(scores).all():
+            continue
+        labels = scorer.model.best_path(scores)
         places = [m.span() for m in _TOKEN.finditer(lines[k])]
         at = 0
         while at < len(labels):

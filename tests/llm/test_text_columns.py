@@ -364,6 +364,28 @@ def test_remembered_scores_and_hopeless_tokens(spark, monkeypatch):
             at += len(path)
 
 
+def test_tokens_that_show_the_same_share_a_row(spark, monkeypatch):
+    """Rows follow what tokens show, not their number; the quick look passes over no place that the exact scores hold possible."""
+    import numpy as np
+
+    texts = texts_with_secrets(3, 120)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scorer = secrets.Scorer(secrets.fit(docs))
+    for text in texts + ["", "\n\n", "\n a\n\nb c\n", "é = ß\n\n::"]:
+        lines, shared = text.split("\n"), secrets.file_features(text)
+        ids = scorer.numbers(secrets._TOKEN_OR_END.findall(text))
+        assert np.count_nonzero(ids) == sum(len(secrets._TOKEN.findall(line)) for line in lines)
+        exact = scorer.scores([secrets._TOKEN.findall(line) for line in lines], shared) if ids.any() else np.zeros((0, 3))
+        possible = np.flatnonzero(ids)[~scorer.hopeless(exact)] if len(exact) else []
+        assert set(possible) <= set(scorer.promising(ids, shared).tolist()) <= set(np.flatnonzero(ids).tolist())
+    before = len(scorer.rows)
+    scorer.numbers([a + b + c + "qxzj" for a in "bcdfg" for b in "hklmn" for c in "prstvw"])
+    assert len(scorer.rows) - before < 30
+    found = [secrets.find(t, scorer) for t in texts]
+    monkeypatch.setattr(secrets, "REMEMBERED", 20)
+    assert found == [secrets.find(t, scorer) for t in texts]
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
     import numpy as np
