@@ -32,8 +32,8 @@ MARGIN, LEAST_DOCS, LEAST_LIMIT = 1.25, 25, (0.10, 0.20)
 FENCE, UNLABELLED_LIMIT = 3.0, (0.30, 0.42)
 #: Share given to a histogram's empty bins.
 SMOOTH = 1e-4
-#: First private-use character: stands for a common word in a counted string.
-_MARK = 0xE000
+#: First character that stands for a common word in a counted string: short ones are found fast.
+_MARK = 0x01
 
 
 def _length(text: Column) -> Column:
@@ -44,27 +44,39 @@ def _without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
+def _rest(text: Column) -> Column:
+    """A text without its letters, which is short: they come in runs, and one match each takes out."""
+    return F.regexp_replace(text, r"\p{L}+", "")
+
+
+def _count(text: Column, characters: str) -> Column:
+    return _length(text) - _length(_without(text, characters))
+
+
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("int"), lambda a, x: a + x)
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns q_words (array), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+    """``docs`` with the columns q_words (array), q_rest (the text without letters), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
+    A word is hashed once; hashes of two, four and eight words are mixed from two of half as many.
     Repeated windows are found inside each row: window hashes are sorted with their
     place, and a window counts if a neighbour in that order is equal. Only texts that
     have fewer distinct windows than windows are sorted.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.col("q_words")
-    rows = docs.withColumn("q_words", words_of(F.col(text_col)))
-    lines = F.filter(F.split(text, "\n"), lambda x: _without(x, WHITE) != "")
-    heads = F.slice(words, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
-    rows = rows.withColumns({
-        "q_lines": lines,
-        "q_windows": F.transform(heads, lambda w, k: F.xxhash64(F.slice(words, k + 1, WINDOW))),
-    })
-    windows = F.col("q_windows")
+    rows = docs.withColumns({"q_words": words_of(F.col(text_col)), "q_rest": _rest(text)})
+    lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(WHITE)) != "")
+    rows = rows.withColumns({"q_lines": lines, "q_windows": F.transform(words, lambda w: F.xxhash64(w))})
+    windows, width = F.col("q_windows"), 1
+    while width < WINDOW:
+        # The last ones of a text lack their second half; none of the whole windows holds them.
+        later = F.slice(windows, F.lit(width + 1), F.size(windows))
+        rows = rows.withColumn("q_windows", F.zip_with(windows, later, lambda a, b: F.xxhash64(a, b)))
+        width *= 2
+    rows = rows.withColumn("q_windows", F.slice(windows, F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0))))
     rows = rows.withColumn("q_sorted", F.when(
         F.size(windows) > F.size(F.array_distinct(windows)),
         F.sort_array(F.transform(windows, lambda h, k: F.struct(h.alias("h"), k.alias("k")))),
@@ -83,8 +95,8 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )) + WINDOW
     rows = rows.withColumns({
         "n_words": F.size(words).cast("long"),
-        "word_chars": _length(_without(text, WHITE)).cast("long"),
-        "n_symbols": (_length(text) - _length(_without(text, SYMBOLS))).cast("long"),
+        "word_chars": (_length(text) - _count(F.col("q_rest"), WHITE)).cast("long"),
+        "n_symbols": _count(F.col("q_rest"), SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
     }).drop("q_lines", "q_windows", "q_sorted", "q_starts")
@@ -94,15 +106,16 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def class_shares(text: Column) -> Column:
-    """Shares of lower-case and other letters, capitals, digits, white space, symbols and other marks."""
+def class_shares(text: Column, rest: Column) -> Column:
+    """Shares of lower-case and other letters, capitals, digits, white space, symbols and other marks.
+
+    ``rest`` is the text without letters: all but capitals are counted there.
+    """
     total = F.greatest(_length(text), F.lit(1))
-    # Letters come in runs, which one match each takes out.
-    capitals, letters = F.regexp_count(text, F.lit(r"\p{Lu}")), _length(text) - _length(F.regexp_replace(text, r"\p{L}+", ""))
-    digits = F.regexp_count(text, F.lit(r"\p{N}"))
-    white = _length(text) - _length(_without(text, WHITE))
-    symbols = _length(text) - _length(_without(text, SYMBOLS))
-    parts = [letters - capitals, capitals, digits, white, symbols, _length(text) - letters - digits - white - symbols]
+    capitals, letters = F.regexp_count(text, F.lit(r"\p{Lu}")), _length(text) - _length(rest)
+    digits = F.regexp_count(rest, F.lit(r"\p{N}"))
+    white, symbols = _count(rest, WHITE), _count(rest, SYMBOLS)
+    parts = [letters - capitals, capitals, digits, white, symbols, _length(rest) - digits - white - symbols]
     return F.array(*[p / total for p in parts])
 
 
@@ -142,7 +155,8 @@ def fit(
         known = stored(known.join(small(good.select(F.col(id_col).alias("id")).distinct()), "id", "left_semi"), "good")
     enough = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
     rows = known.join(small(enough.drop("n")), "lang", "left_semi")
-    classes = _quantiles(rows.select("lang", class_shares(F.col("text")).alias("v")), ["lang"], [0.5])
+    shares = class_shares(F.col("text"), F.col("rest"))
+    classes = _quantiles(rows.withColumn("rest", _rest(F.col("text"))).select("lang", shares.alias("v")), ["lang"], [0.5])
     # Written once: the totals, the ranks and their sort all read it.
     counts = stored(
         rows.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word")
@@ -250,9 +264,11 @@ def _distances(docs: DataFrame, references: list[Reference], text_col: str) -> D
     mark = {w: chr(_MARK + k) for k, w in enumerate(vocabulary)}
     known = F.array(*[F.lit(w) for w in vocabulary])
     signs = F.array(*[F.lit(mark[w]) for w in vocabulary])
-    places = F.filter(F.transform("q_words", lambda w: F.array_position(known, F.lower(w)).cast("int")), lambda k: k > 0)
-    marked = F.array_join(F.transform(places, lambda k: F.element_at(signs, k)), "")
-    rows = docs.withColumns({"q_marked": marked, "q_classes": class_shares(F.coalesce(F.col(text_col), F.lit("")))})
+    # Most words are sorted out by a set; the place of the others is looked for.
+    common = F.filter(F.transform("q_words", F.lower), lambda w: w.isin(vocabulary))
+    marked = F.array_join(F.transform(common, lambda w: F.element_at(signs, F.array_position(known, w).cast("int"))), "")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumns({"q_marked": marked, "q_classes": class_shares(text, F.col("q_rest"))})
     total = F.greatest(F.col("n_words"), F.lit(1))
     counted = F.char_length("q_marked")
     rows = rows.withColumn("q_counts", F.array(*[
@@ -266,7 +282,7 @@ def _distances(docs: DataFrame, references: list[Reference], text_col: str) -> D
         limits = [_by_length([limit[k] for limit in r.limits]) for k in (0, 1)]
         candidates.append(F.struct(
             by_class.alias("c"), by_word.alias("w"), F.lit(r.lang).alias("lang"), limits[0].alias("c_limit"), limits[1].alias("w_limit")))
-    return rows.withColumn("q_all", F.array(*candidates)).drop("q_words", "q_marked", "q_classes", "q_counts")
+    return rows.withColumn("q_all", F.array(*candidates)).drop("q_words", "q_rest", "q_marked", "q_classes", "q_counts")
 
 
 def divergence(docs: DataFrame, references: list[Reference], text_col: str = "text") -> DataFrame:
@@ -281,7 +297,7 @@ def divergence(docs: DataFrame, references: list[Reference], text_col: str = "te
         return docs.withColumns({
             "nearest": F.lit(None).cast("string"), "class_distance": F.lit(None).cast("double"),
             "word_distance": F.lit(None).cast("double"), "q_far": F.lit(None).cast("boolean"),
-        }).drop("q_words")
+        }).drop("q_words", "q_rest")
     rows = _distances(docs, references, text_col)
     worst = F.transform("q_all", lambda x: F.struct(
         F.greatest(x["c"] / x["c_limit"], x["w"] / x["w_limit"]).alias("worst"), x["lang"].alias("lang"), x["c"].alias("c"), x["w"].alias("w"),

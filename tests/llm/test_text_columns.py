@@ -202,6 +202,24 @@ def plain_distance(p, q):
     return math.sqrt(max(0, (terms(p, q) + terms(q, p)) / 2))
 
 
+def test_whole_texts_are_walked_once_for_letters(spark):
+    texts = ["Ab\u00c4\U0001d400 1\u0663\u2167 #$\t\x0b\x0c\r\n \n.\u3000\u00a0", " ".join(f"w{k % 9}" for k in range(40)), " \n\t", "a  b c d e f g h", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = quality.base_counts(docs)
+    for r in rows.collect():
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", r["text"]) if w]
+        windows = [tuple(words[k:k + 8]) for k in range(len(words) - 7)]
+        covered = {k + i for k, w in enumerate(windows) if windows.count(w) > 1 for i in range(8)}
+        lines = [x for x in r["text"].split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        assert r["q_words"] == words
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            len(words), sum(map(len, words)), sum(r["text"].count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
+    # Slow steps see what is left of a text without its letters, and no window of words is hashed word by word.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert set(re.findall(r"translate\(([a-z_]+)", plan)) == {"q_rest"}
+    assert not re.search(r"xxhash64\(slice", plan)
+
+
 def test_distances_against_plain_histograms(spark, documents):
     references = quality.fit(documents)
     rows = documents.where("length(text) > 300").limit(30)
