@@ -182,6 +182,8 @@ def near_duplicates(
 BANDS, BAND_ROWS = 24, 5
 #: Hashes sketched at a time, so that memory doesn't follow the length of a text.
 SKETCHED = 1 << 12
+#: Longs of a parity sketch, which bounds how much two shingle sets can have in common.
+PARITY_LONGS = 32
 
 
 def _band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -199,16 +201,27 @@ def _band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY_LONGS slots whether an odd number of the hashes fall into it.
+
+    What two sets share cancels out: their sketches differ in no more slots than they have different shingles.
+    """
+    slots = 64 * PARITY_LONGS
+    odd = np.bincount((hashes >> np.uint64(BITS - slots.bit_length() + 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def near_copies(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Edges ``a, b`` that join all nodes whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     ``texts`` has ``node`` and ``text``; a node with several texts stands for each. Candidates
-    are the pairs that share a band of a MinHash sketch, and every one is verified by its whole
-    shingle sets. First each text of a band meets three of it: the least node, and the least and
-    the greatest by a hash that differs from band to band, which joins most of a large group.
-    Then, where the texts of a band aren't all joined, every pair of them that isn't meets too;
-    only links between texts that are joined already are left out. Texts without words have
-    no copies.
+    are the pairs that share a band of a MinHash sketch. Those that can't be alike by their numbers
+    of shingles and parity sketches are left out, the others are verified by their whole shingle
+    sets. First each text of a band meets the least node of it, which is the same for most bands
+    of a large group; where this doesn't join them, it meets the least and the greatest by a hash
+    that differs from band to band. Then, where the texts of a band aren't all joined, every pair
+    of them that isn't meets too; only links between texts that are joined already are left out.
+    Texts without words have no copies.
     """
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,19 +231,35 @@ def near_copies(texts: DataFrame, size: int, percent: int) -> DataFrame:
             yield pd.DataFrame({
                 "node": np.repeat(batch["node"].to_numpy()[some], BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(some)),
                 "key": np.concatenate([_band_keys(sets[k]) for k in some]) if some else np.zeros(0, dtype=np.int64),
-                "size": np.repeat(np.array([len(sets[k]) for k in some], dtype=np.int64), BANDS)})
+                "size": np.repeat(np.array([len(sets[k]) for k in some], dtype=np.int64), BANDS),
+                # The first band's row holds the text's parity sketch.
+                "bits": [x for k in some for x in [_parities(sets[k]), *[None] * (BANDS - 1)]]})
 
     texts = texts.where("text is not null")
-    rows = stored(texts.mapInPandas(bands, "node long, band int, key long, size long"), "bands")
+    rows = stored(texts.mapInPandas(bands, "node long, band int, key long, size long, bits array<long>"), "bands")
+    sketches, rows = rows.where("band = 0").select("node", "size", "bits"), rows.drop("bits")
     mixed = F.xxhash64("node", "band")
-    chosen = F.array_distinct(F.array(F.min("node"), F.min_by("node", mixed), F.max_by("node", mixed)))
-    buckets = stored(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), chosen.alias("chosen")).where("n > 1"), "buckets")
-    pairs = rows.join(buckets.drop("n"), ["band", "key"]).select("node", F.explode("chosen").alias("other")).where("node <> other")
-    tried = stored(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "candidates")
-    found = stored(_alike(tried, texts, size, percent), "alike")
+    chosen = [F.min("node").alias("least"), F.min_by("node", mixed).alias("low"), F.max_by("node", mixed).alias("high")]
+    buckets = stored(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *chosen).where("n > 1"), "buckets")
 
-    # Two of three texts of a band may not have met yet, of two they have.
+    def meeting(*others: str) -> DataFrame:
+        pairs = rows.join(buckets.select("band", "key", *others), ["band", "key"])
+        pairs = pairs.select("node", F.explode(F.array_distinct(F.array(*others))).alias("other")).where("node <> other")
+        return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+    tried = stored(meeting("least"), "candidates")
+    found = stored(_alike(_possible(tried, sketches, percent), texts, size, percent), "alike")
     joined = components(found)
+    home = [joined.select(F.col("node").alias(n), F.col("component").alias(f"component_{n}")) for n in ("a", "b")]
+    apart = meeting("low", "high").join(home[0], "a", "left").join(home[1], "b", "left").where(
+        "component_a is null or component_b is null or component_a <> component_b").select("a", "b")
+    more = stored(apart.join(tried, ["a", "b"], "left_anti"), "candidates")
+    tried = tried.union(more)
+    if not (more := _possible(more, sketches, percent)).isEmpty():
+        found = stored(found.union(_alike(more, texts, size, percent)), "alike")
+        joined = components(found)
+
+    # Two of three texts of a band may not have met yet, of two they have.
     members = rows.join(buckets.where("n > 2").select("band", "key"), ["band", "key"]).join(joined, "node", "left")
     members = stored(members.withColumn("component", F.coalesce("component", "node")), "members")
     parts = stored(members.groupBy("band", "key", "component").agg(F.min("size").alias("low"), F.max("size").alias("high")), "parts")
@@ -245,10 +274,20 @@ def near_copies(texts: DataFrame, size: int, percent: int) -> DataFrame:
         right, ["band", "key", "component_b"]).where("node_a <> node_b").where(
         F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
     rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
+    rest = _possible(rest.join(tried, ["a", "b"], "left_anti"), sketches, percent)
     return found if rest.isEmpty() else found.union(_alike(rest, texts, size, percent))
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that may have a Jaccard similarity of ``percent`` or more, by their numbers of shingles and parity sketches."""
+    one, two = (sketches.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("bits").alias(f"bits_{n}")) for n in ("a", "b"))
+    differ = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(PARITY_LONGS))
+    # Of x and y shingles d differ: (x + y - d) / 2 are shared, (x + y + d) / 2 are there in all.
+    enough = (F.col("size_a") + F.col("size_b")) * (100 - percent) >= differ * (100 + percent)
+    near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    return stored(pairs.join(one, "a").join(two, "b").where(near & enough).select("a", "b").distinct(), "possible")
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose shingle sets have a Jaccard similarity of ``percent`` or more."""
 

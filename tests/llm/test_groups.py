@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from ruptura.llm import simhash
@@ -72,3 +73,36 @@ def test_awkward_rows(awkward):
     assert [c for (i, _), c in by.items() if i is None] == [None]
     assert {c for (i, _), c in by.items() if i == 6} == {1}
     assert simhash.near_duplicates(awkward.limit(0)).count() == 0
+
+
+def test_near_copies_verify_few_pairs(spark, monkeypatch):
+    stem = [f"w{k}" for k in range(400)]
+
+    def varied(k, n):
+        # n words of their own, far enough from each other that each changes five shingles.
+        return " ".join(f"x{k}y{i}" if i % 10 == 5 and i < 10 * n else w for i, w in enumerate(stem))
+
+    verified, whole = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *rest: (verified.append(pairs.count()), whole(pairs, *rest))[1])
+    # Similarities of 0.95 and 0.98 within a group of copies: a few meetings join them all.
+    copies = spark.createDataFrame([(k, varied(k, 1 + k % 2)) for k in range(150)], "node long, text string")
+    groups = components(simhash.near_copies(copies, 5, 80)).collect()
+    assert {tuple(r) for r in groups} == {(k, 0) for k in range(150)}
+    assert sum(verified) <= 3 * 150
+    # Any two share 0.7 of their shingles and most share bands, but none is like another: nothing is left to verify.
+    verified.clear()
+    apart = spark.createDataFrame([(k, varied(k, 14)) for k in range(80)], "node long, text string")
+    assert simhash.near_copies(apart, 5, 80).isEmpty()
+    assert sum(verified) <= 10
+
+
+def test_parity_sketches_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (1, 4, 5, 40, 50, 900, 6000)]
+    sets += [np.concatenate([x[:len(x) - d], rng.integers(0, 1 << 64, d + e, dtype=np.uint64)]) for x in sets for d in (0, len(x) // 10, len(x) // 9, len(x) // 5) for e in (0, len(x) // 10)]
+    sets = [np.unique(x) for x in sets]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b)]
+    sketches = spark.createDataFrame([(k, len(x), simhash._parities(x).tolist()) for k, x in enumerate(sets)], "node long, size long, bits array<long>")
+    kept = {tuple(r) for r in simhash._possible(spark.createDataFrame(pairs, "a long, b long"), sketches, 80).collect()}
+    alike = {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert len(alike) > 20 and alike <= kept and len(kept) < len(pairs) / 4
