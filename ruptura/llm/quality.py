@@ -159,7 +159,7 @@ def fit(
     classes = _quantiles(rows.withColumn("rest", _rest(F.col("text"))).select("lang", shares.alias("v")), ["lang"], [0.5])
     # Written once: the totals, the ranks and their sort all read it.
     counts = stored(
-        rows.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word")
+        rows.select("lang", F.explode_outer(words_of(F.lower("text"))).alias("word")).where("word is not null").groupBy("lang", "word")
         .agg(F.count(F.lit(1)).alias("n")), "words"
     )
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -187,7 +187,8 @@ def _quantiles(rows: DataFrame, by: list[str], shares: list[float]) -> dict[tupl
     Values are counted, and bins of them, of which a group has 10,001 at most between 0 and 1;
     only the bins that hold a wanted position are sorted.
     """
-    values = rows.select(*by, F.posexplode("v").alias("place", "x")).groupBy(*by, "place", "x").agg(F.count(F.lit(1)).alias("n"))
+    # Outer, as the planner would work out v once more to drop empty ones.
+    values = rows.select(*by, F.posexplode_outer("v").alias("place", "x")).groupBy(*by, "place", "x").agg(F.count(F.lit(1)).alias("n"))
     values = stored(values.withColumn("bin", F.round("x", DECIMALS)), "values")
     group = Window.partitionBy(*by, "place")
     bins = values.groupBy(*by, "place", "bin").agg(F.sum("n").alias("held"))
@@ -265,8 +266,8 @@ def _distances(docs: DataFrame, references: list[Reference], text_col: str) -> D
     known = F.array(*[F.lit(w) for w in vocabulary])
     signs = F.array(*[F.lit(mark[w]) for w in vocabulary])
     # Most words are sorted out by a set; the place of the others is looked for.
-    common = F.filter(F.transform("q_words", F.lower), lambda w: w.isin(vocabulary))
-    marked = F.array_join(F.transform(common, lambda w: F.element_at(signs, F.array_position(known, w).cast("int"))), "")
+    common = F.filter("q_words", lambda w: F.lower(w).isin(vocabulary))
+    marked = F.array_join(F.transform(common, lambda w: F.element_at(signs, F.array_position(known, F.lower(w)).cast("int"))), "")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({"q_marked": marked, "q_classes": class_shares(text, F.col("q_rest"))})
     total = F.greatest(F.col("n_words"), F.lit(1))

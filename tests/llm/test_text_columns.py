@@ -220,6 +220,21 @@ def test_whole_texts_are_walked_once_for_letters(spark):
     assert not re.search(r"xxhash64\(slice", plan)
 
 
+def test_quantiles_work_out_their_values_once(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    plans, write = [], quality.stored
+    monkeypatch.setattr(quality, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    docs = spark.createDataFrame([(k % 2, "Ab " * k + "1#") for k in range(9)], "g int, text string")
+    shares = docs.withColumn("rest", quality._rest(F.col("text"))).select("g", quality.class_shares(F.col("text"), F.col("rest")).alias("v"))
+    found = quality._quantiles(shares, ["g"], [0.5])
+    for g in (0, 1):
+        texts = ["Ab " * k + "1#" for k in range(9) if k % 2 == g]
+        assert found[g, 3][0] == pytest.approx(float(np.median([t.count(" ") / len(t) for t in texts])))
+    assert plans[0].count("regexp_replace") == 1
+
+
 def test_distances_against_plain_histograms(spark, documents):
     references = quality.fit(documents)
     rows = documents.where("length(text) > 300").limit(30)
