@@ -1,9 +1,11 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ruptura.constants import DESIGN_BOUNDS, DESIGN_ELEMENTS
-from ruptura.operators import neighbors, order, pareto, ranks, split
+from ruptura.operators import composition, neighbors, order, pareto, ranks, split, stats
 from ruptura.plans import design, ood
 from ruptura.operators.ood import fit_with_distances, mahalanobis
 
@@ -81,6 +83,21 @@ def test_the_train_side_is_what_the_test_side_leaves(spark):
     assert "NOT" not in cut.train(rows)._jdf.queryExecution().analyzed().toString()
 
 
+def test_unit_hashes_are_whole_numbers_before_they_are_doubles(spark):
+    number = composition.unit_hash(["k"], "7:C")
+    rows = spark.range(40).select(F.col("id").alias("k")).select("k", number.alias("u")).collect()
+    assert all(r["u"] == int(hashlib.md5(f"7:C:{r['k']}".encode()).hexdigest()[:13], 16) / 16 ** 13 for r in rows)
+    assert "bigint" in spark.range(1).select(F.col("id").alias("k")).select(number)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_moments_take_their_centre_from_one_pass(spark, monkeypatch):
+    seen, plain = [], stats.gram
+    monkeypatch.setattr(stats, "gram", lambda df, columns, centre=None: seen.append(centre) or plain(df, columns, centre))
+    rows = spark.createDataFrame([(1.0, 4.0), (2.0, None), (3.0, 1.0), (5.0, 0.0)], "a double, b double")
+    got = stats.moments(rows, ["a", "b"])
+    assert seen == [list(got.mean)] and np.allclose(got.cov, np.cov([[1.0, 4.0], [3.0, 1.0], [5.0, 0.0]], rowvar=False))
+
+
 def test_a_fit_keeps_its_distances(spark):
     rows = spark.range(50).selectExpr("id * 1e0 AS a", "id % 3 * 1e0 AS b")
     ref, distances = fit_with_distances(rows, ["a", "b"])
